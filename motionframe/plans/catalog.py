@@ -1,6 +1,6 @@
 """Imports every query module so that it registers its queries."""
 
-from motionframe.plans import window_queries  # noqa: F401
+from motionframe.plans import metric_queries, window_queries  # noqa: F401
 from motionframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

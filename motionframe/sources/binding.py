@@ -278,7 +278,7 @@ def fold_of(suppkey):
 
 
 def expand_jobs(labelled: DataFrame, split: str | None = None) -> DataFrame:
-    score = F.lit(None).cast("double")
+    """Explode labelled windows into score rows, one per job that tests or validates them."""
     jobs = []
     for model, recipe, seed, acc, gyr, offset in SCORERS:
         base = F.col("acc_part") * acc + F.col("gyr_part") * gyr
@@ -300,7 +300,7 @@ def expand_jobs(labelled: DataFrame, split: str | None = None) -> DataFrame:
     }
     wanted = [v for k, v in roles.items() if split in (None, k)]
     columns = [
-        "recording_id", "dataset_id", "participant_id", "body_location", "win",
+        "recording_id", "dataset_id", "participant_id", "body_location", "is_fall", "n", "win",
         "start_sample", "end_sample", "pos",
     ]
     return (
