@@ -33,13 +33,17 @@ def thresholds(t):
     return metrics.best_threshold(t.job_scores("validation"))
 
 
+def stored_thresholds(t):
+    """The per-job result record; written once, like the score shards' metadata."""
+    return t._stored("job_thresholds", lambda: thresholds(t).coalesce(1))
+
+
 def test_scores(t):
-    return metrics.apply_threshold(t.job_scores("test"), thresholds(t))
+    return metrics.apply_threshold(t.job_scores("test"), stored_thresholds(t))
 
 
 def validation_scores(t):
-    scores = t.job_scores("validation")
-    return metrics.apply_threshold(scores, metrics.best_threshold(scores))
+    return metrics.apply_threshold(t.job_scores("validation"), stored_thresholds(t))
 
 
 def fold_scope(t):
