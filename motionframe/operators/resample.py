@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from motionframe.operators.skew import HOT_ROWS, ordered_positions
+from motionframe.operators.skew import HOT_ROWS, ordered_positions, with_previous
 
 BLOCK = 4096
 
@@ -74,14 +74,7 @@ def bad_timestamps(
 
     ``order`` is the arrival order; ``chunk`` a non-decreasing function of it.
     """
-    placed = ordered_positions(series, keys, order, chunk, "_pos", hot_rows)
-    block = F.floor(F.col("_pos") / BLOCK)
-    edge = F.col("_pos") % BLOCK == BLOCK - 1
-    repeated = placed.withColumn(
-        "_block", F.explode(F.when(edge, F.array(block, block + 1)).otherwise(F.array(block)))
-    )
-    before = F.lag("t").over(Window.partitionBy(*keys, "_block").orderBy("_pos"))
+    checked = with_previous(series, keys, order, chunk, ["t"], hot_rows)
     finite = F.col("t").isNotNull() & ~F.isnan("t") & (F.abs(F.col("t")) < float("inf"))
-    checked = repeated.withColumn("_prev", before).filter(block == F.col("_block"))
-    rule = F.when(~finite, "not_finite").when(F.col("_prev") >= F.col("t"), "not_increasing")
-    return checked.withColumn("rule_id", rule).filter("rule_id is not null").drop("_block", "_prev", "_pos")
+    rule = F.when(~finite, "not_finite").when(F.col("prev_t") >= F.col("t"), "not_increasing")
+    return checked.withColumn("rule_id", rule).filter("rule_id is not null").drop("prev_t")

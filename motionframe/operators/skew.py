@@ -64,3 +64,31 @@ def ordered_positions(
         .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
         .drop("_chunk", "_local", "_before", "_hot")
     )
+
+
+BLOCK_ROWS = 4096
+
+
+def with_previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    chunk: Column,
+    columns: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    hot: Column | None = None,
+) -> DataFrame:
+    """Add ``prev_<column>``: the value in the row before, inside the key.
+
+    Rows are numbered, cut into blocks, and the last row of a block is repeated at the
+    head of the next one; each task then needs one block only.
+    """
+    placed = ordered_positions(df, keys, order, chunk, "_pos", hot_rows, hot)
+    block = F.floor(F.col("_pos") / BLOCK_ROWS)
+    edge = F.col("_pos") % BLOCK_ROWS == BLOCK_ROWS - 1
+    repeated = placed.withColumn(
+        "_block", F.explode(F.when(edge, F.array(block, block + 1)).otherwise(F.array(block)))
+    )
+    window = Window.partitionBy(*keys, "_block").orderBy("_pos")
+    added = repeated.withColumns({f"prev_{c}": F.lag(c).over(window) for c in columns})
+    return added.filter(block == F.col("_block")).drop("_block", "_pos")

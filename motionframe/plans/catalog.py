@@ -1,6 +1,12 @@
 """Imports every query module so that it registers its queries."""
 
-from motionframe.plans import feature_queries, metric_queries, window_queries  # noqa: F401
+from motionframe.plans import (  # noqa: F401
+    feature_queries,
+    metric_queries,
+    quality_queries,
+    statistics_queries,
+    window_queries,
+)
 from motionframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -48,6 +48,8 @@ def wide_sql(template, names=SIGNALS, label=lambda x: x):
 
 def _time_query(number, stat):
     columns = wide_sql(TIME_SQL[stat], label=lambda x: f"{NAME_OF[x]}__{stat}")
+    if stat == "excess_kurtosis":
+        columns = columns.replace(", 8) + 0.0", ", 9) + 0.0")
 
     @query(
         f"fe_{number:02d}_{stat}",
@@ -56,7 +58,8 @@ def _time_query(number, stat):
     def build(t):
         table = features.time_features(t.samples, (stat,))
         names = [f"{NAME_OF[x]}__{stat}" for x in SIGNALS]
-        return table.select("recording_id", *longs("win"), *[(F.round(n, 8) + 0.0).alias(n) for n in names])
+        digits = 9 if stat == "excess_kurtosis" else 8
+        return table.select("recording_id", *longs("win"), *[(F.round(n, digits) + 0.0).alias(n) for n in names])
 
 
 for _number, _stat in enumerate(TIME_STATISTICS, start=1):

@@ -10,10 +10,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from motionframe.constants import BALANCED, FOLD_COUNT, NATURAL, NOT_APPLICABLE, SEED
 from motionframe.operators import labels, windows
-from motionframe.operators.skew import HOT_ROWS, ordered_positions
+from motionframe.operators.skew import HOT_ROWS, offsets_before, ordered_positions
 from motionframe.sources.schemas import TEST_TABLES
 from motionframe.sources.store import input_fingerprint, shared_root, stored
 
@@ -205,6 +206,66 @@ class Tables:
         )
         return falls.unionByName(daily)
 
+    # -- collection tables as delivered, and copies with known faults -------
+
+    @cached_property
+    def collection(self) -> DataFrame:
+        """Sequences with their sample ranges inside the dataset, in supplier order."""
+        chunked = self.sequences.withColumn("_chunk", F.floor(F.col("suppkey") / 1024))
+        before = offsets_before(chunked, ["dataset_id"], "_chunk", {"_before": F.col("n")})
+        order = Window.partitionBy("dataset_id", "_chunk").orderBy("suppkey", "flag")
+        local = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        placed = chunked.withColumn("_upto", local).join(before, ["dataset_id", "_chunk"])
+        stop = F.col("_upto") + F.col("_before")
+        return placed.select(
+            *self.sequences.columns,
+            F.concat(F.lit("act_"), "flag").alias("activity_code"),
+            (stop - F.col("n")).alias("sample_start"),
+            stop.alias("sample_stop"),
+            F.lit(25.0).alias("source_sampling_rate_hz"),
+        )
+
+    @cached_property
+    def faulty_sequences(self) -> DataFrame:
+        s, flag = F.col("suppkey"), F.col("flag")
+        at = lambda modulus, rest, f: (s % modulus == rest) & (flag == f)
+        rate = F.when(at(19, 4, "N"), 0.0).when(at(23, 5, "R"), -25.0).otherwise(25.0)
+        return self.collection.withColumns(
+            {
+                "body_location": F.when(s % 29 == 7, "").otherwise(F.col("body_location")),
+                "is_fall": F.when(at(31, 8, "R"), ~F.col("is_fall")).otherwise(F.col("is_fall")),
+                "supervision_kind": F.when(at(13, 6, "A"), "unknown").otherwise(F.col("supervision_kind")),
+                "source_sampling_rate_hz": rate,
+                "sample_start": F.col("sample_start") + F.when(at(17, 3, "A"), 1).otherwise(0),
+            }
+        )
+
+    @cached_property
+    def faulty_annotations(self) -> DataFrame:
+        keyed = self.annotations.join(self.sequences.select("recording_id", "suppkey"), "recording_id")
+        s, kind = F.col("suppkey"), F.col("kind")
+        shift = lambda condition, by: F.when(condition, by).otherwise(0)
+        far = shift((s % 7 == 2) & (kind == "impact"), 1000)
+        late = shift((s % 9 == 1) & (kind == "activity") & (F.col("code") == "ADL"), 2)
+        longer = shift((s % 7 == 3) & (kind == "onset"), 1) + shift((s % 13 == 5) & (kind == "exclude"), 3)
+        order = F.when(kind == "activity", 0).when(kind == "onset", 1).when(kind == "impact", 2).otherwise(3)
+        placed = ordered_positions(
+            keyed.withColumn("kind_order", order),
+            ["recording_id"],
+            [F.col(c) for c in ("start_sample", "kind_order", "stop_sample", "code")],
+            F.floor(F.col("start_sample") / 65536),
+            "row_idx",
+        )
+        swapped = F.when(s % 5 == 2, F.col("row_idx").bitwiseXOR(F.lit(1).cast("long")))
+        return placed.select(
+            "recording_id",
+            F.when((s % 37 == 9) & (kind == "exclude"), "skip").otherwise(kind).alias("kind"),
+            (F.col("start_sample") + far + late).alias("start_sample"),
+            (F.col("stop_sample") + far + longer).alias("stop_sample"),
+            F.when((s % 11 == 4) & (kind == "activity"), "").otherwise(F.col("code")).alias("code"),
+            F.coalesce(swapped, F.col("row_idx")).alias("row_idx"),
+        )
+
     # -- windows ------------------------------------------------------------
 
     @cached_property
