@@ -1,6 +1,7 @@
 """Imports every query module so that it registers its queries."""
 
 from motionframe.plans import (  # noqa: F401
+    collection_queries,
     feature_queries,
     metric_queries,
     quality_queries,
