@@ -22,10 +22,12 @@ def standardisation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def standardise(df: DataFrame, parameters: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Apply the parameter row. It is exactly one row, so it is broadcast."""
-    joined = df.join(F.broadcast(parameters), F.lit(True))
-    scaled = {c: (F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c}") for c in columns}
-    return joined.withColumns(scaled).select(*df.columns)
+    """Apply the parameter row, read as a scalar subquery."""
+    row = parameters.select(F.struct(*parameters.columns)).scalar()
+    scaled = {
+        c: (F.col(c) - row.getField(f"mean_{c}")) / row.getField(f"scale_{c}") for c in columns
+    }
+    return df.withColumns(scaled)
 
 
 def channel_standardisation(samples: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:

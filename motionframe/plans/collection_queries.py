@@ -12,13 +12,6 @@ from motionframe.plans.registry import query
 from motionframe.plans.sql import JL, J, ctes, part
 from motionframe.sources import readers, writers
 
-B = "::BIGINT"
-S = F.substring("participant_id", 2, 20).cast("long")
-
-
-def cast_sql(*names):
-    return ", ".join(f"{n}::BIGINT AS {n}" for n in names)
-
 
 def scratch(t, name):
     """A folder of the shared store for a sink's round trip."""
@@ -256,9 +249,6 @@ def prj_05(t):
     return scores.select(*job_columns(), "split", "recording_id", *longs("win"), F.round(clipped, 8).alias("score"))
 
 
-VIEW = ("NATION_1", "NATION_3", "NATION_7")
-
-
 @query(
     "flt_01_data_view",
     ctes("kept") + "SELECT recording_id, win::BIGINT AS win FROM kept WHERE dataset_id IN (SELECT n_name FROM nation WHERE n_nationkey IN (1, 3, 7))",
