@@ -8,6 +8,7 @@ from motionframe.functions.exprs import r6
 from motionframe.operators import folds, labels, metrics, quality, windows
 from motionframe.plans.metric_queries import job_columns, longs, rounded, stored_thresholds, test_scores
 from motionframe.plans.quality_queries import faulty_folds, observed_manifest
+from motionframe.plans import statistics_queries  # noqa: F401  (defines shared SQL parts)
 from motionframe.plans.registry import query
 from motionframe.plans.sql import JL, J, ctes, part
 from motionframe.sources import readers, writers
