@@ -57,3 +57,104 @@ def positive_weight(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         F.raise_error(F.lit("class weight needs both classes")).cast("double")
     )
     return counts.withColumn("positive_weight", weight)
+
+
+# -- fixed values: parameters of the fitted baselines -------------------------
+LOGISTIC = {"C": 1.0, "max_iterations": 500}
+FOREST = {"trees": 200, "depth": 24, "bins": 128}
+BOOSTING = {"rounds": 200, "depth": 6, "rate": 0.1, "rows": 0.8, "columns": "0.8"}
+NAIVE_BAYES_SMOOTHING = 1e-9
+
+
+def array_standardisation(df: DataFrame, column: str = "features") -> DataFrame:
+    """Mean and population deviation per array position, one row per position."""
+    long = df.select(F.posexplode(column).alias("j", "x"))
+    spread = F.stddev_pop("x")
+    return long.groupBy("j").agg(
+        F.avg("x").alias("mean"), F.when(spread < MIN_SCALE, 1.0).otherwise(spread).alias("scale")
+    )
+
+
+def standardise_array(df: DataFrame, parameters: DataFrame, column: str = "features") -> DataFrame:
+    """Standardise an array column. The parameters are one row per feature, a fixed number."""
+    ordered = F.sort_array(F.collect_list(F.struct("j", "mean", "scale")))
+    row = parameters.agg(ordered.alias("p")).scalar()
+    scaled = F.zip_with(
+        F.transform(column, lambda v: v.cast("double")), row, lambda x, p: (x - p["mean"]) / p["scale"]
+    )
+    return df.withColumn(column, scaled)
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn("vector", array_to_vector(F.transform("features", lambda v: v.cast("double"))))
+
+
+def _score(model, rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(_vectors(rows))
+    return scored.withColumn("score", vector_to_array("probability")[1]).drop(
+        "vector", "probability", "rawPrediction", "prediction"
+    )
+
+
+def fit_logistic(train: DataFrame):
+    """L2 logistic regression; using up the iterations is an error."""
+    from pyspark.ml.classification import LogisticRegression
+
+    n = train.count()
+    estimator = LogisticRegression(
+        featuresCol="vector", labelCol="label", regParam=1.0 / (LOGISTIC["C"] * n),
+        maxIter=LOGISTIC["max_iterations"], standardization=False,
+    )
+    model = estimator.fit(_vectors(train))
+    if model.summary.totalIterations >= LOGISTIC["max_iterations"]:
+        raise RuntimeError("logistic regression did not converge")
+    return model
+
+
+def fit_forest(train: DataFrame, seed: int, trees: int = FOREST["trees"]):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(
+        featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=FOREST["depth"],
+        maxBins=FOREST["bins"], featureSubsetStrategy="sqrt", minInstancesPerNode=1, seed=seed,
+    ).fit(_vectors(train))
+
+
+def fit_boosting(train: DataFrame, seed: int, rounds: int = BOOSTING["rounds"]):
+    from pyspark.ml.classification import GBTClassifier
+
+    return GBTClassifier(
+        featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=BOOSTING["depth"],
+        stepSize=BOOSTING["rate"], subsamplingRate=BOOSTING["rows"],
+        featureSubsetStrategy=BOOSTING["columns"], seed=seed,
+    ).fit(_vectors(train))
+
+
+def naive_bayes_scores(train: DataFrame, rows: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Gaussian naive Bayes as two aggregates: class moments, then log-likelihood sums.
+
+    The moment table has one row per class and feature, a fixed size.
+    """
+    long = train.select("label", F.posexplode("features").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
+    smoothing = (
+        long.groupBy("j").agg(F.var_pop("x").alias("v")).agg((F.max("v") * NAIVE_BAYES_SMOOTHING).alias("e")).scalar()
+    )
+    moments = long.groupBy("label", "j").agg(
+        F.avg("x").alias("mean"), (F.var_pop("x") + smoothing).alias("var")
+    )
+    size = train.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    prior = train.groupBy("label").agg(F.log(F.count(F.lit(1)) / size).alias("prior"))
+    values = rows.select(key, F.posexplode("features").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
+    gap = F.col("x") - F.col("mean")
+    term = -0.5 * F.log(F.lit(6.283185307179586) * F.col("var")) - gap * gap / (F.col("var") * 2.0)
+    likelihood = values.join(moments, "j").groupBy(key, "label").agg(F.sum(term).alias("ll"))
+    joint = likelihood.join(prior, "label").withColumn("ll", F.col("ll") + F.col("prior"))
+    pair = joint.groupBy(key).agg(
+        F.max(F.when(F.col("label") == 1, F.col("ll"))).alias("one"),
+        F.max(F.when(F.col("label") == 0, F.col("ll"))).alias("zero"),
+    )
+    return pair.select(key, (1.0 / (1.0 + F.exp(F.col("zero") - F.col("one")))).alias("score"))

@@ -4,6 +4,7 @@ from motionframe.plans import (  # noqa: F401
     collection_queries,
     feature_queries,
     metric_queries,
+    model_queries,
     quality_queries,
     statistics_queries,
     window_queries,

@@ -102,8 +102,8 @@ def _policy_values():
 @query(
     "src_07_policy_catalogue",
     ctes("thr") + f""", pol(id, r, m, c, s) AS (VALUES {_policy_values()})
-    SELECT {JL}, id, CASE WHEN r <= 0 THEN 'required_not_positive' WHEN m < r THEN 'lookback_below_required' WHEN c AND r <> m THEN 'consecutive_not_equal' END AS rule_id
-    FROM (SELECT t.*, id, r - (CASE WHEN fold = 1 AND id LIKE 'one%' THEN 1 ELSE 0 END) AS r, m - (CASE WHEN fold = 2 AND id LIKE 'three%' THEN 3 ELSE 0 END) AS m, c OR (fold = 3 AND id LIKE 'two%') AS c FROM thr t, pol) WHERE rule_id IS NOT NULL""",
+    SELECT {JL}, id, unnest(list_filter([CASE WHEN r <= 0 THEN 'required_not_positive' END, CASE WHEN m < r THEN 'lookback_below_required' END, CASE WHEN c AND r <> m THEN 'consecutive_not_equal' END], lambda x: x IS NOT NULL)) AS rule_id
+    FROM (SELECT t.*, id, r - (CASE WHEN fold = 1 AND id LIKE 'one%' THEN 1 ELSE 0 END) AS r, m - (CASE WHEN fold = 2 AND id LIKE 'three%' THEN 3 ELSE 0 END) AS m, c OR (fold = 3 AND id LIKE 'two%') AS c FROM thr t, pol)""",
 )
 def src_07(t):
     """The policy catalogue attached to every job, with faults in three folds."""
@@ -863,13 +863,18 @@ def scl_11(t):
     return stored_thresholds(t).select(*job_columns(), F.when(complete, exprs.canonical_digest(fields)).alias("fingerprint"))
 
 
-@query("scl_12_snapshot_id", ctes("seqs") + "SELECT dataset_id, sha256(string_agg(d, ',' ORDER BY participant_id)) AS snapshot_id FROM (SELECT dataset_id, participant_id, sha256(string_agg(recording_id, ',' ORDER BY recording_id)) AS d FROM seqs GROUP BY ALL) GROUP BY dataset_id")
+@query(
+    "scl_12_snapshot_id",
+    ctes("seqs") + """SELECT dataset_id, sha256(string_agg(d, ',' ORDER BY b)) AS snapshot_id FROM (
+    SELECT dataset_id, substr(sha256(recording_id), 1, 3) AS b, sha256(string_agg(recording_id, ',' ORDER BY recording_id)) AS d FROM seqs GROUP BY ALL) GROUP BY dataset_id""",
+)
 def scl_12(t):
-    """Recording ids are digested per participant, then the digests per dataset."""
+    """Digest of the sorted recording ids in 4,096 hash buckets, then of the bucket digests."""
+    bucket = F.substring(F.sha2("recording_id", 256), 1, 3)
     ids = F.array_join(F.sort_array(F.collect_list("recording_id")), ",")
-    people = t.sequences.groupBy("dataset_id", "participant_id").agg(F.sha2(ids, 256).alias("v"))
-    joined = F.transform(F.sort_array(F.collect_list(F.struct("participant_id", "v"))), lambda s: s["v"])
-    return people.groupBy("dataset_id").agg(F.sha2(F.array_join(joined, ","), 256).alias("snapshot_id"))
+    parts = t.sequences.groupBy("dataset_id", bucket.alias("b")).agg(F.sha2(ids, 256).alias("v"))
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda s: s["v"])
+    return parts.groupBy("dataset_id").agg(F.sha2(F.array_join(joined, ","), 256).alias("snapshot_id"))
 
 
 @query("scl_13_median_best_epoch", "SELECT l_returnflag AS model_id, quantile_cont(l_linenumber + l_quantity, 0.5)::DOUBLE AS median, trunc(quantile_cont(l_linenumber + l_quantity, 0.5))::BIGINT AS best_epoch FROM lineitem GROUP BY 1")
