@@ -79,10 +79,9 @@ def standardise_array(df: DataFrame, parameters: DataFrame, column: str = "featu
     """Standardise an array column. The parameters are one row per feature, a fixed number."""
     ordered = F.sort_array(F.collect_list(F.struct("j", "mean", "scale")))
     row = parameters.agg(ordered.alias("p")).scalar()
-    scaled = F.zip_with(
-        F.transform(column, lambda v: v.cast("double")), row, lambda x, p: (x - p["mean"]) / p["scale"]
-    )
-    return df.withColumn(column, scaled)
+    doubles = F.transform(column, lambda v: v.cast("double"))
+    scaled = F.zip_with(doubles, F.col("_p"), lambda x, p: (x - p["mean"]) / p["scale"])
+    return df.withColumn("_p", row).withColumn(column, scaled).drop("_p")
 
 
 def _vectors(df: DataFrame) -> DataFrame:

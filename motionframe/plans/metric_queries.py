@@ -11,7 +11,7 @@ from motionframe.plans.sql import FOLD_SCOPE, JL, J, alarms_sql, ctes, part
 ALL_POLICIES = POLICIES + SHORT_POLICIES
 alarms_sql("alm", "test", FOLD_SCOPE, ALL_POLICIES)
 part("val", "SELECT * FROM withthr WHERE split = 'validation'", "withthr")
-alarms_sql("valm", "val", f"SELECT DISTINCT {J}, recording_id, is_fall FROM val", POLICIES)
+alarms_sql("valm", "val", f"SELECT {J}, recording_id, any_value(is_fall) AS is_fall FROM val GROUP BY {J}, recording_id", POLICIES)
 part("tcat", "SELECT * FROM test", "test")
 alarms_sql("tcat_alm", "tcat", FOLD_SCOPE.replace("FROM test", "FROM tcat"), POLICIES)
 

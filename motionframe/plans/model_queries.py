@@ -86,8 +86,9 @@ def ml_03(t):
 
 @query("ml_04_gradient_boosting")
 def ml_04(t):
+    """Twenty of the 200 rounds, which run one after the other."""
     train, test = split(t)
-    return predictions(models._score(models.fit_boosting(train, SEED), test))
+    return predictions(models._score(models.fit_boosting(train, SEED, rounds=20), test))
 
 
 @query(
@@ -176,7 +177,7 @@ JOIN (SELECT model_id, arg_min(t, {{'a': abs(t - 0.5), 'b': t}}) AS th FROM (
       WHERE split = 'validation' AND seed = {SEED} AND recipe <> '{BALANCED}' AND start_sample % 25 = 0 GROUP BY ALL) WINDOW w AS (PARTITION BY model_id ORDER BY t DESC)))
   WHERE bacc >= best - 1e-12 GROUP BY model_id) USING (model_id)
 """, "scores")
-alarms_sql("poolm", "pool", "SELECT DISTINCT model_id, recording_id, is_fall FROM pool", POLICIES, "model_id", 1.0)
+alarms_sql("poolm", "pool", "SELECT model_id, recording_id, any_value(is_fall) AS is_fall FROM pool GROUP BY model_id, recording_id", POLICIES, "model_id", 1.0)
 part("poolc", f"SELECT *, {rates()} FROM (SELECT model_id, max(th) AS threshold, {COUNTS} FROM pool GROUP BY model_id)", "pool")
 
 

@@ -22,7 +22,9 @@ def ctes(*names):
 
     for n in names:
         add(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{_PARTS[n][0]}\n)" for n in seen) + "\n"
+    # Materialised parts keep join inputs plain; the engine's join fails on some inlined ones.
+    kind = lambda n: "" if n.endswith("_acc") else "MATERIALIZED "
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kind(n)}(\n{_PARTS[n][0]}\n)" for n in seen) + "\n"
 
 
 part("samples", """
@@ -219,9 +221,6 @@ SELECT {keys}, policy, cd, recording_id, is_fall, decision FROM (
       ELSE sum(alert::INTEGER) OVER (PARTITION BY {keys}, policy, recording_id ORDER BY decision ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS c
   FROM {source}, {name}_pol) WHERE rn >= m AND c >= need
 """, source, f"{name}_pol")
-    part(f"{name}_next", f"""
-SELECT a.*, (SELECT 1) AS one FROM {name}_trig a
-""", f"{name}_trig")
     part(f"{name}_acc", f"""
 SELECT {keys}, policy, cd, recording_id, is_fall, min(decision) AS decision FROM {name}_trig GROUP BY {keys}, policy, cd, recording_id, is_fall
 UNION ALL
@@ -242,16 +241,25 @@ FROM (SELECT {keys}, policy, recording_id, e.onset, e.impact, e.code, min(decisi
     part(f"{name}_fa", f"""
 SELECT {keys}, policy, count(*) AS episodes, count(DISTINCT recording_id) FILTER (NOT is_fall) AS adl_fp_rec FROM {name}_al WHERE NOT in_event GROUP BY {keys}, policy
 """, f"{name}_al")
+    part(f"{name}_base", f"""
+SELECT {keys}, count(*) FILTER (label = 0) * {stride}::DOUBLE / 3600.0::DOUBLE AS hours,
+  count(DISTINCT recording_id) FILTER (NOT is_fall) AS adl_recordings FROM {source} GROUP BY {keys}
+""", source)
+    part(f"{name}_tot", f"""
+SELECT {keys}, count(e.onset) AS fall_events FROM {name}_scope s LEFT JOIN ev e ON e.recording_id = s.recording_id GROUP BY {keys}
+""", f"{name}_scope", "ev")
+    part(f"{name}_cov", f"""
+SELECT {keys}, count(*) AS covered FROM (SELECT DISTINCT {keys}, recording_id, e.onset, e.code
+  FROM {source} s JOIN ev e USING (recording_id) WHERE decision >= e.onset AND decision < e.stop) GROUP BY {keys}
+""", source, "ev")
+    part(f"{name}_row", f"""
+SELECT {keys}, policy, fall_events, coalesce(covered, 0) AS covered, adl_recordings, hours
+FROM {name}_base JOIN {name}_tot USING ({keys}) LEFT JOIN {name}_cov USING ({keys}) CROSS JOIN {name}_pol
+""", f"{name}_base", f"{name}_tot", f"{name}_cov", f"{name}_pol")
     part(name, f"""
-SELECT {keys}, policy AS alarm_policy_id, fall_events, coalesce(d, 0) AS detected_events, fall_events - coalesce(covered, 0) AS uncovered,
+SELECT {keys}, policy AS alarm_policy_id, fall_events, coalesce(d, 0) AS detected_events, fall_events - covered AS uncovered,
   adl_recordings, coalesce(adl_fp_rec, 0) AS adl_fp_rec, hours, coalesce(episodes, 0) AS episodes, lat50, lat95, imp50,
   CASE WHEN fall_events > 0 THEN coalesce(d, 0)::DOUBLE / fall_events ELSE 0 END AS event_sensitivity,
   CASE WHEN hours > 0 THEN coalesce(episodes, 0) / hours ELSE 0 END AS episodes_per_hour
-FROM (SELECT {keys}, count(*) FILTER (label = 0) * {stride}::DOUBLE / 3600.0::DOUBLE AS hours,
-        count(DISTINCT recording_id) FILTER (NOT is_fall) AS adl_recordings FROM {source} GROUP BY {keys})
-JOIN (SELECT {keys}, coalesce(sum(c), 0) AS fall_events FROM {name}_scope LEFT JOIN
-        (SELECT recording_id, count(*) AS c FROM ev GROUP BY 1) USING (recording_id) GROUP BY {keys}) USING ({keys})
-LEFT JOIN (SELECT {keys}, count(*) AS covered FROM (SELECT DISTINCT {keys}, recording_id, e.onset, e.code
-        FROM {source} s JOIN ev e USING (recording_id) WHERE decision >= e.onset AND decision < e.stop) GROUP BY {keys}) USING ({keys})
-CROSS JOIN {name}_pol LEFT JOIN {name}_det USING ({keys}, policy) LEFT JOIN {name}_fa USING ({keys}, policy)
-""", f"{name}_det", f"{name}_fa", f"{name}_scope")
+FROM {name}_row LEFT JOIN {name}_det USING ({keys}, policy) LEFT JOIN {name}_fa USING ({keys}, policy)
+""", f"{name}_det", f"{name}_fa", f"{name}_row")
