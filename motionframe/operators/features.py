@@ -133,12 +133,8 @@ def power_spectrum(signals: pd.Series) -> pd.Series:
 
 def spectra(samples: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:
     """Power spectrum per window: ``power`` holds 8 x 26 bins in signal order."""
-    rows = add_norms(window_samples(samples, seq))
-    gathered = complete_windows(
-        rows, [F.sort_array(F.collect_list(F.struct("pos", *SIGNALS))).alias("_w")], seq
-    )
-    flat = F.flatten(F.array(*[F.col(f"_w.{x}") for x in SIGNALS]))
-    return gathered.select(*seq, "win", power_spectrum(flat).alias("power"))
+    windows = gathered_windows(samples, seq)
+    return windows.select(*seq, "win", power_spectrum(F.flatten("signals")).alias("power"))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -182,25 +178,135 @@ def spectral_features(
     return cut.select(*seq, "win", *columns)
 
 
+# -- all features of a window at once ------------------------------------------
+#
+# The full table works on one row per window: ``signals`` holds 8 arrays of 50 values.
+# Each stage below adds one array with an entry per signal, so the plan stays small and
+# nothing is exchanged after the windows are formed.
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), add)
+
+
+def average(values: Column) -> Column:
+    return total(values) / F.size(values)
+
+
+def steps(values: Column) -> Column:
+    """Differences of neighbouring values."""
+    n = WINDOW_LENGTH - 1
+    return F.zip_with(F.slice(values, 2, n), F.slice(values, 1, n), lambda later, earlier: later - earlier)
+
+
+def quantile(ordered: Column, q: float) -> Column:
+    """Linear quantile of a sorted array."""
+    rank = q * (WINDOW_LENGTH - 1)
+    low = int(rank)
+    below, above = ordered[low], ordered[min(low + 1, WINDOW_LENGTH - 1)]
+    return below + (above - below) * (rank - low)
+
+
+def gathered_windows(samples: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:
+    """One row per window with ``signals``, 8 arrays in position order."""
+    rows = add_norms(window_samples(samples, seq))
+    taken = F.sort_array(F.collect_list(F.struct("pos", *SIGNALS))).alias("_w")
+    return complete_windows(rows, [taken], seq).select(
+        *seq, "win", F.array(*[F.col(f"_w.{x}") for x in SIGNALS]).alias("signals")
+    )
+
+
+def signal_stages(windows: DataFrame) -> DataFrame:
+    """Add sorted values, means, centred values, steps and moments per signal."""
+    def moment(name):
+        return F.transform(name, average)
+
+    return (
+        windows.withColumns(
+            {
+                "ordered": F.transform("signals", lambda s: F.sort_array(s)),
+                "means": F.transform("signals", average),
+                "steps": F.transform("signals", steps),
+                "energy": F.transform("signals", lambda s: average(F.transform(s, lambda v: v * v))),
+            }
+        )
+        .withColumn(
+            "centred", F.zip_with("signals", "means", lambda s, m: F.transform(s, lambda v: v - m))
+        )
+        .withColumn("squares", F.transform("centred", lambda s: F.transform(s, lambda v: v * v)))
+        .withColumns(
+            {
+                "m2": moment("squares"),
+                "m3": F.zip_with("squares", "centred", lambda q, s: average(F.zip_with(q, s, lambda a, b: a * b))),
+                "m4": F.transform("squares", lambda q: average(F.transform(q, lambda v: v * v))),
+            }
+        )
+        .withColumn("std", F.transform("m2", F.sqrt))
+    )
+
+
+def staged_statistic(stat: str, i: int) -> Column:
+    """A time statistic of signal number ``i`` from the stages."""
+    at = lambda name: F.col(name)[i]
+    ordered, moving = at("ordered"), at("std") > FLAT
+    return {
+        "mean": lambda: at("means"),
+        "std": lambda: at("std"),
+        "min": lambda: ordered[0],
+        "max": lambda: ordered[WINDOW_LENGTH - 1],
+        "median": lambda: quantile(ordered, 0.5),
+        "iqr": lambda: quantile(ordered, 0.75) - quantile(ordered, 0.25),
+        "peak_to_peak": lambda: ordered[WINDOW_LENGTH - 1] - ordered[0],
+        "mean_abs_first_difference": lambda: average(F.transform(at("steps"), F.abs)),
+        "skewness": lambda: F.when(moving, at("m3") / (at("m2") * at("std"))).otherwise(0.0),
+        "excess_kurtosis": lambda: F.when(moving, at("m4") / (at("m2") * at("m2")) - 3.0).otherwise(-3.0),
+        "mean_square_energy": lambda: at("energy"),
+    }[stat]()
+
+
+def staged_window_features() -> dict[str, Column]:
+    """The 14 features that combine signals, from the stages and the ``jerk`` array."""
+    at = lambda name, i: F.col(name)[i]
+    area = lambda first: total(
+        F.array(*[average(F.transform(at("signals", first + j), F.abs)) for j in range(3)])
+    )
+    first_peak = lambda i: (
+        F.array_position(at("signals", i), at("ordered", i)[WINDOW_LENGTH - 1]) - 1
+    ) / float(WINDOW_LENGTH - 1)
+    jerk = F.col("jerk")
+    jerk_mean = average(jerk)
+    jerk_square = average(F.transform(jerk, lambda v: v * v))
+
+    def related(i, j):
+        spread = at("std", i) * at("std", j)
+        product = average(F.zip_with(at("centred", i), at("centred", j), lambda x, y: x * y))
+        return F.when(spread * WINDOW_LENGTH > FLAT, F.try_divide(product, spread)).otherwise(0.0)
+
+    values = [area(0), area(3), first_peak(6), first_peak(7), jerk_mean]
+    values.append(F.sqrt(average(F.transform(jerk, lambda v: (v - F.col("jerk_mean")) * (v - F.col("jerk_mean"))))))
+    values += [F.array_max(jerk), F.sqrt(jerk_square)]
+    values += [related(o + i, o + j) for o in (0, 3) for i, j in ((0, 1), (0, 2), (1, 2))]
+    return dict(zip(WINDOW_FEATURES, values, strict=True))
+
+
 def feature_table(samples: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:
-    """All 158 features of every window as named columns, from one pass over the rows."""
-    rows = feature_rows(samples, seq)
-    aggregates = [
-        time_statistic(stat, x).alias(f"{NAME_OF[x]}__{stat}")
-        for x in SIGNALS
+    """All 158 features of every window as named columns."""
+    staged = signal_stages(gathered_windows(samples, seq))
+    squares = lambda i: F.transform(F.col("steps")[i], lambda v: v * v)
+    planar = F.zip_with(squares(0), squares(1), add)
+    jerk = F.transform(F.zip_with(planar, squares(2), add), lambda v: F.sqrt(v) * SAMPLING_RATE_HZ)
+    staged = staged.withColumn("jerk", jerk).withColumn("jerk_mean", average(F.col("jerk")))
+    staged = with_totals(staged.withColumn("power", power_spectrum(F.flatten("signals"))))
+    columns = {
+        f"{NAME_OF[x]}__{stat}": staged_statistic(stat, i)
+        for i, x in enumerate(SIGNALS)
         for stat in TIME_STATISTICS
-    ]
-    aggregates += [window_feature(n).alias(n) for n in WINDOW_FEATURES]
-    aggregates.append(F.sort_array(F.collect_list(F.struct("pos", *SIGNALS))).alias("_w"))
-    flat = F.flatten(F.array(*[F.col(f"_w.{x}") for x in SIGNALS]))
-    wide = complete_windows(rows, aggregates, seq).withColumn("power", power_spectrum(flat))
-    cut = with_totals(wide.drop("_w"))
-    spectral = {
-        f"{NAME_OF[x]}__{stat}": spectral_statistic(stat, x)
-        for x in SIGNALS
-        for stat in FREQUENCY_STATISTICS
     }
-    return cut.withColumns(spectral).select(*seq, "win", *feature_names())
+    columns.update(staged_window_features())
+    columns.update(
+        {f"{NAME_OF[x]}__{s}": spectral_statistic(s, x) for x in SIGNALS for s in FREQUENCY_STATISTICS}
+    )
+    return staged.select(*seq, "win", *[columns[n].alias(n) for n in feature_names()])
 
 
 def feature_vectors(samples: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:
