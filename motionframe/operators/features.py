@@ -291,12 +291,14 @@ def staged_window_features() -> dict[str, Column]:
 
 def feature_table(samples: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:
     """All 158 features of every window as named columns."""
-    staged = signal_stages(gathered_windows(samples, seq))
+    # The Python step comes first, while a row holds nothing but its signals.
+    transformed = gathered_windows(samples, seq).withColumn("power", power_spectrum(F.flatten("signals")))
+    staged = signal_stages(transformed)
     squares = lambda i: F.transform(F.col("steps")[i], lambda v: v * v)
     planar = F.zip_with(squares(0), squares(1), add)
     jerk = F.transform(F.zip_with(planar, squares(2), add), lambda v: F.sqrt(v) * SAMPLING_RATE_HZ)
     staged = staged.withColumn("jerk", jerk).withColumn("jerk_mean", average(F.col("jerk")))
-    staged = with_totals(staged.withColumn("power", power_spectrum(F.flatten("signals"))))
+    staged = with_totals(staged)
     columns = {
         f"{NAME_OF[x]}__{stat}": staged_statistic(stat, i)
         for i, x in enumerate(SIGNALS)
