@@ -425,3 +425,38 @@ def str_07(t):
     table = processors.run_to_table(t.spark, processors.hourly_false_alarms(stream, "time", 20.0), t.root, complete=True)
     hour = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(hour as timestamp_ntz))")
     return table.select(hour.alias("hour_s"), "false_positives", "windows", *rounded("rate"))
+
+
+# -- nearest neighbours ----------------------------------------------------------
+
+NEIGHBOURS = 11
+part("zs", """
+SELECT vec_id, j, (x - m) / s AS z, label, f FROM vt JOIN (SELECT j, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS s FROM vt WHERE f NOT IN (0, 1) GROUP BY j) USING (j)
+""", "vt")
+part("nn", f"""
+SELECT q_id, r_id, label, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, r_id) AS rank FROM (
+  SELECT q.vec_id AS q_id, r.vec_id AS r_id, max(r.label) AS label, sqrt(sum((q.z - r.z) * (q.z - r.z))) AS distance
+  FROM zs q JOIN zs r USING (j) WHERE q.f = 0 AND r.f NOT IN (0, 1) GROUP BY q.vec_id, r.vec_id)) WHERE rank <= {NEIGHBOURS}
+""", "zs")
+
+
+def neighbours_of(t):
+    from motionframe.operators.neighbours import nearest
+
+    train, test = scaled_split(t)
+    return nearest(test.select(F.col("vec_id").alias("q_id"), "features"), train.select(F.col("vec_id").alias("r_id"), "features", "label"), NEIGHBOURS)
+
+
+@query("jn_12_nearest_neighbours", ctes("nn") + "SELECT q_id, r_id, rank, round(distance, 6) AS distance FROM nn")
+def jn_12(t):
+    return neighbours_of(t).select("q_id", "r_id", *longs("rank"), *rounded("distance"))
+
+
+@query(
+    "ml_06_distance_weighted_vote",
+    ctes("nn") + """SELECT q_id, round(sum(w * label) / sum(w), 6) AS score FROM (SELECT *, CASE WHEN min(distance) OVER (PARTITION BY q_id) = 0 THEN (distance = 0)::INTEGER::DOUBLE ELSE 1.0::DOUBLE / distance END AS w FROM nn) GROUP BY q_id""",
+)
+def ml_06(t):
+    from motionframe.operators.neighbours import vote
+
+    return vote(neighbours_of(t)).select("q_id", *rounded("score"))

@@ -101,3 +101,20 @@ def test_exact_quantile(spark):
     frame = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
     row = metrics.exact_quantile(frame, "v", 0.99, ["g"], "q").first()
     assert np.isclose(row.q, np.percentile(values, 99))
+
+
+def test_nearest_neighbours_over_small_blocks(spark, monkeypatch):
+    from motionframe.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "REFERENCE_BLOCK", 7)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(neighbours, "PIVOTS", 4)
+    rng = np.random.default_rng(6)
+    refs, queries = rng.random((60, 3)), rng.random((20, 3))
+    r = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(refs)], "r_id long, features array<double>, label int")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "q_id long, features array<double>")
+    got = {}
+    for row in neighbours.nearest(q, r, 5).orderBy("q_id", "rank").collect():
+        got.setdefault(row.q_id, []).append(row.r_id)
+    far = np.linalg.norm(queries[:, None] - refs[None], axis=2)
+    assert got == {i: np.argsort(far[i])[:5].tolist() for i in range(20)}
