@@ -42,11 +42,15 @@ def class_quotas(rows: DataFrame, by: Sequence[str], seed: int = SEED) -> DataFr
         F.raise_error(F.lit("balanced sampling needs both classes")).cast("long")
     )
     draw = hash_draw(seed, "quota", F.col("label"), *[F.col(p) for p in PARTICIPANT])
-    order = Window.partitionBy(*by, "label").orderBy("_draw", *PARTICIPANT)
-    ranked = sized.withColumns({"_target": both, "_draw": draw}).withColumn(
-        "_rank", F.row_number().over(order)
+    ranked = ordered_positions(
+        sized.withColumns({"_target": both, "_draw": draw}),
+        [*by, "label"],
+        [F.col(c) for c in ("_draw", *PARTICIPANT)],
+        F.floor(F.col("_draw") / 1_048_576),
+        "_rank",
+        hot=F.lit(True),
     )
-    extra = (F.col("_rank") <= F.col("_target") % F.col("_groups")).cast("long")
+    extra = (F.col("_rank") < F.col("_target") % F.col("_groups")).cast("long")
     quota = F.floor(F.col("_target") / F.col("_groups")) + extra
     return ranked.select(*by, "label", *PARTICIPANT, "candidates", quota.alias("quota"))
 

@@ -11,6 +11,7 @@ from motionframe.functions.exprs import hash_draw, ratio
 from motionframe.operators.alarms import alarm_metrics
 from motionframe.operators.metrics import confusion_counts
 from motionframe.operators.sampling import numbered
+from motionframe.operators.skew import ordered_positions
 
 COUNTS = (
     "tn", "fp", "fn", "tp", "fall_events", "detected_events", "adl_negative_window_hours", "adl_alarm_episodes",
@@ -73,10 +74,17 @@ def point_estimates(counts: DataFrame) -> DataFrame:
     return rates(counts.groupBy(*METHOD).agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
 
-def _indexed(df: DataFrame, unit: Sequence[str], keys: Sequence[str], name: str) -> DataFrame:
-    """Number the distinct keys of each unit from 0."""
-    order = Window.partitionBy(*unit).orderBy(*keys)
-    return df.select(*unit, *keys).distinct().withColumn(name, F.row_number().over(order) - 1)
+def _numbered_people(cells: DataFrame) -> DataFrame:
+    """Number the participants of each unit from 0, always split by dataset."""
+    people = cells.select("unit", *PARTICIPANT).distinct()
+    order = [F.col(k) for k in PARTICIPANT]
+    return ordered_positions(people, ["unit"], order, F.col("dataset_id"), "p", hot=F.lit(True))
+
+
+def _numbered_seeds(cells: DataFrame) -> DataFrame:
+    """Number the seeds of each side from 0; a run has a handful of seeds."""
+    order = Window.partitionBy("unit", "side").orderBy("seed")
+    return cells.select("unit", "side", "seed").distinct().withColumn("s", F.row_number().over(order) - 1)
 
 
 def resampled(cells: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
@@ -87,14 +95,14 @@ def resampled(cells: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     participant adds its counts per seed (reduced map-side to one row per replicate and
     seed), which are then weighted by how often the seed was drawn.
     """
-    people = _indexed(cells, ["unit"], PARTICIPANT, "p")
-    seeds = _indexed(cells, ["unit", "side"], ["seed"], "s")
+    people = _numbered_people(cells)
+    seeds = _numbered_seeds(cells)
     placed = cells.join(people, ["unit", *PARTICIPANT]).join(seeds, ["unit", "side", "seed"])
     size = people.groupBy("unit").agg(F.count(F.lit(1)).alias("_p"))
     reps = numbered(size, F.lit(replicates), "rep")
     draws = numbered(reps, F.col("_p"), "draw")
     person = hash_draw(seed, "participant", F.col("unit"), F.col("rep"), F.col("draw")) % F.col("_p")
-    drawn = draws.select("unit", "rep", person.cast("int").alias("p"))
+    drawn = draws.select("unit", "rep", person.alias("p"))
     sums = (
         drawn.join(placed, ["unit", "p"])
         .groupBy("unit", "side", "rep", "s")
