@@ -7,15 +7,16 @@ has not met. A worker keeps ``KEPT_PIECES`` pieces at most; frequent ones come e
 """
 
 import hashlib
+import os
 import re
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers, about 200 bytes each. More pieces are encoded again.
-KEPT_PIECES = 500_000
+#: Pieces that a worker remembers, about 40 bytes each. Further ones are encoded again.
+KEPT_PIECES = 1_000_000
 #: A space before another white-space character or at the end, where the plain cut would be wrong.
 IRREGULAR = r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 CUT = re.compile(r" (?=\S)")
@@ -24,58 +25,91 @@ JOINED = 256
 _encoders = {}
 
 
+def spread(starts, sizes):
+    """Places of runs in a row: starts[0], starts[0] + 1, ... for sizes[0] places, and so on."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
+
+
+class Pool:
+    """Ids of many pieces in one array: piece k has ``sizes[k]`` ids from ``starts[k]`` on."""
+
+    def __init__(self, ids, sizes):
+        self.ids, self.sizes = ids, np.asarray(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def take(self, which):
+        sizes = self.sizes[which]
+        return Pool(self.ids[spread(self.starts[which], sizes)], sizes)
+
+    @staticmethod
+    def stacked(pools):
+        return Pool(np.concatenate([p.ids for p in pools]), np.concatenate([p.sizes for p in pools]))
+
+
 class Encoder:
     """Ids of texts by the ``tokenizers`` library, special strings in a text as its default."""
 
     def __init__(self, path):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = {}
-        self.ends = {}
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.pieces = pa.array([], pa.large_string())
+        self.known = Pool(np.zeros(0, self.kind), [])
 
     def _plain(self, texts):
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = [len(x) for x in found]
+        return Pool(np.fromiter(chain.from_iterable(found), self.kind, sum(sizes)), sizes)
 
     def _letters(self, cores):
         """Ids of " core" for words of letters only: one pre-token each, so many share a call."""
-        found = {}
-        for at in range(0, len(cores), JOINED):
-            part = cores[at : at + JOINED]
-            e = self.tokenizer.encode("".join([" " + w for w in part]), add_special_tokens=False)
-            ids, owner = np.array(e.ids, np.uint32), np.array(e.word_ids)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            for k, w in enumerate(part):
-                found[w] = ids[cuts[k] : cuts[k + 1]]
-        return found
+        lines = ["".join([" " + w for w in cores[at : at + JOINED]]) for at in range(0, len(cores), JOINED)]
+        ids, sizes = [], []
+        for k, e in enumerate(self.tokenizer.encode_batch(lines, add_special_tokens=False)):
+            ids.append(np.array(e.ids, self.kind))
+            sizes.append(np.bincount(np.array(e.word_ids), minlength=min(JOINED, len(cores) - k * JOINED)))
+        return Pool(np.concatenate(ids), np.concatenate(sizes)) if ids else Pool(np.zeros(0, self.kind), [])
+
+    def _fresh(self, pieces):
+        """Ids of " piece" for pieces that the worker has not met."""
+        cores = pc.utf8_rtrim(pieces, ".,")
+        simple = pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False)
+        whole, bare = pieces.filter(pa.array(simple)), cores.filter(pa.array(simple))
+        words = pc.dictionary_encode(bare)
+        ends = pa.array([w[k:] for w, k in zip(whole.to_pylist(), pc.utf8_length(bare).to_pylist())], pa.large_string())
+        ends = pc.dictionary_encode(ends)
+        by_core, by_end = self._letters(words.dictionary.to_pylist()), self._plain(ends.dictionary.to_pylist())
+        core, end = words.indices.to_numpy().astype(np.int64), ends.indices.to_numpy().astype(np.int64) + len(by_core.sizes)
+        both = Pool.stacked([by_core, by_end])
+        paired = both.take(np.stack([core, end], 1).ravel())
+        made = Pool(paired.ids, paired.sizes.reshape(-1, 2).sum(1))
+        rest = self._plain([" " + w for w in pieces.filter(pa.array(~simple)).to_pylist()])
+        order = np.empty(len(simple), np.int64)
+        order[simple] = np.arange(len(made.sizes))
+        order[~simple] = len(made.sizes) + np.arange(len(rest.sizes))
+        return Pool.stacked([made, rest]).take(order)
 
     def _spaced(self, pieces):
-        """Ids of " piece" for each piece; the worker remembers them."""
-        known, fresh = self.pieces, {}
-        out = list(map(known.get, pieces))
-        missing = [w for w, ids in zip(pieces, out) if ids is None]
-        if missing:
-            split = [(w, w.rstrip(".,")) for w in missing]
-            simple = [(w, c) for w, c in split if c.isalpha()]
-            cores = {c for _, c in simple} - known.keys()
-            by_core = self._letters(sorted(cores))
-            for w, c in simple:
-                ids = by_core[c] if c in by_core else known[c]
-                if len(w) > len(c):
-                    end = w[len(c) :]
-                    if end not in self.ends:
-                        self.ends[end] = self._plain([end])[0]
-                    ids = np.concatenate([ids, self.ends[end]])
-                fresh[w] = ids
-            rest = [w for w, c in split if not c.isalpha()]
-            fresh.update(zip(rest, self._plain([" " + w for w in rest])))
-            if len(self.ends) > 10_000:
-                self.ends.clear()
-            out = [fresh[w] if ids is None else ids for w, ids in zip(pieces, out)]
-            room = max(0, KEPT_PIECES - len(known))
-            known.update(islice(fresh.items(), room))
+        """Ids of " piece" for each of the distinct pieces; the worker remembers them."""
+        met = pc.index_in(pieces, value_set=self.pieces)
+        new = pc.is_null(met)
+        at = pc.fill_null(met, 0).to_numpy().astype(np.int64)
+        missing = pieces.filter(new)
+        if not len(missing):
+            return self.known.take(at)
+        fresh = self._fresh(missing)
+        at[new.to_numpy(zero_copy_only=False)] = len(self.known.sizes) + np.arange(len(missing))
+        out = Pool.stacked([self.known, fresh]).take(at)
+        room = min(max(0, KEPT_PIECES - len(self.pieces)), len(missing))
+        if room:
+            self.pieces = pa.concat_arrays([self.pieces, missing.slice(0, room)])
+            self.known = Pool.stacked([self.known, fresh.take(np.arange(room))])
         return out
 
     def encode(self, texts):
@@ -86,30 +120,26 @@ class Encoder:
             texts = texts.combine_chunks()
         n = len(texts)
         if not n:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
+            return np.zeros(0, self.kind), np.zeros(1, np.int64)
+        odd = pc.match_substring_regex(texts, IRREGULAR)
         cut = pc.split_pattern(texts, " ")
-        if odd.any():
-            lists = [CUT.split(t) if o else None for t, o in zip(texts.to_pylist(), odd)]
-            plain = pc.if_else(pa.array(odd), pa.scalar(None, cut.type), cut).to_pylist()
-            cut = pa.array([a if a is not None else b for a, b in zip(lists, plain)], pa.large_list(pa.large_string()))
+        if pc.any(odd).as_py():
+            by_hand = pa.array([CUT.split(t) for t in texts.filter(odd).to_pylist()], cut.type)
+            place = np.arange(n)
+            place[odd.to_numpy(zero_copy_only=False)] = n + np.arange(len(by_hand))
+            cut = pa.concat_arrays([cut, by_hand]).take(pa.array(place))
         starts = cut.offsets.to_numpy().astype(np.int64)
         starts = starts - starts[0]
-        numbered = pc.dictionary_encode(cut.flatten())
-        distinct = self._spaced(numbered.dictionary.to_pylist())
+        flat = cut.flatten()
+        numbered = pc.dictionary_encode(flat)
+        distinct = self._spaced(numbered.dictionary)
         code = numbered.indices.to_numpy().astype(np.int64)
-        firsts = self._plain(pc.take(cut.flatten(), pa.array(starts[:-1])).to_pylist())
-        code[starts[:-1]] = len(distinct) + np.arange(n)
-        parts = distinct + firsts
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        each = sizes[code]
-        ends = np.cumsum(each)
-        total = int(ends[-1])
-        places = np.repeat(at[code] - (ends - each), each) + np.arange(total)
-        bounds = np.concatenate([[0], ends])
-        return pool[places], bounds[starts]
+        firsts = self._plain(flat.take(pa.array(starts[:-1])).to_pylist())
+        code[starts[:-1]] = len(distinct.sizes) + np.arange(n)
+        pool = Pool.stacked([distinct, firsts])
+        each = pool.sizes[code]
+        bounds = np.concatenate([[0], np.cumsum(each)])
+        return pool.ids[spread(pool.starts[code], each)], bounds[starts]
 
 
 def encoder(path):
@@ -130,7 +160,7 @@ def default_tokenizer():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(batch, max_bytes=4 << 20):
+def slices(batch, max_bytes=6 << 20):
     """Cut a record batch so that no part holds more text than that, but for a single long text."""
     texts = batch.column("text").cast(pa.large_string())
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
