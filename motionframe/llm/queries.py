@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from motionframe.llm import common, exact_dedup, mixing, packing, rans, token_counts
+from motionframe.llm import common, exact_dedup, mixing, packing, rans, simhash, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -52,6 +52,11 @@ def source_mix(spark, sf_dir):
     return mixing.taken_words(spark, sized).drop("source")
 
 
+@query("op9_simhash_anchors")
+def simhash_components(spark, sf_dir):
+    return simhash.clusters(spark, documents(spark, sf_dir))
+
+
 @query("op10_token_counts")
 def token_count_cache(spark, sf_dir):
     cache = f"{common.shared_dir(spark)}/llm/token-counts/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
