@@ -15,6 +15,9 @@ Cases: a null or blank text has size 0 and is never taken; a null source is a so
 the last; where all sizes are 0, all targets are 0; repeated rows are taken each; no rows give no rows.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,3 +135,17 @@ def taken_words(spark, docs, block=BLOCK, share=1.0, most=MOST):
     return rows.join(facts, rows["source"].eqNullSafe(facts["of"])).select(
         "doc_id", "source", "size", "source_size", "target", "taken"
     )
+
+
+def mixed(spark, docs, block=BLOCK, share=1.0, most=MOST):
+    """The mix at the grain of documents, with their columns: each row as often as it is taken,
+    a last time where at least half of it is. Rows alike in doc_id, source and size are taken alike."""
+    keys = ["doc_id", "source", "size"]
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", common.word_count(F.col("text")).alias("size"))
+    taken = taken_words(spark, sized, block, share, most).filter("taken > 0")
+    times = taken.groupBy(*keys).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).filter("_times > 0")
+    times = times.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_times")
+    own = [F.col("doc_id").cast("long"), F.col("source"), common.word_count(F.col("text"))]
+    same = reduce(and_, [a.eqNullSafe(F.col(f"_of_{k}")) for a, k in zip(own, keys)])
+    rows = docs.join(times, same).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.select(*[docs[c] for c in docs.columns])

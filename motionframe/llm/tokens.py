@@ -1,7 +1,7 @@
 """Token ids of whole texts, fast: distinct pieces of a batch go through the tokenizer once.
 
-A byte-level BPE never joins tokens across a space that a non-space follows, so a text may be
-cut there and its ids are those of the pieces in a row. Invented or natural, most words repeat:
+A byte-level BPE never joins tokens across a space that a non-space follows, nor across a line
+feed between non-spaces, so a text may be cut there and its ids are those of the pieces in a row. Invented or natural, most words repeat:
 each Arrow batch is cut and numbered in C++, and the tokenizer sees only pieces that its worker
 has not met. A worker keeps ``KEPT_PIECES`` pieces at most; frequent ones come early.
 """
@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 
 #: Pieces that a worker remembers, about 40 bytes each. Further ones are encoded again.
 KEPT_PIECES = 1_000_000
-#: A space before another white-space character or at the end, where the plain cut would be wrong.
-IRREGULAR = r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+#: White space as the tokenizer sees it, but for the plain space.
+OTHER = r"\t\n\x{0b}\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space in a row, or a space or line feed at the end: the plain cut would be wrong there.
+IRREGULAR = rf"[ \n](?:[ {OTHER}]|$)|[{OTHER}]\n"
 CUT = re.compile(r" (?=\S)")
 JOINED = 256
 
@@ -68,35 +70,40 @@ class Encoder:
         return Pool(np.fromiter(chain.from_iterable(found), self.kind, sum(sizes)), sizes)
 
     def _letters(self, cores):
-        """Ids of " core" for words of letters only: one pre-token each, so many share a call."""
-        lines = ["".join([" " + w for w in cores[at : at + JOINED]]) for at in range(0, len(cores), JOINED)]
-        ids, sizes = [], []
-        for k, e in enumerate(self.tokenizer.encode_batch(lines, add_special_tokens=False)):
+        """Ids of words of letters with their space or line feed: one or two pre-tokens each, so
+        many words share a call."""
+        lines = [cores[at : at + JOINED] for at in range(0, len(cores), JOINED)]
+        found = self.tokenizer.encode_batch(["".join(x) for x in lines], add_special_tokens=False)
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for line, e in zip(lines, found):
+            parts = np.array([1 + (w[0] == "\n") for w in line])
+            first = np.cumsum(parts) - parts
             ids.append(np.array(e.ids, self.kind))
-            sizes.append(np.bincount(np.array(e.word_ids), minlength=min(JOINED, len(cores) - k * JOINED)))
-        return Pool(np.concatenate(ids), np.concatenate(sizes)) if ids else Pool(np.zeros(0, self.kind), [])
+            sizes.append(np.add.reduceat(np.bincount(np.array(e.word_ids), minlength=int(parts.sum())), first))
+        return Pool(np.concatenate(ids), np.concatenate(sizes))
 
     def _fresh(self, pieces):
-        """Ids of " piece" for pieces that the worker has not met."""
+        """Ids of pieces that the worker has not met, with the space or line feed before them."""
         cores = pc.utf8_rtrim(pieces, ".,")
-        simple = pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False)
-        whole, bare = pieces.filter(pa.array(simple)), cores.filter(pa.array(simple))
+        simple = pc.utf8_is_alpha(pc.replace_substring_regex(cores, r"^\n", ""))
+        whole, bare = pieces.filter(simple), cores.filter(simple)
         words = pc.dictionary_encode(bare)
         ends = pa.array([w[k:] for w, k in zip(whole.to_pylist(), pc.utf8_length(bare).to_pylist())], pa.large_string())
         ends = pc.dictionary_encode(ends)
-        by_core, by_end = self._letters(words.dictionary.to_pylist()), self._plain(ends.dictionary.to_pylist())
+        spaced = [w if w[0] == "\n" else " " + w for w in words.dictionary.to_pylist()]
+        by_core, by_end = self._letters(spaced), self._plain(ends.dictionary.to_pylist())
         core, end = words.indices.to_numpy().astype(np.int64), ends.indices.to_numpy().astype(np.int64) + len(by_core.sizes)
-        both = Pool.stacked([by_core, by_end])
-        paired = both.take(np.stack([core, end], 1).ravel())
+        paired = Pool.stacked([by_core, by_end]).take(np.stack([core, end], 1).ravel())
         made = Pool(paired.ids, paired.sizes.reshape(-1, 2).sum(1))
-        rest = self._plain([" " + w for w in pieces.filter(pa.array(~simple)).to_pylist()])
+        rest = self._plain([w if w[:1] == "\n" else " " + w for w in pieces.filter(pc.invert(simple)).to_pylist()])
+        simple = simple.to_numpy(zero_copy_only=False)
         order = np.empty(len(simple), np.int64)
         order[simple] = np.arange(len(made.sizes))
         order[~simple] = len(made.sizes) + np.arange(len(rest.sizes))
         return Pool.stacked([made, rest]).take(order)
 
     def _spaced(self, pieces):
-        """Ids of " piece" for each of the distinct pieces; the worker remembers them."""
+        """Ids of each of the distinct pieces; the worker remembers them."""
         met = pc.index_in(pieces, value_set=self.pieces)
         new = pc.is_null(met)
         at = pc.fill_null(met, 0).to_numpy().astype(np.int64)
@@ -122,7 +129,7 @@ class Encoder:
         if not n:
             return np.zeros(0, self.kind), np.zeros(1, np.int64)
         odd = pc.match_substring_regex(texts, IRREGULAR)
-        cut = pc.split_pattern(texts, " ")
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")  # a piece keeps its line feed
         if pc.any(odd).as_py():
             by_hand = pa.array([CUT.split(t) for t in texts.filter(odd).to_pylist()], cut.type)
             place = np.arange(n)
