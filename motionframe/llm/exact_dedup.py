@@ -73,6 +73,7 @@ def collisions(spark, docs, index):
     found, chain = None, 0
     while True:
         heads = waiting.groupBy("sha").agg(F.max_by("text", F.struct("doc_id", "text")).alias("head"))
+        heads = common.written(spark, heads, "op7-heads")  # read anew, so that a hot digest's copies can be split
         rest = common.written(spark, waiting.join(heads, "sha").filter("text <> head").drop("head"), "op7-rest")
         if not rest.head(1):
             return found

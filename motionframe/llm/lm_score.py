@@ -6,11 +6,12 @@ counts alone. A document scores the mean over its words of target loss less back
 nats: below zero, the words are likelier in the target.
 
 The vocabulary is the ``VOCABULARY`` words that the corpus has most often; all others are one
-unknown word, which both models know. Counts cover every word of every document. Each task adds
-its bigrams up in a table of 2 ** ``BUCKET_BITS`` hashed buckets and its words in a table of the
-vocabulary's size; tables are cut into chunks, which are summed by chunk. So a task puts out a
-bounded amount however frequent a word is, the volume follows the number of tasks, and the models
-that the scoring tasks get have a fixed size (some 10 MB).
+unknown word, which both models know. Pairs are counted between classes: each of the ``PAIRED``
+most frequent words is a class of its own, the others share one, within which a word has its
+share of the class. So the tables of pairs are exact and of a fixed size. Counts cover every word
+of every document. Each task adds its own tables up, which are cut into chunks and summed by
+chunk: a task puts out a bounded amount however frequent a word is, the volume follows the number
+of tasks, and the models that the scoring tasks get have a fixed size (some 10 MB).
 
 Cases: a null, empty or blank text has no words, a score of 0 and null losses; documents that the
 target list repeats or that are missing do no harm; without any target the target model is the
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from motionframe.llm import common, tokens
 
 VOCABULARY = 1 << 16
-BUCKET_BITS = 20
+PAIRED = 1022
+#: Classes: the unknown and rare words, the beginning of a text, the paired words.
+CLASSES = PAIRED + 2
 CHUNK = 1 << 14
 #: Share of the bigram estimate; the rest is the word's own frequency.
 MIXED = 0.7
@@ -67,9 +70,9 @@ def numbered(texts, vocabulary):
     return ids, before, document
 
 
-def bucket(before, ids):
-    mixed = (before.astype(np.uint64) * np.uint64(VOCABULARY * 4) + ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def pair(before, ids):
+    """Place of a pair of classes; words after the paired ones are in class ``UNKNOWN``."""
+    return np.where(before < CLASSES, before, UNKNOWN) * CLASSES + np.where(ids < CLASSES, ids, UNKNOWN)
 
 
 def _tables(shared):
@@ -77,19 +80,15 @@ def _tables(shared):
 
     def run(batches):
         vocabulary = pa.array(shared.value, pa.large_string())
-        sizes = [len(shared.value) + 2] * 2 + [1 << BUCKET_BITS] * 2
+        sizes = [len(shared.value) + 2] * 2 + [CLASSES * CLASSES] * 2
         tables = [np.zeros(s, np.int64) for s in sizes]
         for batch in batches:
             for some in tokens.slices(batch):
                 ids, before, document = numbered(some.column("text"), vocabulary)
                 target = some.column("target").to_numpy(zero_copy_only=False).astype(bool)
-                pairs, chosen = bucket(before, ids), target[document]
+                pairs, chosen = pair(before, ids), target[document]
                 for k, (values, keep) in enumerate(((ids, None), (ids, chosen), (pairs, None), (pairs, chosen))):
                     tables[k] += np.bincount(values if keep is None else values[keep], minlength=sizes[k])
-                read = np.zeros(len(target), bool)
-                read[document] = True
-                tables[0][BEGIN] += read.sum()
-                tables[1][BEGIN] += (read & target).sum()
         for k, table in enumerate(tables):
             for at in range(0, len(table), CHUNK):
                 part = table[at : at + CHUNK]
@@ -125,19 +124,24 @@ class Models:
     def __init__(self, vocabulary, tables):
         self.vocabulary, self.tables = vocabulary, tables
 
-    def loss(self, which, before, ids, pairs):
-        own, both = self.tables[which], self.tables[2 + which]
-        word = (own[ids] + ADDED) / (own[2:].sum() + own[UNKNOWN] + ADDED * (len(own) - 1))
-        context = own[before]
-        pair = np.minimum(both[pairs], np.minimum(context, np.where(own[ids] > 0, both[pairs], 0))) / np.maximum(context, 1)
-        return -np.log(np.where(context > 0, MIXED * pair + (1 - MIXED) * word, word))
+    def loss(self, which, before, ids):
+        own, pairs = self.tables[which].astype(np.float64), self.tables[2 + which].reshape(CLASSES, CLASSES)
+        own[BEGIN] = -ADDED  # it begins texts and never stands in them
+        weight = own + ADDED
+        word = weight / weight.sum()
+        within = np.ones(len(own))
+        rare = np.r_[UNKNOWN, np.arange(CLASSES, len(own))]
+        within[rare] = weight[rare] / weight[rare].sum()
+        context = pairs.sum(1, dtype=np.float64)[np.where(before < CLASSES, before, UNKNOWN)]
+        paired = pairs.ravel()[pair(before, ids)] / np.maximum(context, 1) * within[ids]
+        return -np.log(np.where(context > 0, MIXED * paired + (1 - MIXED) * word[ids], word[ids]))
 
     def losses(self, texts):
         """(words, mean target loss, mean background loss) of each document."""
         ids, before, document = numbered(texts, pa.array(self.vocabulary, pa.large_string()))
-        pairs, n = bucket(before, ids), len(texts)
+        n = len(texts)
         counts = np.bincount(document, minlength=n)
-        means = [np.bincount(document, self.loss(w, before, ids, pairs), n) / np.maximum(counts, 1) for w in (1, 0)]
+        means = [np.bincount(document, self.loss(w, before, ids), n) / np.maximum(counts, 1) for w in (1, 0)]
         return counts, *means
 
 
@@ -150,11 +154,11 @@ def fit(spark, docs, target_ids, vocabulary=VOCABULARY):
     marked = texts.join(chosen.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     parts = marked.mapInArrow(_tables(spark.sparkContext.broadcast(listed)), "kind int, at long, counts binary")
     summed = parts.repartition("kind", "at").sortWithinPartitions("kind", "at").mapInArrow(_sums, "kind int, at long, counts binary")
-    tables = [np.zeros(len(listed) + 2, np.int64) for _ in range(2)] + [np.zeros(1 << BUCKET_BITS, np.int64) for _ in range(2)]
+    tables = [np.zeros(len(listed) + 2, np.int64) for _ in range(2)] + [np.zeros(CLASSES * CLASSES, np.int64) for _ in range(2)]
     for row in common.written(spark, summed, "op3-tables").toLocalIterator():  # tables of a fixed size
         part = np.frombuffer(row["counts"], "<i8")
         tables[row["kind"]][row["at"] : row["at"] + len(part)] = part
-    return Models(listed, [t.astype(np.float32) for t in tables])
+    return Models(listed, tables)
 
 
 def _scorer(shared):

@@ -26,7 +26,7 @@ from motionframe.llm import common
 #: Words of a block.
 BLOCK = 1024
 #: Rows of a cell in running sums.
-CELL = 50_000
+CELL = 10_000
 #: No document is taken more often.
 MOST = 3
 
