@@ -62,9 +62,16 @@ def pair_points(annotations: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:
 
 
 def pair_events(annotations: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:
-    """Events (onset, impact, stop, code): exactly one activity and one impact each."""
-    paired = pair_points(annotations, seq).filter("activities = 1 and impacts = 1")
-    return paired.select(*seq, "onset", "impact", "stop", "code")
+    """Events (onset, impact, stop, code): exactly one activity and one impact each.
+
+    An onset that pairs otherwise fails, as its windows would pass for negatives;
+    ``unpaired_points`` lists such onsets beforehand.
+    """
+    paired = pair_points(annotations, seq)
+    told = F.concat_ws(" ", F.lit("onset without exactly one activity and impact:"), *seq, F.col("onset").cast("string"), "code")
+    one = (F.col("activities") == 1) & (F.col("impacts") == 1)
+    stop = F.when(one, F.col("stop")).otherwise(F.raise_error(told).cast("long"))
+    return paired.select(*seq, "onset", "impact", stop.alias("stop"), "code")
 
 
 def unpaired_points(annotations: DataFrame, seq: Sequence[str] = SEQ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from motionframe.operators.sampling import numbered
 from motionframe.operators.skew import HOT_ROWS, ordered_positions, with_previous
 
 BLOCK = 4096
@@ -44,12 +45,14 @@ def resample(
     """Grid rows (keys, k, rel, values) at ``k / rate``, never after the last sample.
 
     Every grid point belongs to one segment, so interpolation needs no as-of join: a
-    segment emits the points inside it. ``t`` is the time in seconds.
+    segment emits the points inside it, a block of them at a time, so that a long gap is
+    never one array. ``t`` is the time in seconds.
     """
     parts = segments(series, keys, values, chunk, hot_rows)
     low = F.floor(F.col("rel") * rate_hz)
     high = F.when(F.col("next_rel").isNull(), low + 1).otherwise(F.ceil(F.col("next_rel") * rate_hz))
-    points = parts.withColumn("k", F.explode(F.sequence(low, high))).withColumn(
+    sized = parts.withColumns({"_low": low, "_many": high - low + 1})
+    points = numbered(sized, F.col("_many"), "_step", BLOCK).withColumn("k", F.col("_low") + F.col("_step")).withColumn(
         "grid", F.col("k") / F.lit(float(rate_hz))
     )
     inside = (F.col("grid") >= F.col("rel")) & F.when(

@@ -61,18 +61,18 @@ def balanced_sample(
     """Participant- and class-balanced resampling with replacement.
 
     ``rows`` holds (by, label, participant, seq, win). Each draw picks a candidate by
-    number, so the join is on exact keys and a hot participant is spread by number.
+    number within its own group, so the join is on exact keys and a hot participant is
+    spread by number. ``rows`` holds a window of a group once.
     """
-    pool = rows.select("label", *PARTICIPANT, *seq, "win").distinct()
+    pool = rows.select(*by, "label", *PARTICIPANT, *seq, "win").distinct()
+    members = [*by, "label", *PARTICIPANT]
     indexed = ordered_positions(
-        pool, ["label", *PARTICIPANT], [F.col("win"), *[F.col(s) for s in seq]], F.floor(F.col("win") / 4096), "idx"
+        pool, members, [F.col("win"), *[F.col(s) for s in seq]], F.floor(F.col("win") / 4096), "idx"
     )
     draws = numbered(class_quotas(rows, by, seed), F.col("quota"), "draw")
     pick = hash_draw(seed, "pick", *[F.col(b) for b in by], F.col("label"), *[F.col(p) for p in PARTICIPANT], F.col("draw"))
     chosen = draws.withColumn("idx", pick % F.col("candidates"))
-    return chosen.join(indexed, ["label", *PARTICIPANT, "idx"]).select(
-        *by, "label", *PARTICIPANT, *seq, "win"
-    )
+    return chosen.join(indexed, [*members, "idx"]).select(*members, *seq, "win")
 
 
 def recipe_audit(sample: DataFrame, by: Sequence[str], seq: Sequence[str] = SEQ) -> DataFrame:

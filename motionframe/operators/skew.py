@@ -40,7 +40,8 @@ def ordered_positions(
 
     ``chunk`` must be non-decreasing in ``order``. Keys up to ``hot_rows`` rows are
     numbered by one window; larger ones per chunk plus the counts of earlier chunks.
-    There are at most rows/hot_rows hot keys, which bounds the broadcast side. A caller
+    There are at most rows/hot_rows hot keys, a small side that Spark broadcasts where
+    its measured size allows. A caller
     that already knows the size of a key passes ``hot`` and saves the count.
     """
     if hot is None:
@@ -50,7 +51,7 @@ def ordered_positions(
             .filter(F.col("count") > hot_rows)
             .select(*keys, F.lit(True).alias("_hot"))
         )
-        tagged = df.join(F.broadcast(large), list(keys), "left")
+        tagged = df.join(large, list(keys), "left")
     else:
         tagged = df.withColumn("_hot", hot)
     tagged = tagged.withColumn("_chunk", F.when(F.col("_hot"), chunk))

@@ -102,11 +102,11 @@ def resampled(cells: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     reps = numbered(size, F.lit(replicates), "rep")
     draws = numbered(reps, F.col("_p"), "draw")
     person = hash_draw(seed, "participant", F.col("unit"), F.col("rep"), F.col("draw")) % F.col("_p")
-    drawn = draws.select("unit", "rep", person.alias("p"))
+    drawn = draws.select("unit", "rep", person.alias("p")).groupBy("unit", "rep", "p").agg(F.count(F.lit(1)).alias("_v"))
     sums = (
-        drawn.join(placed, ["unit", "p"])
+        drawn.join(placed.select("unit", "side", "p", "s", *COUNTS), ["unit", "p"])
         .groupBy("unit", "side", "rep", "s")
-        .agg(*[F.sum(c).alias(c) for c in COUNTS])
+        .agg(*[F.sum(F.col(c) * F.col("_v")).alias(c) for c in COUNTS])
     )
     seed_size = seeds.groupBy("unit", "side").agg(F.count(F.lit(1)).alias("_s"))
     seed_draws = numbered(numbered(seed_size, F.lit(replicates), "rep"), F.col("_s"), "draw")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from motionframe.constants import FOLD_COUNT, JOB, POLICIES, REFERENCE_POLICY, SEED, SHORT_POLICIES, TOP_FRACTION
+from motionframe.constants import CHANNELS, FOLD_COUNT, JOB, POLICIES, REFERENCE_POLICY, SEED, SHORT_POLICIES, TOP_FRACTION
 from motionframe.functions import exprs
 from motionframe.functions.exprs import r6
 from motionframe.operators import folds, labels, metrics, quality, windows
@@ -220,16 +220,18 @@ def snk_08(t):
 
 @query(
     "prj_02_standardised_channels",
-    ctes("samples") + """SELECT recording_id, sample_idx::BIGINT AS sample_idx, round((ax - m) / s, 6) + 0.0 AS ax FROM samples,
-    (SELECT avg(ax) AS m, CASE WHEN stddev_pop(ax) < 1e-6 THEN 1 ELSE stddev_pop(ax) END AS s FROM samples)""",
+    ctes("samples") + "SELECT recording_id, sample_idx::BIGINT AS sample_idx, " + ", ".join(
+        f"round(({c} - (SELECT avg({c}) FROM samples)) / (SELECT CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END FROM samples), 6) + 0.0 AS {c}"
+        for c in CHANNELS
+    ) + " FROM samples",
 )
 def prj_02(t):
     """One parameter row, attached as a scalar subquery's single row."""
     from motionframe.operators.models import standardise, standardisation
 
-    parameters = standardisation(t.samples.select("ax"), ["ax"])
-    return standardise(t.samples.select("recording_id", "sample_idx", "ax"), parameters, ["ax"]).select(
-        "recording_id", *longs("sample_idx"), r6("ax").alias("ax")
+    parameters = standardisation(t.samples.select(*CHANNELS), CHANNELS)
+    return standardise(t.samples.select("recording_id", "sample_idx", *CHANNELS), parameters, CHANNELS).select(
+        "recording_id", *longs("sample_idx"), *rounded(*CHANNELS)
     )
 
 
@@ -321,14 +323,16 @@ def flt_06(t):
 
 @query(
     "win_02_sliding_windows",
-    ctes("wrows") + "SELECT recording_id, win::BIGINT AS win, count(*) AS samples, round(sum(ax * (p + 1)), 6) + 0.0 AS weighted_ax, round(sum(gz * (p + 1)), 6) + 0.0 AS weighted_gz FROM wrows GROUP BY ALL",
+    ctes("wrows") + "SELECT recording_id, win::BIGINT AS win, count(*) AS samples, " + ", ".join(
+        f"round(sum({c} * (p + 1)), 6) + 0.0 AS weighted_{c}" for c in CHANNELS
+    ) + " FROM wrows GROUP BY ALL",
 )
 def win_02(t):
     """Position-weighted sums show that every sample sits at its place in each window."""
     place = F.col("pos") + 1
-    sums = [F.sum(F.col(c) * place).alias(f"weighted_{c}") for c in ("ax", "gz")]
+    sums = [F.sum(F.col(c) * place).alias(f"weighted_{c}") for c in CHANNELS]
     table = windows.complete_windows(windows.window_samples(t.samples), [F.count(F.lit(1)).alias("samples"), *sums])
-    return table.select("recording_id", *longs("win"), "samples", *rounded("weighted_ax", "weighted_gz"))
+    return table.select("recording_id", *longs("win"), "samples", *rounded(*[f"weighted_{c}" for c in CHANNELS]))
 
 
 def _flag_query(name, condition, column):

@@ -217,14 +217,15 @@ def prj_01(t):
 
 @query(
     "wf_07_first_differences",
-    ctes("wd") + """SELECT recording_id, win::BIGINT AS win, p::BIGINT AS pos, round(d_ax, 6) + 0.0 AS d_ax, round(d_gz, 6) + 0.0 AS d_gz,
-    round(jerk, 6) + 0.0 AS jerk FROM wd WHERE p > 0""",
+    ctes("wd") + "SELECT recording_id, win::BIGINT AS win, p::BIGINT AS pos, " + ", ".join(
+        f"round({c}, 6) + 0.0 AS {c}" for c in (*[f"d_{s}" for s in SIGNALS], "jerk")
+    ) + " FROM wd WHERE p > 0",
 )
 def wf_07(t):
     rows = features.feature_rows(t.samples)
     whole = t.grid.select("recording_id", "win")
     return rows.join(whole, ["recording_id", "win"], "left_semi").filter("pos > 0").select(
-        "recording_id", *longs("win", "pos"), *[r6(c).alias(c) for c in ("d_ax", "d_gz", "jerk")]
+        "recording_id", *longs("win", "pos"), *[r6(c).alias(c) for c in (*[f"d_{s}" for s in SIGNALS], "jerk")]
     )
 
 

@@ -35,7 +35,7 @@ def thresholds(t):
 
 def stored_thresholds(t):
     """The per-job result record; written once, like the score shards' metadata."""
-    return t._stored("job_thresholds", lambda: thresholds(t).coalesce(1))
+    return t._stored("job_thresholds", lambda: thresholds(t).repartition(1))
 
 
 def test_scores(t):

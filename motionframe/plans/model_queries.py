@@ -1,5 +1,8 @@
 """Models, selection, custom functions and streaming."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.constants import BALANCED, FOLD_COUNT, JOB, NATURAL, NOT_APPLICABLE, POLICIES, REFERENCE_POLICY, SEED
@@ -34,13 +37,13 @@ def vectors(t):
     )
 
 
-def split(t, fold=0):
+def split(t, fold):
     rows = vectors(t)
     train = rows.filter((F.col("fold_id") != fold) & (F.col("fold_id") != (fold + 1) % FOLD_COUNT))
     return train, rows.filter(F.col("fold_id") == fold)
 
 
-def scaled_split(t, fold=0):
+def scaled_split(t, fold):
     train, test = split(t, fold)
     parameters = models.array_standardisation(train)
     return models.standardise_array(train, parameters), models.standardise_array(test, parameters)
@@ -50,15 +53,21 @@ def predictions(rows):
     return rows.select("vec_id", F.col("label").cast("long").alias("label"), F.round("score", 4).alias("score"))
 
 
+def every_fold(build):
+    """Union of ``build(fold)`` over the folds, with the fold as a column."""
+    parts = [build(fold).withColumn("fold", F.lit(fold).cast("long")) for fold in range(FOLD_COUNT)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 part("vt", "SELECT vec_id, unnest(range(0, len(embedding))) AS j, unnest(embedding)::DOUBLE AS x, (label < 5)::INTEGER AS label, vec_id % 5 AS f FROM embeddings")
 
 
 @query(
     "agg_24_feature_standardisation",
-    ctes("vt") + "SELECT j, round(avg(x), 6) + 0.0 AS mean, round(CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END, 6) AS scale FROM vt WHERE f NOT IN (0, 1) GROUP BY j",
+    ctes("vt") + "SELECT k AS fold, j, round(avg(x), 6) + 0.0 AS mean, round(CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END, 6) AS scale FROM vt, range(5) r(k) WHERE f NOT IN (k, (k + 1) % 5) GROUP BY k, j",
 )
 def agg_24(t):
-    return models.array_standardisation(split(t)[0]).select(*longs("j"), *rounded("mean", "scale"))
+    return every_fold(lambda k: models.array_standardisation(split(t, k)[0]).select(*longs("j"), *rounded("mean", "scale")))
 
 
 @query(
@@ -74,34 +83,46 @@ def ml_01(t):
 
 @query("ml_02_logistic_regression")
 def ml_02(t):
-    train, test = scaled_split(t)
-    return predictions(models._score(models.fit_logistic(train), test))
+    def scored(fold):
+        train, test = scaled_split(t, fold)
+        return predictions(models._score(models.fit_logistic(train), test))
+
+    return every_fold(scored)
 
 
 @query("ml_03_random_forest")
 def ml_03(t):
-    train, test = split(t)
-    return predictions(models._score(models.fit_forest(train, SEED), test))
+    def scored(fold):
+        train, test = split(t, fold)
+        return predictions(models._score(models.fit_forest(train, SEED), test))
+
+    return every_fold(scored)
 
 
 @query("ml_04_gradient_boosting")
 def ml_04(t):
-    """Twenty of the 200 rounds, which run one after the other."""
-    train, test = split(t)
-    return predictions(models._score(models.fit_boosting(train, SEED, rounds=20), test))
+    """All 200 rounds, which run one after the other."""
+
+    def scored(fold):
+        train, test = split(t, fold)
+        return predictions(models._score(models.fit_boosting(train, SEED), test))
+
+    return every_fold(scored)
 
 
 @query(
     "ml_05_gaussian_naive_bayes",
-    ctes("vt") + """, tr AS (SELECT * FROM vt WHERE f NOT IN (0, 1)),
-    mo AS (SELECT label, j, avg(x) AS m, var_pop(x) + (SELECT max(v) * 1e-9::DOUBLE FROM (SELECT var_pop(x) AS v FROM tr GROUP BY j)) AS v FROM tr GROUP BY label, j),
-    pr AS (SELECT label, ln(count(DISTINCT vec_id)::DOUBLE / (SELECT count(DISTINCT vec_id) FROM tr)) AS p FROM tr GROUP BY label),
-    ll AS (SELECT vec_id, mo.label AS c, sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) + max(p) AS s FROM vt JOIN mo USING (j) JOIN pr ON pr.label = mo.label WHERE f = 0 GROUP BY vec_id, mo.label)
-    SELECT vec_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(max(s) FILTER (c = 0) - max(s) FILTER (c = 1))), 6) AS score FROM ll GROUP BY vec_id""",
+    ctes("vt") + """, tr AS (SELECT * FROM vt, range(5) r(k) WHERE f NOT IN (k, (k + 1) % 5)),
+    sm AS (SELECT k, max(v) * 1e-9::DOUBLE AS e FROM (SELECT k, var_pop(x) AS v FROM tr GROUP BY k, j) GROUP BY k),
+    mo AS (SELECT k, label, j, avg(x) AS m, var_pop(x) + max(e) AS v FROM tr JOIN sm USING (k) GROUP BY k, label, j),
+    al AS (SELECT k, count(DISTINCT vec_id) AS n FROM tr GROUP BY k),
+    pr AS (SELECT k, label, ln(count(DISTINCT vec_id)::DOUBLE / max(n)) AS p FROM tr JOIN al USING (k) GROUP BY k, label),
+    ll AS (SELECT vec_id, mo.k, mo.label AS c, sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) + max(p) AS s FROM vt JOIN mo ON mo.j = vt.j AND mo.k = vt.f
+      JOIN pr ON pr.label = mo.label AND pr.k = mo.k GROUP BY vec_id, mo.k, mo.label)
+    SELECT vec_id, k AS fold, round(1.0::DOUBLE / (1.0::DOUBLE + exp(max(s) FILTER (c = 0) - max(s) FILTER (c = 1))), 6) AS score FROM ll GROUP BY vec_id, k""",
 )
 def ml_05(t):
-    train, test = split(t)
-    return models.naive_bayes_scores(train, test).select("vec_id", *rounded("score"))
+    return every_fold(lambda k: models.naive_bayes_scores(*split(t, k)).select("vec_id", *rounded("score")))
 
 
 @query("ml_07_batched_evaluation")
@@ -123,11 +144,15 @@ def snk_06(t):
     """A model saved and loaded again gives the scores it was saved with."""
     from pyspark.ml.classification import LogisticRegressionModel
 
-    train, test = scaled_split(t)
     path = scratch(t, "logistic_model")
-    models.fit_logistic(train).write().overwrite().save(path)
-    models.array_standardisation(split(t)[0]).write.mode("overwrite").parquet(f"{path}_parameters")
-    return predictions(models._score(LogisticRegressionModel.load(path), test))
+
+    def scored(fold):
+        train, test = scaled_split(t, fold)
+        models.fit_logistic(train).write().overwrite().save(f"{path}/{fold}/model")
+        models.array_standardisation(split(t, fold)[0]).write.mode("overwrite").parquet(f"{path}/{fold}/parameters")
+        return predictions(models._score(LogisticRegressionModel.load(f"{path}/{fold}/model"), test))
+
+    return every_fold(scored)
 
 
 # -- selection ----------------------------------------------------------------
@@ -359,7 +384,7 @@ def sample_stream(t):
 
 def event_stream(t):
     schema = t.read("events").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parquet*")  # a file or a folder of files
 
 
 def _window_stream(name, sql, gap=None, cadence=None):
@@ -431,20 +456,23 @@ def str_07(t):
 
 NEIGHBOURS = 11
 part("zs", """
-SELECT vec_id, j, (x - m) / s AS z, label, f FROM vt JOIN (SELECT j, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS s FROM vt WHERE f NOT IN (0, 1) GROUP BY j) USING (j)
+SELECT vec_id, j, (x - m) / s AS z, label, f, k FROM vt JOIN (SELECT k, j, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS s FROM vt, range(5) r(k) WHERE f NOT IN (k, (k + 1) % 5) GROUP BY k, j) USING (j)
 """, "vt")
 part("nn", f"""
 SELECT q_id, r_id, label, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, r_id) AS rank FROM (
   SELECT q.vec_id AS q_id, r.vec_id AS r_id, max(r.label) AS label, sqrt(sum((q.z - r.z) * (q.z - r.z))) AS distance
-  FROM zs q JOIN zs r USING (j) WHERE q.f = 0 AND r.f NOT IN (0, 1) GROUP BY q.vec_id, r.vec_id)) WHERE rank <= {NEIGHBOURS}
+  FROM zs q JOIN zs r USING (j, k) WHERE q.f = k AND r.f NOT IN (k, (k + 1) % 5) GROUP BY q.vec_id, r.vec_id)) WHERE rank <= {NEIGHBOURS}
 """, "zs")
 
 
 def neighbours_of(t):
     from motionframe.operators.neighbours import nearest
 
-    train, test = scaled_split(t)
-    return nearest(test.select(F.col("vec_id").alias("q_id"), "features"), train.select(F.col("vec_id").alias("r_id"), "features", "label"), NEIGHBOURS)
+    def found(fold):
+        train, test = scaled_split(t, fold)
+        return nearest(test.select(F.col("vec_id").alias("q_id"), "features"), train.select(F.col("vec_id").alias("r_id"), "features", "label"), NEIGHBOURS)
+
+    return every_fold(found).drop("fold")  # a query belongs to one fold
 
 
 @query("jn_12_nearest_neighbours", ctes("nn") + "SELECT q_id, r_id, rank, round(distance, 6) AS distance FROM nn")

@@ -9,7 +9,8 @@ from motionframe.plans.metric_queries import RATES, _ROUND, fold_scope, job_colu
 from motionframe.plans.registry import query
 from motionframe.plans.sql import COUNTS, JL, J, alarms_sql, ctes, part, rates
 
-REPLICATES = 200
+#: As in the formal runs.
+REPLICATES = 5000
 
 # -- subgroups --------------------------------------------------------------
 
@@ -228,8 +229,8 @@ SELECT *, target // groups + CASE WHEN rk <= target % groups THEN 1 ELSE 0 END A
 part("bal", f"""
 SELECT d.fold, d.label, d.dataset_id, d.participant_id, recording_id, win FROM (
   SELECT *, {_hash(f"concat_ws(':', {SEED}, 'pick', fold, label, dataset_id, participant_id, draw)")} % candidates AS idx FROM (SELECT *, unnest(range(0, quota)) AS draw FROM quota)) d
-JOIN (SELECT *, row_number() OVER (PARTITION BY label, dataset_id, participant_id ORDER BY win, recording_id) - 1 AS idx FROM (SELECT DISTINCT label, dataset_id, participant_id, recording_id, win FROM train)) c
-  USING (label, dataset_id, participant_id, idx)
+JOIN (SELECT *, row_number() OVER (PARTITION BY fold, label, dataset_id, participant_id ORDER BY win, recording_id) - 1 AS idx FROM (SELECT DISTINCT fold, label, dataset_id, participant_id, recording_id, win FROM train)) c
+  USING (fold, label, dataset_id, participant_id, idx)
 """, "quota", "train")
 _AUDIT = """SELECT fold, count(*) AS windows, count(DISTINCT (recording_id, win)) AS unique_windows, count(*) FILTER (label = 1) AS positive_windows,
   count(*) FILTER (label = 0) AS negative_windows, count(DISTINCT (label, dataset_id, participant_id)) AS participant_class_groups FROM {} GROUP BY fold"""

@@ -11,9 +11,10 @@ def write_windows(windows: DataFrame, path: str) -> None:
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
-    """Score shards per job; only the jobs present in ``scores`` are replaced."""
+    """Score shards per job; only the jobs present in ``scores`` are replaced. A job has as
+    many files as its size asks for."""
     (
-        scores.repartition(*JOB, F.pmod(F.xxhash64("recording_id"), F.lit(16)))
+        scores.hint("rebalance", *[F.col(c) for c in JOB])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*JOB)
