@@ -837,22 +837,38 @@ def scl_09(t):
     return t.read("labels").select("doc_id", exprs.truth(text).alias("flag"))
 
 
-part("blocks", """
-SELECT recording_id, sample_idx // 4096 AS b, sha256(string_agg(concat_ws(':', sample_idx, round(ax * 1e6)::BIGINT, round(ay * 1e6)::BIGINT, round(gz * 1e6)::BIGINT), ',' ORDER BY sample_idx)) AS d FROM samples GROUP BY ALL
+_MICRO = ", ".join(f"round({c} * 1e6)::BIGINT" for c in CHANNELS)
+part("blocks", f"""
+SELECT recording_id, sample_idx // 4096 AS b, sha256(string_agg(concat_ws(':', sample_idx, {_MICRO}), ',' ORDER BY sample_idx)) AS d FROM samples GROUP BY ALL
 """, "samples")
+part("notes", """
+SELECT recording_id, string_agg(concat_ws(':', kind, start_sample, stop_sample, code), ',' ORDER BY kind, start_sample, stop_sample, code) AS a FROM ann GROUP BY recording_id
+""", "ann")
 
 
-@query("scl_10_logical_content_digest", ctes("blocks") + "SELECT recording_id, sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM blocks GROUP BY recording_id")
+@query(
+    "scl_10_logical_content_digest",
+    ctes("blocks", "notes", "seqs") + """SELECT recording_id, sha256(concat_ws('|', concat_ws(':', s.dataset_id, s.participant_id, s.body_location, s.supervision_kind, s.n), coalesce(a, ''), d)) AS digest
+    FROM (SELECT recording_id, string_agg(d, ',' ORDER BY b) AS d FROM blocks GROUP BY recording_id) JOIN seqs s USING (recording_id) LEFT JOIN notes USING (recording_id)""",
+)
 def scl_10(t):
-    """Digest of each recording from digests of 4,096-sample blocks, so no task reads a whole one."""
+    """Digest of each recording's metadata, annotations and all channels of its samples, these
+    by digests of 4,096-sample blocks, so no task reads a whole recording."""
     micro = lambda c: F.round(F.col(c) * 1e6).cast("long").cast("string")
-    text = F.concat_ws(":", F.col("sample_idx").cast("string"), micro("ax"), micro("ay"), micro("gz"))
+    text = F.concat_ws(":", F.col("sample_idx").cast("string"), *map(micro, CHANNELS))
     ordered = lambda key, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda s: s["v"]), ",")
     block = F.floor(F.col("sample_idx") / 4096)
     inner = t.samples.select("recording_id", block.alias("b"), "sample_idx", text.alias("v")).groupBy("recording_id", "b").agg(
         F.sha2(ordered("sample_idx", "v"), 256).alias("v")
     )
-    return inner.groupBy("recording_id").agg(F.sha2(ordered("b", "v"), 256).alias("digest"))
+    blocks = inner.groupBy("recording_id").agg(ordered("b", "v").alias("d"))
+    place = F.struct("kind", "start_sample", "stop_sample", "code")
+    note = F.concat_ws(":", "kind", F.col("start_sample").cast("string"), F.col("stop_sample").cast("string"), "code")
+    notes = t.annotations.select("recording_id", place.alias("k"), note.alias("v")).groupBy("recording_id").agg(ordered("k", "v").alias("a"))
+    names = ("dataset_id", "participant_id", "body_location", "supervision_kind")
+    about = t.sequences.select("recording_id", F.concat_ws(":", *names, F.col("n").cast("string")).alias("m"))
+    whole = blocks.join(about, "recording_id").join(notes, "recording_id", "left")
+    return whole.select("recording_id", F.sha2(F.concat_ws("|", "m", F.coalesce("a", F.lit("")), "d"), 256).alias("digest"))
 
 
 @query(

@@ -178,7 +178,8 @@ _ALL_WINDOW = [WINDOW_SQL[n].replace("{{", "{").replace("}}", "}") for n in WIND
 @query(
     "fe_21_feature_vector",
     ctes("wd", "spt")
-    + f"""SELECT recording_id, win::BIGINT AS win, len(v)::BIGINT AS width, round(list_sum(v), 4) + 0.0 AS total FROM (
+    + f"""SELECT recording_id, win::BIGINT AS win, len(v)::BIGINT AS width, round(list_sum(v), 4) + 0.0 AS total,
+    round(list_sum(list_transform(v, lambda x, i: x * i)), 2) + 0.0 AS placed_total FROM (
     SELECT recording_id, win, list_concat([{', '.join(_ALL_TIME + _ALL_WINDOW)}], any_value(spec)) AS v
     FROM wd JOIN (SELECT recording_id, win, list_concat({', '.join(f"any_value(s) FILTER (signal = '{x}')" for x in SIGNALS)}) AS spec FROM (
       SELECT recording_id, win, signal, [{', '.join(SPECTRAL_SQL[s] for s in FREQUENCY_STATISTICS)}] AS s FROM spt GROUP BY ALL) GROUP BY 1, 2) USING (recording_id, win)
@@ -188,8 +189,9 @@ def fe_21(t):
     table = features.feature_table(t.samples)
     vector = F.array(*[F.col(n) for n in feature_names()])
     total = F.aggregate("v", F.lit(0.0), lambda a, b: a + b)
+    placed = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)  # tells the order
     return table.select("recording_id", *longs("win"), vector.alias("v")).select(
-        "recording_id", "win", F.size("v").cast("long").alias("width"), (F.round(total, 4) + 0.0).alias("total")
+        "recording_id", "win", F.size("v").cast("long").alias("width"), (F.round(total, 4) + 0.0).alias("total"), (F.round(placed, 2) + 0.0).alias("placed_total")
     )
 
 

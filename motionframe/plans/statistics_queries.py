@@ -205,11 +205,11 @@ def jn_11(t):
 @query(
     "agg_22_fold_mean_and_spread",
     ctes("cls") + f"""SELECT model_id, recipe, seed::BIGINT AS seed, metric, round(avg(value), 6) + 0.0 AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, count(value) AS folds
-    FROM (SELECT model_id, recipe, seed, unnest(['sensitivity', 'specificity', 'f1']) AS metric, unnest([sensitivity, specificity, f1]) AS value FROM cls) GROUP BY ALL""",
+    FROM (SELECT model_id, recipe, seed, unnest([{', '.join(repr(m) for m in RATES)}]) AS metric, unnest([{', '.join(RATES)}]) AS value FROM cls) GROUP BY ALL""",
 )
 def agg_22(t):
-    table = metrics.classification(test_scores(t)).select(*JOB, "sensitivity", "specificity", "f1")
-    spread = statistics.fold_spread(table, ("model_id", "recipe", "seed"), ("sensitivity", "specificity", "f1"))
+    table = metrics.classification(test_scores(t)).select(*JOB, *RATES)
+    spread = statistics.fold_spread(table, ("model_id", "recipe", "seed"), RATES)
     return spread.select("model_id", "recipe", *longs("seed"), "metric", *rounded("mean", "std"), "folds")
 
 
