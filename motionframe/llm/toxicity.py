@@ -21,10 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from motionframe.llm import tokens
+from motionframe.llm import common, tokens
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
+#: Words whose n-grams are made in one step.
+WORDS_AT_ONCE = 1 << 15
 DIMENSION = 4
 SAMPLE = (6000, 3000)
 LONGEST = 50_000
@@ -48,6 +50,11 @@ EDGES = "\"'`.,;:!?()[]{}<>*_-–—…¡¿«»“”„"
 
 def grams(words):
     """Bucket of every n-gram of "<word>" and of the word itself, word after word, and how many."""
+    made = [_grams(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)] or [_grams([])]
+    return tuple(np.concatenate(x) for x in zip(*made))
+
+
+def _grams(words):
     n = len(words)
     text = "".join([f"<{w}>" for w in words])
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -55,20 +62,16 @@ def grams(words):
     ends = np.repeat(np.cumsum(size), size)
     owner = np.repeat(np.arange(n), size)
     place = np.arange(len(code))
-    value, found, owners = np.zeros(len(code), np.uint64), [], []
-    for k in range(1, max(GRAMS) + 1):
-        if k > len(code):
-            break
+    whole = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int32)
+    value, found, owners = np.zeros(len(code), np.uint64), [whole], [np.arange(n)]
+    for k in range(1, min(max(GRAMS), len(code)) + 1):
         value = value[: len(code) - k + 1] * np.uint64(0x100000001B3) + code[k - 1 :]
         if k in GRAMS:
             inside = place[: len(value)] + k <= ends[: len(value)]
             mixed = (value[inside] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-            found.append((mixed >> np.uint64(64 - 18)).astype(np.int64))
+            found.append((mixed >> np.uint64(64 - 18)).astype(np.int32))
             owners.append(owner[: len(value)][inside])
-    whole = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64)
-    found.append(whole)
-    owners.append(np.arange(n))
-    buckets, owners = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
+    buckets, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return buckets[order], np.bincount(owners, minlength=n)
 
@@ -126,8 +129,13 @@ def train(texts, labels, steps=STEPS, rate=RATE, seed=7):
     begin = np.searchsorted(document, np.arange(len(labels) + 1))
     vectors = np.zeros((DIMENSION, BUCKETS))  # so an n-gram that was never seen says nothing
     soft = rng.uniform(-1, 1, (DIMENSION, 2))
-    seen = np.repeat(np.bincount(code, minlength=len(words)), size)
-    common = np.bincount(bucket, seen, BUCKETS) >= max(5, LEAST_SHARE * len(labels))
+    usual = np.zeros(BUCKETS)
+    within = np.bincount(code, minlength=len(words))
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        part = slice(at, at + WORDS_AT_ONCE)
+        stop = first[part][-1] + size[part][-1]
+        usual += np.bincount(bucket[first[at] : stop], np.repeat(within[part], size[part]), BUCKETS)
+    usual = usual >= max(5, LEAST_SHARE * len(labels))
     bias = np.zeros(2)
     params = [vectors, soft, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -155,7 +163,7 @@ def train(texts, labels, steps=STEPS, rate=RATE, seed=7):
             grads = [np.empty_like(vectors), SHARPNESS * hidden.T @ p, p.sum(0)]
             for d in range(DIMENSION):
                 to_word = np.bincount(back, (to_hidden[:, d] * share)[owner], len(own)) / np.maximum(size[own], 1)
-                grads[0][d] = np.bincount(gram, to_word[word_of], BUCKETS) * common
+                grads[0][d] = np.bincount(gram, to_word[word_of], BUCKETS) * usual
             step += 1
             for q, g, (m, v) in zip(params, grads, moments):
                 m += 0.1 * (g - m)
@@ -191,9 +199,22 @@ def _scorer(shared):
     return run
 
 
+def _fit(batches):
+    """mapInArrow function over the whole sample, in one task."""
+    rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("text", pa.string())]))
+    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    model = train(rows.column("text"), rows.column("toxic").to_numpy())
+    weight = np.asarray(model.weight, "<f4").tobytes()
+    yield pa.RecordBatch.from_pydict({"weight": pa.array([weight], pa.binary()), "bias": pa.array([float(model.bias)])})
+
+
 def fit(spark, docs, labels):
-    rows = sample(docs, labels).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    return train(rows.column("text"), rows.column("toxic").to_numpy())
+    """Train on the bounded sample in a task; the model is 1 MB."""
+    rows = sample(docs, labels).select("doc_id", "toxic", "text").repartition(1)
+    fitted = common.written(spark, rows.mapInArrow(_fit, "weight binary, bias double"), "op2-model").first()
+    if fitted is None:  # an empty sample has no task
+        return train([], [])
+    return Model(np.frombuffer(fitted["weight"], "<f4"), fitted["bias"])
 
 
 def score(spark, docs, model, threshold=THRESHOLD):
