@@ -5,8 +5,8 @@ matched: they share one vocabulary, one order and one smoothing, so their losses
 counts alone. A document scores the mean over its words of target loss less background loss, in
 nats: below zero, the words are likelier in the target.
 
-The vocabulary is the ``VOCABULARY`` words that the corpus has most often; all others are one
-unknown word, which both models know. Pairs are counted between classes: each of the ``PAIRED``
+The vocabulary are the words that the corpus has most often: all those from some count on, so many
+that they are ``VOCABULARY`` at most. All others are one unknown word, which both models know. Pairs are counted between classes: each of the ``PAIRED``
 most frequent words is a class of its own, the others share one, within which a word has its
 share of the class. So the tables of pairs are exact and of a fixed size. Counts cover every word
 of every document. Each task adds its own tables up, which are cut into chunks and summed by
@@ -145,11 +145,24 @@ class Models:
         return counts, *means
 
 
+def _level(n):
+    """Counts in order, told apart below 4096 and to a 256th of a power of two above."""
+    return F.when(n < 4096, n).otherwise(1024 + F.floor(F.log2(n.cast("double")) * 256)).cast("long")
+
+
 def fit(spark, docs, target_ids, vocabulary=VOCABULARY):
     """Count both models over the whole of ``docs`` (doc_id, text); ``target_ids`` has doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = texts.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    listed = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]  # bounded by ``vocabulary``
+    counted = common.written(spark, counted.withColumn("level", _level(F.col("n"))), "op3-words")
+    levels = {r["level"]: r["words"] for r in counted.groupBy("level").agg(F.count("*").alias("words")).collect()}  # some 20,000 at most
+    least, total = max(levels, default=0) + 1, 0
+    for level in sorted(levels, reverse=True):
+        total += levels[level]
+        if total > vocabulary:
+            break
+        least = level
+    listed = [r["word"] for r in sorted(counted.filter(F.col("level") >= least).collect(), key=lambda r: (-r["n"], r["word"]))]
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     marked = texts.join(chosen.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     parts = marked.mapInArrow(_tables(spark.sparkContext.broadcast(listed)), "kind int, at long, counts binary")

@@ -58,7 +58,8 @@ def plain_losses(rows, target, vocabulary, paired):
     """The same models by dictionaries."""
     lines = {k: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) if w] for k, t in rows}
     counts = Counter(w for x in lines.values() for w in x)
-    listed = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]]
+    least = min((n for n in counts.values() if sum(m >= n for m in counts.values()) <= vocabulary), default=1)
+    listed = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n >= least]
     own_class = set(listed[:paired])
     lines = {k: [w if w in listed else None for w in x] for k, x in lines.items()}
     cls = lambda w: w if w in own_class or w == "<" else None
