@@ -40,7 +40,7 @@ BLOCK_SCHEMA = (
     "part int, block int, n_tokens long, doc_ids binary, lengths binary, lanes int, words binary, "
     "states binary, places binary, words_crc32 long, ids_crc32 long"
 )
-READ_SCHEMA = "part int, block int, doc_id long, place long, n_tokens long, ids binary"
+READ_SCHEMA = "part int, block int, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary"
 
 
 class Table:
@@ -136,6 +136,7 @@ def _chunks(path, end_id):
 
         part, block = TaskContext.get().partitionId(), 0
         docs, lengths, pool, held = [], [], [], 0
+        end = np.array([end_id], tokens.encoder(path).kind)
 
         def flush():
             ids = np.concatenate(pool)
@@ -146,7 +147,7 @@ def _chunks(path, end_id):
                     "n_tokens": pa.array([len(ids)], pa.int64()),
                     "doc_ids": pa.array([np.array(docs, "<i8").tobytes()], pa.binary()),
                     "lengths": pa.array([np.array(lengths, "<u4").tobytes()], pa.binary()),
-                    "ids": pa.array([ids.astype("<u4").tobytes()], pa.binary()),
+                    "ids": pa.array([ids.tobytes()], pa.binary()),
                 }
             )
 
@@ -157,7 +158,7 @@ def _chunks(path, end_id):
                     own = ids[starts[k] : starts[k + 1]]
                     docs.append(NO_ID if doc is None else doc)
                     lengths.append(len(own) + 1)
-                    pool += [own, np.array([end_id], np.uint32)]
+                    pool += [own, end]
                     held += len(own) + 1
                     if held >= BLOCK_TOKENS:
                         yield flush()
@@ -169,10 +170,15 @@ def _chunks(path, end_id):
     return run
 
 
+def _ids(raw, n):
+    """Ids of a chunk, written in two or four bytes each."""
+    return np.frombuffer(raw, f"<u{len(raw) // max(1, n)}")
+
+
 def _count(batches):
     for batch in batches:
-        for ids in batch.column("ids"):
-            n = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+        for ids, size in zip(batch.column("ids"), batch.column("n_tokens").to_pylist()):
+            n = np.bincount(_ids(ids.as_buffer(), size))
             seen = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"token": pa.array(seen, pa.int64()), "n": pa.array(n[seen], pa.int64())})
 
@@ -182,11 +188,11 @@ def _coder(shared):
         table = Table(shared.value)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<u4")
+                ids = _ids(row["ids"], row["n_tokens"])
                 lanes, words, states, places = encode(ids, table)
                 made = {k: row[k] for k in ("part", "block", "n_tokens", "doc_ids", "lengths")}
                 made |= {"lanes": lanes, "words": words.tobytes(), "states": states.tobytes(), "places": places.tobytes()}
-                made |= {"words_crc32": zlib.crc32(made["words"]), "ids_crc32": zlib.crc32(row["ids"])}
+                made |= {"words_crc32": zlib.crc32(made["words"]), "ids_crc32": zlib.crc32(ids.astype("<u4"))}
                 yield pa.RecordBatch.from_pylist([made], BLOCK_ARROW)
 
     return run
@@ -201,7 +207,7 @@ BLOCK_ARROW = pa.schema(
 )
 
 
-def _reader(shared):
+def _reader(shared, with_ids):
     def run(batches):
         table = Table(shared.value)
         for batch in batches:
@@ -216,6 +222,7 @@ def _reader(shared):
                 lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
                 ends = np.cumsum(lengths)
                 n = len(lengths)
+                own = [ids[b - k : b] for b, k in zip(ends, lengths)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(np.full(n, row["part"], np.int32)),
@@ -223,7 +230,8 @@ def _reader(shared):
                         "doc_id": pa.array(docs, mask=docs == NO_ID),
                         "place": pa.array(ends - lengths),
                         "n_tokens": pa.array(lengths),
-                        "ids": pa.array([ids[b - k : b].tobytes() for b, k in zip(ends, lengths)], pa.binary()),
+                        "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                        "ids": pa.array([x.tobytes() if with_ids else None for x in own], pa.binary()),
                     }
                 )
 
@@ -235,7 +243,7 @@ def write(spark, docs, path, tokenizer=None, end_id=2):
     tokenizer = tokenizer or tokens.default_tokenizer()
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     chunks = common.written(spark, ordered.mapInArrow(_chunks(tokenizer, end_id), CHUNK_SCHEMA), "op4-ids")
-    counts = chunks.select("ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = chunks.select("ids", "n_tokens").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     seen = counts.toPandas()  # one row a token of the vocabulary
     counted = np.zeros(int(seen["token"].max()) + 1 if len(seen) else 0, np.int64)
     counted[seen["token"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
@@ -245,8 +253,9 @@ def write(spark, docs, path, tokenizer=None, end_id=2):
     chunks.mapInArrow(_coder(spark.sparkContext.broadcast(frequency)), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
 
 
-def read(spark, path):
-    """Decode the files: (doc_id, start, n_tokens, ids) with ``start`` the ids before a document."""
+def read(spark, path, with_ids=True):
+    """Decode the files: documents (part, block, doc_id, place in the block, n_tokens, ids_crc32
+    and, if asked for, ids), and the ids before each block (part, block, begin)."""
     seen = spark.read.schema("token long, frequency long").parquet(f"{path}/table").toPandas()
     frequency = np.zeros(int(seen["token"].max()) + 1 if len(seen) else 0, np.int64)
     frequency[seen["token"].to_numpy(np.int64)] = seen["frequency"].to_numpy(np.int64)
@@ -257,7 +266,7 @@ def read(spark, path):
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     places = blocks.select("part", "block", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("block_start"))
     starts = places.join(parts, "part").select("part", "block", (F.col("part_start") + F.col("block_start")).alias("begin"))
-    decoded = blocks.mapInArrow(_reader(spark.sparkContext.broadcast(frequency)), READ_SCHEMA)
+    decoded = blocks.mapInArrow(_reader(spark.sparkContext.broadcast(frequency), with_ids), READ_SCHEMA)
     return decoded, starts
 
 
@@ -265,6 +274,6 @@ def digests(spark, docs, tokenizer=None, end_id=2):
     """doc_id, start, n_tokens, ids_crc32 of every document, from files written and read back."""
     path = common.new_path(spark, "op4-files")
     write(spark, docs, path, tokenizer, end_id)
-    decoded, starts = read(spark, path)
-    rows = decoded.select("part", "block", "doc_id", "place", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    decoded, starts = read(spark, path, with_ids=False)
+    rows = decoded.drop("ids")
     return rows.join(starts, ["part", "block"]).select("doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
