@@ -31,6 +31,8 @@ PAIRED = 1022
 #: Classes: the unknown and rare words, the beginning of a text, the paired words.
 CLASSES = PAIRED + 2
 CHUNK = 1 << 14
+#: Tasks whose chunks are summed apart, before the sums of these.
+BRANCHES = 64
 #: Share of the bigram estimate; the rest is the word's own frequency.
 MIXED = 0.7
 #: Added to every word's count.
@@ -99,11 +101,11 @@ def _tables(shared):
 
 
 def _sums(batches):
-    """Sum chunks of the same place; rows come sorted by kind and place."""
+    """Sum chunks of the same place and branch; rows come sorted by them."""
     held, total = None, None
     for batch in batches:
         for row in batch.to_pylist():
-            place = (row["kind"], row["at"])
+            place = (row["kind"], row["at"], row["branch"])
             if place != held:
                 if held is not None:
                     yield _chunk(held, total)
@@ -166,7 +168,12 @@ def fit(spark, docs, target_ids, vocabulary=VOCABULARY):
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     marked = texts.join(chosen.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     parts = marked.mapInArrow(_tables(spark.sparkContext.broadcast(listed)), "kind int, at long, counts binary")
-    summed = parts.repartition("kind", "at").sortWithinPartitions("kind", "at").mapInArrow(_sums, "kind int, at long, counts binary")
+    # in two steps, so that no task reads the chunk of every task
+    branches = parts.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(BRANCHES)))
+    for keys in (("kind", "at", "branch"), ("kind", "at")):
+        dealt = branches.repartition(*keys).sortWithinPartitions(*keys)
+        summed = dealt.mapInArrow(_sums, "kind int, at long, counts binary")
+        branches = summed.withColumn("branch", F.lit(0))
     tables = [np.zeros(len(listed) + 2, np.int64) for _ in range(2)] + [np.zeros(CLASSES * CLASSES, np.int64) for _ in range(2)]
     for row in common.written(spark, summed, "op3-tables").toLocalIterator():  # tables of a fixed size
         part = np.frombuffer(row["counts"], "<i8")
