@@ -129,8 +129,10 @@ def forest(homes, members, threshold=THRESHOLD):
     step = max(1, (1 << 20) // max(1, len(members)))
     for at in range(0, len(homes), step):
         part = homes[at : at + step]
-        near = np.bitwise_count(part[:, None] ^ members[None, :]) <= threshold
-        for k in np.flatnonzero(near.sum(1) > 1):
+        apart = np.bitwise_count(part[:, None] ^ members[None, :])
+        near = apart <= threshold
+        # a home is among the members in one cell of its anchor's matrix only
+        for k in np.flatnonzero((near & (apart > 0)).any(1)):
             groups = np.unique(np.r_[label[place[near[k]]], label[np.searchsorted(nodes, part[k])]])
             if len(groups) > 1:
                 label[np.isin(label, groups[1:])] = groups[0]

@@ -92,6 +92,20 @@ def test_links_of_random_bits(spark):
     assert {v: roots.get(v, v) for v in signed} == seen
 
 
+def test_isolated_pairs_in_a_dealt_anchor(spark):
+    """Pairs that only the first block finds, all at one anchor, which is dealt out as cells."""
+    rng = np.random.default_rng(6)
+    values = []
+    for base in rng.integers(0, 1 << 42, 60).tolist():
+        flips = np.r_[rng.choice(21, 2, replace=False), 21 + rng.choice(21, 2, replace=False)]
+        values += [base << 22, (base ^ sum(1 << b for b in flips.tolist())) << 22]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    made = simhash.links(spark, spark.createDataFrame([(v,) for v in signed], "fp long"), cell=8).collect()
+    near = {(max(x, y), min(x, y)) for k, x in enumerate(signed) for y in signed[:k] if ((x ^ y) & (1 << 64) - 1).bit_count() <= 4}
+    assert len(near) == 60
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in made} == near
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, fp string, root int")
     assert simhash.clusters(spark, none).collect() == []
