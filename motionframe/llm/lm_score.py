@@ -5,18 +5,18 @@ matched: they share one vocabulary, one order and one smoothing, so their losses
 counts alone. A document scores the mean over its words of target loss less background loss, in
 nats: below zero, the words are likelier in the target.
 
-The vocabulary are the words that the corpus has most often: all those from some count on, so many
-that they are ``VOCABULARY`` at most. All others are one unknown word, which both models know. Pairs are counted between classes: each of the ``PAIRED``
-most frequent words is a class of its own, the others share one, within which a word has its
-share of the class. So the tables of pairs are exact and of a fixed size. Counts cover every word
-of every document. Each task adds its own tables up, which are cut into chunks and summed by
-chunk: a task puts out a bounded amount however frequent a word is, the volume follows the number
-of tasks, and the models that the scoring tasks get have a fixed size (some 10 MB).
+Both models hold every word and every pair of neighbours of the corpus, as written tables that
+grow with it: nothing of them is gathered on the driver or in a task. Each slice of texts counts
+its distinct pairs, and Spark adds these up. A document is scored by a join of its distinct pairs
+to the losses of the pairs. A key with more than ``SPLIT`` rows is dealt out to several tasks, and
+its table entry is repeated for each of them; the broadcast list of such keys has at most rows /
+``SPLIT`` entries. A caller's ``vocabulary`` leaves the words from some count on, that many at
+most; all others, and words that the models never saw, are one unknown word.
 
 Cases: a null, empty or blank text has no words, a score of 0 and null losses; documents that the
 target list repeats or that are missing do no harm; without any target the target model is the
-smoothing alone; repeated rows and ties score alike; no rows give no rows; a null doc_id is never
-in the target.
+smoothing alone; repeated rows and ties score alike up to the rounding of sums; no rows give no
+rows; a null doc_id is never in the target.
 """
 
 import numpy as np
@@ -26,18 +26,16 @@ from pyspark.sql import functions as F
 
 from motionframe.llm import common, tokens
 
-VOCABULARY = 1 << 16
-PAIRED = 1022
-#: Classes: the unknown and rare words, the beginning of a text, the paired words.
-CLASSES = PAIRED + 2
-CHUNK = 1 << 14
-#: Tasks whose chunks are summed apart, before the sums of these.
-BRANCHES = 64
+#: Frequent words that are paired by themselves: all.
+PAIRED = None
+#: Rows of a key that go to one task.
+SPLIT = 20_000
 #: Share of the bigram estimate; the rest is the word's own frequency.
 MIXED = 0.7
 #: Added to every word's count.
 ADDED = 0.5
-UNKNOWN, BEGIN = 0, 1
+#: Stand-ins that no word can equal: the beginning of a text, the unknown word.
+BEGIN, UNKNOWN = "", " "
 GAPS = r"[\x20\x09-\x0D]+"
 
 
@@ -53,98 +51,81 @@ def cut(texts):
     return flat.filter(filled), document[filled.to_numpy(zero_copy_only=False)]
 
 
-def _words(batches):
-    """Words and their counts within the task's batches."""
+def paired(texts):
+    """(distinct pairs as (word before, word), number of the pair at each word, document of each word)."""
+    flat, document = cut(texts)
+    code = pc.dictionary_encode(flat)
+    if isinstance(code, pa.ChunkedArray):
+        code = code.combine_chunks()
+    names = pa.concat_arrays([code.dictionary.cast(pa.large_string()), pa.array([BEGIN], pa.large_string())])
+    ids = code.indices.to_numpy().astype(np.int64)
+    before = np.r_[len(names) - 1, ids[:-1]][: len(ids)]
+    before[np.flatnonzero(np.diff(document, prepend=-1))] = len(names) - 1
+    pairs, of = np.unique(before * len(names) + ids, return_inverse=True)
+    a, b = np.divmod(pairs, len(names))
+    return (names.take(pa.array(a)).cast(pa.string()), names.take(pa.array(b)).cast(pa.string())), of, document
+
+
+def _counted(batches):
+    """Pairs of a slice with their counts in all texts and in the target."""
     for batch in batches:
         for some in tokens.slices(batch):
-            counted = pc.value_counts(cut(some.column("text"))[0])
-            yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])
+            (a, b), of, document = paired(some.column("text"))
+            chosen = some.column("target").to_numpy(zero_copy_only=False).astype(bool)[document]
+            made = [np.bincount(x, minlength=len(a)).astype(np.int64) for x in (of, of[chosen])]
+            yield pa.RecordBatch.from_arrays([a, b, *map(pa.array, made)], ["a", "b", "p0", "p1"])
 
 
-def numbered(texts, vocabulary):
-    """(id of each word, id of the word before it, document)."""
-    flat, document = cut(texts)
-    code = pc.dictionary_encode(flat)
-    of = pc.fill_null(pc.add(pc.index_in(code.dictionary, value_set=vocabulary), 2), UNKNOWN).to_numpy().astype(np.int64)
-    ids = of[code.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-    before = np.r_[BEGIN, ids[:-1]][: len(ids)]
-    before[np.flatnonzero(np.diff(document, prepend=-1))] = BEGIN
-    return ids, before, document
-
-
-def pair(before, ids):
-    """Place of a pair of classes; words after the paired ones are in class ``UNKNOWN``."""
-    return np.where(before < CLASSES, before, UNKNOWN) * CLASSES + np.where(ids < CLASSES, ids, UNKNOWN)
-
-
-def _tables(shared):
-    """mapInArrow function: the task's tables (kind 0, 1: words of all, of the target; 2, 3: bigrams)."""
-
-    def run(batches):
-        vocabulary = pa.array(shared.value, pa.large_string())
-        sizes = [len(shared.value) + 2] * 2 + [CLASSES * CLASSES] * 2
-        tables = [np.zeros(s, np.int64) for s in sizes]
-        for batch in batches:
-            for some in tokens.slices(batch):
-                ids, before, document = numbered(some.column("text"), vocabulary)
-                target = some.column("target").to_numpy(zero_copy_only=False).astype(bool)
-                pairs, chosen = pair(before, ids), target[document]
-                for k, (values, keep) in enumerate(((ids, None), (ids, chosen), (pairs, None), (pairs, chosen))):
-                    tables[k] += np.bincount(values if keep is None else values[keep], minlength=sizes[k])
-        for k, table in enumerate(tables):
-            for at in range(0, len(table), CHUNK):
-                part = table[at : at + CHUNK]
-                if part.any():
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array([k], pa.int32()), "at": pa.array([at], pa.int64()), "counts": pa.array([part.astype("<i8").tobytes()])})
-
-    return run
-
-
-def _sums(batches):
-    """Sum chunks of the same place and branch; rows come sorted by them."""
-    held, total = None, None
+def _within(document, of, n_pairs):
+    """(document, pair, count) of the distinct pairs of each document."""
+    key, n = np.unique(document.astype(np.int64) * max(1, n_pairs) + of, return_counts=True)
+    return *np.divmod(key, max(1, n_pairs)), n.astype(np.int64)
+
+
+def _needed(batches):
+    """Pairs of a slice with the number of documents that have them."""
+    for batch in batches:
+        for some in tokens.slices(batch):
+            (a, b), of, document = paired(some.column("text"))
+            rows = np.bincount(_within(document, of, len(a))[1], minlength=len(a)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(rows)], ["a", "b", "rows"])
+
+
+def _bags(batches):
+    """Distinct pairs of each document with their counts, and one row with its doc_id, whose
+    place of a word has a space, so that it meets no pair."""
     for batch in batches:
-        for row in batch.to_pylist():
-            place = (row["kind"], row["at"], row["branch"])
-            if place != held:
-                if held is not None:
-                    yield _chunk(held, total)
-                held, total = place, np.zeros(len(row["counts"]) // 8, np.int64)
-            total += np.frombuffer(row["counts"], "<i8")
-    if held is not None:
-        yield _chunk(held, total)
+        for some in tokens.slices(batch):
+            (a, b), of, document = paired(some.column("text"))
+            owner, of, n = _within(document, of, len(a))
+            row = some.column("row")
+            mark = [pa.array([BEGIN] * len(some), pa.string()), pa.array([f" {r}" for r in row.to_pylist()], pa.string())]
+            words = [pa.concat_arrays([x.take(pa.array(of)), m]) for x, m in zip((a, b), mark)]
+            ids = pa.concat_arrays([pa.nulls(len(of), pa.int64()), some.column("doc_id")])
+            rows = row.take(pa.array(np.r_[owner, np.arange(len(some))]))
+            yield pa.RecordBatch.from_arrays([rows, ids, *words, pa.array(np.r_[n, np.zeros(len(some), np.int64)])], ["row", "doc_id", "a", "b", "n"])
 
 
-def _chunk(place, total):
-    columns = {"kind": pa.array([place[0]], pa.int32()), "at": pa.array([place[1]], pa.int64()), "counts": pa.array([total.tobytes()])}
-    return pa.RecordBatch.from_pydict(columns)
+def matched(left, table, keys, hot, spread):
+    """Left join of ``left`` to ``table`` (one row a key); keys of ``hot`` (keys, rows) are dealt out by ``spread``."""
+    parts = F.broadcast(hot.filter(F.col("rows") > SPLIT).select(*keys, F.ceil(F.col("rows") / SPLIT).cast("int").alias("parts")))
+    n = F.coalesce("parts", F.lit(1))
+    dealt = left.join(parts, keys, "left").withColumn("part", F.pmod(F.xxhash64(*spread), n).cast("int")).drop("parts")
+    each = table.join(parts, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+    return dealt.join(each, [*keys, "part"], "left").drop("part")
 
 
 class Models:
-    """Vocabulary and counts of background and target; gives the losses of documents."""
-
-    def __init__(self, vocabulary, tables):
-        self.vocabulary, self.tables = vocabulary, tables
-
-    def loss(self, which, before, ids):
-        own, pairs = self.tables[which].astype(np.float64), self.tables[2 + which].reshape(CLASSES, CLASSES)
-        own[BEGIN] = -ADDED  # it begins texts and never stands in them
-        weight = own + ADDED
-        word = weight / weight.sum()
-        within = np.ones(len(own))
-        rare = np.r_[UNKNOWN, np.arange(CLASSES, len(own))]
-        within[rare] = weight[rare] / weight[rare].sum()
-        context = pairs.sum(1, dtype=np.float64)[np.where(before < CLASSES, before, UNKNOWN)]
-        paired = pairs.ravel()[pair(before, ids)] / np.maximum(context, 1) * within[ids]
-        return -np.log(np.where(context > 0, MIXED * paired + (1 - MIXED) * word[ids], word[ids]))
-
-    def losses(self, texts):
-        """(words, mean target loss, mean background loss) of each document."""
-        ids, before, document = numbered(texts, pa.array(self.vocabulary, pa.large_string()))
-        n = len(texts)
-        counts = np.bincount(document, minlength=n)
-        means = [np.bincount(document, self.loss(w, before, ids), n) / np.maximum(counts, 1) for w in (1, 0)]
-        return counts, *means
+    """``terms``: word, its counts (c0 of all, c1 of the target) and those of its pairs as first
+    word (x0, x1); ``pairs``: a, b, p0, p1; ``sums``: the words' totals, their number and the
+    counts of the unknown word."""
+
+    def __init__(self, terms, pairs, sums):
+        self.terms, self.pairs, self.sums = terms, pairs, sums
+
+
+def _sums(rows, *keys):
+    return rows.groupBy(*keys).agg(F.sum("p0").alias("p0"), F.sum("p1").alias("p1"))
 
 
 def _level(n):
@@ -152,49 +133,78 @@ def _level(n):
     return F.when(n < 4096, n).otherwise(1024 + F.floor(F.log2(n.cast("double")) * 256)).cast("long")
 
 
-def fit(spark, docs, target_ids, vocabulary=VOCABULARY):
-    """Count both models over the whole of ``docs`` (doc_id, text); ``target_ids`` has doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = texts.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = common.written(spark, counted.withColumn("level", _level(F.col("n"))), "op3-words")
-    levels = {r["level"]: r["words"] for r in counted.groupBy("level").agg(F.count("*").alias("words")).collect()}  # some 20,000 at most
+def _listed(spark, words, vocabulary):
+    """The words from some count on, ``vocabulary`` at most."""
+    leveled = words.withColumn("level", _level(F.col("c0")))
+    levels = {r["level"]: r["words"] for r in leveled.groupBy("level").agg(F.count("*").alias("words")).collect()}  # some 20,000 at most
     least, total = max(levels, default=0) + 1, 0
     for level in sorted(levels, reverse=True):
         total += levels[level]
         if total > vocabulary:
             break
         least = level
-    listed = [r["word"] for r in sorted(counted.filter(F.col("level") >= least).collect(), key=lambda r: (-r["n"], r["word"]))]
+    return leveled.filter(F.col("level") >= least).drop("level")
+
+
+def fit(spark, docs, target_ids, vocabulary=None):
+    """Count both models over the whole of ``docs`` (doc_id, text); ``target_ids`` has doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     marked = texts.join(chosen.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    parts = marked.mapInArrow(_tables(spark.sparkContext.broadcast(listed)), "kind int, at long, counts binary")
-    # in two steps, so that no task reads the chunk of every task
-    branches = parts.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(BRANCHES)))
-    for keys in (("kind", "at", "branch"), ("kind", "at")):
-        dealt = branches.repartition(*keys).sortWithinPartitions(*keys)
-        summed = dealt.mapInArrow(_sums, "kind int, at long, counts binary")
-        branches = summed.withColumn("branch", F.lit(0))
-    tables = [np.zeros(len(listed) + 2, np.int64) for _ in range(2)] + [np.zeros(CLASSES * CLASSES, np.int64) for _ in range(2)]
-    for row in common.written(spark, summed, "op3-tables").toLocalIterator():  # tables of a fixed size
-        part = np.frombuffer(row["counts"], "<i8")
-        tables[row["kind"]][row["at"] : row["at"] + len(part)] = part
-    return Models(listed, tables)
-
-
-def _scorer(shared):
-    def run(batches):
-        for batch in batches:
-            for some in tokens.slices(batch):
-                n, target, background = shared.value.losses(some.column("text"))
-                none = n == 0
-                columns = [pa.array(n.astype(np.int64)), pa.array(target, mask=none), pa.array(background, mask=none), pa.array(target - background)]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *columns], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return run
+    pairs = common.written(spark, _sums(marked.mapInArrow(_counted, "a string, b string, p0 long, p1 long"), "a", "b"), "op3-pairs")
+    words = _sums(pairs, F.col("b").alias("word")).withColumnsRenamed({"p0": "c0", "p1": "c1"})
+    words = common.written(spark, words, "op3-words")
+    total = words.agg(F.sum("c0"), F.sum("c1")).first()
+    if vocabulary is not None:
+        words = common.written(spark, _listed(spark, words, vocabulary), "op3-listed")
+        for side in ("a", "b"):
+            hot = pairs.groupBy(side).agg(F.count("*").alias("rows"))
+            known = words.select(F.col("word").alias(side), F.lit(True).alias("known"))
+            other = "b" if side == "a" else "a"
+            named = F.when(F.col("known") | (F.col(side) == BEGIN), F.col(side)).otherwise(UNKNOWN)
+            pairs = _sums(matched(pairs, known, [side], hot, [other]).withColumn(side, named), "a", "b")
+            pairs = common.written(spark, pairs, "op3-pairs-listed")
+    held = words.agg(F.sum("c0"), F.sum("c1"), F.count("*")).first()
+    first = _sums(pairs, F.col("a").alias("word")).withColumnsRenamed({"p0": "x0", "p1": "x1"})
+    terms = words.join(first, "word", "full").na.fill(0)
+    terms = common.written(spark, terms, "op3-terms")
+    unknown = [(total[k] or 0) - (held[k] or 0) for k in (0, 1)]
+    return Models(terms, pairs, {"total": [total[k] or 0 for k in (0, 1)], "words": held[2], "unknown": unknown})
+
+
+def losses(spark, needed, models):
+    """a, b, l0, l1 (loss in the background, in the target) of the distinct pairs of ``needed``."""
+    first = models.terms.filter(F.col("word") == UNKNOWN).select("x0", "x1").first() or (0, 0)
+    named = needed.select("a", "b")
+    terms = models.terms.filter(F.col("word") != UNKNOWN)
+    for side, other, kind in (("b", "a", "c"), ("a", "b", "x")):
+        hot = needed.groupBy(side).agg(F.count("*").alias("rows"))
+        rest = models.sums["unknown"] if kind == "c" else first
+        entry = terms.select(F.col("word").alias(side), f"{kind}0", f"{kind}1", F.lit(True).alias(f"{side}_known"))
+        named = matched(named, entry, [side], hot, [other])
+        known = F.col(f"{side}_known").isNotNull()
+        begin = F.col(side) == BEGIN
+        counts = {f"{kind}{k}": F.when(known, F.col(f"{kind}{k}")).when(begin, F.lit(0)).otherwise(F.lit(rest[k])) for k in (0, 1)}
+        named = named.withColumns(counts).withColumn(f"{side}_in", F.when(known | begin, F.col(side)).otherwise(UNKNOWN))
+    counted = models.pairs.select(F.col("a").alias("a_in"), F.col("b").alias("b_in"), "p0", "p1")
+    named = named.join(counted, ["a_in", "b_in"], "left").na.fill(0, ["p0", "p1"])
+    out = []
+    for k in (0, 1):
+        own = (F.col(f"c{k}") + ADDED) / (models.sums["total"][k] + ADDED * (models.sums["words"] + 1))
+        both = MIXED * F.col(f"p{k}") / F.greatest(F.col(f"x{k}"), F.lit(1)) + (1 - MIXED) * own
+        out.append((-F.log(F.when(F.col(f"x{k}") > 0, both).otherwise(own))).alias(f"l{k}"))
+    return named.select("a", "b", *out)
 
 
 def score(spark, docs, models):
     """doc_id, n_words, target_loss, background_loss, score of every row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_words long, target_loss double, background_loss double, score double"
-    return texts.mapInArrow(_scorer(spark.sparkContext.broadcast(models)), schema)
+    needed = texts.select("text").mapInArrow(_needed, "a string, b string, rows long").groupBy("a", "b").agg(F.sum("rows").alias("rows"))
+    needed = common.written(spark, needed, "op3-needed")
+    table = common.written(spark, losses(spark, needed, models), "op3-losses")
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    lost = matched(numbered.mapInArrow(_bags, "row long, doc_id long, a string, b string, n long"), table, ["a", "b"], needed, ["row"])
+    total = lambda k: F.sum(F.col("n") * F.coalesce(f"l{k}", F.lit(0.0))).alias(f"l{k}")
+    sums = lost.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), total(0), total(1))
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
+    return sums.select("doc_id", "n_words", mean("l1").alias("target_loss"), mean("l0").alias("background_loss"), F.coalesce(mean("l1") - mean("l0"), F.lit(0.0)).alias("score"))

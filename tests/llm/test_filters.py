@@ -104,6 +104,22 @@ def test_lm_scores(spark, nothing, awkward):
     assert {r.score for r in lm_score.score(spark, awkward, model).collect() if not r.n_words} == {0.0}
 
 
+def test_lm_counts_every_word_and_pair(spark, monkeypatch):
+    """More words than a fixed table of pairs holds, frequent keys dealt out."""
+    monkeypatch.setattr(lm_score, "SPLIT", 5)
+    rng = np.random.default_rng(8)
+    rows = [(k, "the of " * 3 + " ".join(f"w{j}" for j in rng.integers(0, 2500, 120))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = {k for k, _ in rows if k % 3 == 0}
+    model = lm_score.fit(spark, docs, spark.createDataFrame([(k,) for k in target], "doc_id long"))
+    expected = plain_losses(rows, target, 10**9, None)
+    made = lm_score.score(spark, docs, model).collect()
+    assert len(made) == len(rows)
+    for r in made:
+        n, t, b = expected[r.doc_id]
+        assert r.n_words == n and abs(r.target_loss - t) < 1e-9 and abs(r.background_loss - b) < 1e-9
+
+
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
