@@ -19,8 +19,6 @@ repeated is one; empty captures give no rows, empty lists keep all.
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Labels of the longest domain pattern that is looked up.
-LABELS = 6
 ENTRY = ["list", "kind", "pattern"]
 
 
@@ -55,9 +53,9 @@ def probes(url):
     """Every pattern that would name the URL: its host, the domains above it, the URL itself."""
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
-    tails = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(LABELS))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    tails = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
     named = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("pattern"))
-    all_tails = F.transform(F.array_distinct(F.concat(tails, F.array(host(url)))), lambda t: named("domain", t))
+    all_tails = F.transform(tails, lambda t: named("domain", t))
     return F.when(host(url) != "", F.concat(all_tails, F.array(named("url", plain_url(url)))))
 
 

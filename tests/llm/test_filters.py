@@ -54,6 +54,20 @@ def test_url_lists(spark):
     assert url_filter.judge(frames[0], frames[1].limit(0)).filter("kept").count() == len(captures)
 
 
+def test_domains_of_many_labels(spark):
+    """Every domain above a host is looked up, however many labels it has."""
+    names = "a.b.c.d.e.f.g.h".split(".")
+    captures = [(k, f"http://{'.'.join(names[k:])}/x", DAY) for k in range(8)]
+    entries = [("block", "domain", "b.c.d.e.f.g.h", DAY, True), ("allow", "domain", "a.b.c.d.e.f.g.h", DAY, True)]
+    frames = (
+        spark.createDataFrame(captures, "key long, url string, fetched_at timestamp"),
+        spark.createDataFrame(entries, "list string, kind string, pattern string, at timestamp, listed boolean"),
+    )
+    made = url_filter.judge(*frames).select("key", "n_block", "n_allow", "kept").collect()
+    assert sorted(map(tuple, made)) == plain_judge(captures, entries)
+    assert {r.key: (r.n_block, r.n_allow) for r in made} == {0: (1, 1), 1: (1, 0), **{k: (0, 0) for k in range(2, 8)}}
+
+
 def plain_losses(rows, target, vocabulary, paired):
     """The same models by dictionaries."""
     lines = {k: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) if w] for k, t in rows}
