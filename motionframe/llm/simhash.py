@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from motionframe.llm import common, tokens
 
@@ -60,7 +61,8 @@ def _fingerprints(n_words):
             for some in tokens.slices(batch):
                 texts = pc.fill_null(some.column("text").cast(pa.large_binary()), b"")
                 made = np.array([fingerprint(t.as_py(), n_words) for t in texts], np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+                names = [c for c in some.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*map(some.column, names), pa.array(made.view(np.int64))], [*names, "fp"])
 
     return run
 
@@ -220,21 +222,36 @@ def components(spark, edges):
         mark = now
 
 
-def clusters(spark, docs, n_words=WORDS, threshold=THRESHOLD, cell=CELL):
-    """doc_id, fingerprint, component_id of every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(n_words), "doc_id long, fp long")
-    rows = common.written(spark, rows, "op9-fingerprints")
+def rooted(spark, docs, n_words=WORDS, threshold=THRESHOLD, cell=CELL):
+    """The columns of ``docs`` (doc_id, text and more) without the text and with fp, and (fp,
+    first, root) of every fingerprint: first is its smallest doc_id, root names its component."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    schema = ", ".join(["doc_id long", *[f"{f.name} {f.dataType.simpleString()}" for f in others], "fp long"])
+    own = docs.select(F.col("doc_id").cast("long"), *[f.name for f in others], "text")
+    rows = common.written(spark, own.mapInArrow(_fingerprints(n_words), schema), "op9-fingerprints")
     nodes = common.written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "op9-nodes")
     roots = components(spark, links(spark, nodes.select("fp"), threshold, cell))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = common.written(spark, rooted, "op9-roots")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
-    joined = rows.join(of_fp, "fp")
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return rows, common.written(spark, named, "op9-roots")
+
+
+def clusters(spark, docs, n_words=WORDS, threshold=THRESHOLD, cell=CELL):
+    """doc_id, fingerprint, component_id of every row of ``docs`` (doc_id, text)."""
+    rows, of_fp = rooted(spark, docs.select("doc_id", "text"), n_words, threshold, cell)
+    named = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
+    joined = rows.join(of_fp.join(named, "root").select("fp", "component_id"), "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_copies(spark, docs):
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id."""
-    stay = clusters(spark, docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of ``docs`` that stay: of each component one row, that with the smallest doc_id
+    (null is larger than any other), and of several with this id one of the smallest digest."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    rows, of_fp = rooted(spark, docs.select("doc_id", "text", digest.alias("_sha")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_sha")).alias("least")
+    stay = rows.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(least)
+    stay = stay.select(F.col("least.doc_id").alias("_stay"), F.col("least._sha").alias("_stay_sha"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")) & (F.col("_own") == F.col("_stay_sha"))
+    once = Window.partitionBy("_stay", "_stay_sha").orderBy("_own")
+    found = docs.withColumn("_own", digest).join(stay, same).withColumn("_copy", F.row_number().over(once))
+    return found.filter("_copy = 1").select(*[docs[c] for c in docs.columns])

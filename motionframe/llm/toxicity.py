@@ -223,8 +223,17 @@ def score(spark, docs, model, threshold=THRESHOLD):
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def _keeper(shared, threshold):
+    def run(batches):
+        for batch in batches:
+            for some in tokens.slices(batch):
+                yield some.filter(pa.array(shared.value.scores(some.column("text")) < threshold))
+
+    return run
+
+
 def clean(spark, docs, labels, threshold=THRESHOLD):
-    """The rows of ``docs`` that are not predicted toxic."""
-    rows = score(spark, docs, fit(spark, docs, labels), threshold)
-    toxic = rows.filter("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, F.col("doc_id").cast("long").eqNullSafe(F.col("_toxic")), "left_anti")
+    """The rows of ``docs`` that are not predicted toxic, each judged by its own text: ids may
+    be null or repeated."""
+    model = spark.sparkContext.broadcast(fit(spark, docs, labels))
+    return docs.mapInArrow(_keeper(model, threshold), docs.schema)

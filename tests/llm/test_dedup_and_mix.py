@@ -4,11 +4,12 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from motionframe.llm import exact_dedup, mixing, toxicity
+from motionframe.llm import exact_dedup, mixing, simhash, toxicity
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,6 +126,19 @@ def test_toxicity_learns_and_bears_awkward_rows(spark, awkward, nothing):
     assert toxicity.clean(spark, nothing, labels).collect() == []
 
 
+def test_null_and_repeated_ids_are_judged_by_row(spark, monkeypatch):
+    """One toxic text takes no other row with it, and of near copies one row stays."""
+    rows = [(None, "bad words"), (None, "good one"), (5, "bad words"), (5, "good two"), (None, "good one"), (6, "good three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weight = np.zeros(toxicity.BUCKETS, np.float32)
+    weight[toxicity.grams(["bad"])[0]] = 1000
+    monkeypatch.setattr(toxicity, "fit", lambda *_: toxicity.Model(weight, -5.0))
+    left = toxicity.clean(spark, docs, None).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(k), t) for k, t in rows if "bad" not in t)
+    left = simhash.without_near_copies(spark, docs).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == [("5", "bad words"), ("5", "good two"), ("6", "good three"), ("None", "good one")]
+
+
 def test_pipeline_stages(spark, awkward):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
