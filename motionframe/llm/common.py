@@ -36,6 +36,18 @@ def written(spark, frame, name):
     return reread(spark, frame, path)
 
 
+def kept(spark, frame, path):
+    """As ``written``, in a place that the caller names, to be dropped when it is done."""
+    frame.write.option("compression", "zstd").parquet(path)
+    return reread(spark, frame, path)
+
+
+def dropped(spark, path):
+    """Remove a table of this run that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def words(text):
     """Array of the words of a text; null and blank texts have none."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -4,7 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from motionframe.llm import common, exact_dedup, lm_score, mixing, outliers, packing, rans, simhash, token_counts, toxicity, url_filter
+from motionframe.llm import centroids, common, exact_dedup, lm_score, matrix_bpe, mixing, outliers, packing, phrases, rans, simhash
+from motionframe.llm import token_counts, toxicity, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -145,3 +146,18 @@ def simhash_components(spark, sf_dir):
 def token_count_cache(spark, sf_dir):
     cache = f"{common.shared_dir(spark)}/llm/token-counts/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     return token_counts.count_tokens(spark, documents(spark, sf_dir), cache)
+
+
+@query("op11_ns_centroids", centroids.twin_sql())
+def centroid_clusters(spark, sf_dir):
+    return centroids.clusters(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_phrases", phrases.TWIN)
+def phrase_collocations(spark, sf_dir):
+    return phrases.collocations(spark, documents(spark, sf_dir))
+
+
+@query("op13_matrix_bpe")
+def matrix_encoded(spark, sf_dir):
+    return matrix_bpe.digests(spark, documents(spark, sf_dir))
