@@ -383,16 +383,11 @@ def udf_04(t):
 
 
 def sample_stream(t):
-    """The stored sample table as a stream of its files, a few per micro-batch."""
+    """The stored sample table as a stream of its files, a few per micro-batch, in no order of time."""
     _ = t.samples
     return t.spark.readStream.schema(t.samples.schema).option("maxFilesPerTrigger", 4).parquet(f"{t.root}/samples")
 
 
-def event_stream(t):
-    schema = t.read("events").schema
-    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parquet*")  # a file or a folder of files
-
-
 def _window_stream(name, sql, gap=None, cadence=None):
     @query(name, sql)
     def build(t):
@@ -413,16 +408,27 @@ _window_stream(
 _window_stream("str_03_inference_cadence", ctes("impact") + _STREAMED + " WHERE g.start_sample % 25 = 0", cadence=1.0)
 
 
-@query("str_04_streaming_alarms", ctes("tcat_alm_acc") + "SELECT recording_id, decision::BIGINT AS decision FROM tcat_alm_acc WHERE policy = 'two_of_three_cooldown_10s' AND model_id = 'impact_rule'")
+#: Replays deal rows of any time into any batch, so they may be late by the length of the data.
+REPLAY_DELAY = "400 days"
+
+
+@query(
+    "str_04_streaming_alarms",
+    ctes("tcat_alm_acc") + f"SELECT {JL}, recording_id, decision::BIGINT AS decision FROM tcat_alm_acc WHERE policy = 'two_of_three_cooldown_10s'",
+)
 def str_04(t):
-    """The rule's test scores streamed through the alarm state equal the batch alarms."""
-    limits = stored_thresholds(t).filter("model_id = 'impact_rule'").select(F.col("fold").alias("fold_id"), "threshold")
-    _ = t.scored
-    stream = t.spark.readStream.schema(t.scored.schema).parquet(f"{t.root}/windows")
-    rows = stream.filter("temporal_label >= 0 and fold_id >= 0").join(limits, "fold_id")
-    score = (F.col("acc_part") + F.col("gyr_part")).cast("float").cast("double")
-    flagged = rows.select("recording_id", (F.col("end_sample") - 1).cast("long").alias("decision"), (score >= F.col("threshold")).alias("alert"))
-    return processors.run_to_table(t.spark, processors.alarm_stream(flagged, 2, 3, 250), t.root)
+    """The test scores of all jobs, streamed out of order through the alarm state, give the batch alarms."""
+    keys = [*JOB, "recording_id"]
+    rows = test_scores(t).select(*keys, (F.col("end_sample") - 1).cast("long").alias("decision"), (F.col("score") >= F.col("threshold")).alias("alert"))
+    stream = processors.replayed(rows.withColumn("time", processors.sample_time(F.col("decision"))), t.root)
+    table = processors.run_to_table(t.spark, processors.alarm_stream(stream, 2, 3, 250, keys, REPLAY_DELAY), t.root)
+    return table.select(*job_columns(), "recording_id", *longs("decision"))
+
+
+def replayed_events(t, *columns):
+    """Events as a stream out of order, with their event time and other columns."""
+    rows = t.read("events").select(F.col("ts").cast("timestamp").alias("time"), *columns)
+    return processors.replayed(rows, t.root)
 
 
 @query(
@@ -430,21 +436,22 @@ def str_04(t):
     ctes("resampled") + """SELECT r.user_id, r.k, round(r.rel, 6) AS rel, round(r.value, 6) + 0.0 AS value FROM resampled r JOIN (SELECT user_id, max(rel) AS last FROM series GROUP BY 1) l USING (user_id) WHERE r.rel < l.last""",
 )
 def str_05(t):
-    """A grid point is emitted once the sample after it is known."""
+    """A grid point is emitted once the samples on both its sides are known."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
-    series = event_stream(t).select("user_id", (micros / 1e6).alias("t"), "value")
-    table = processors.run_to_table(t.spark, processors.resample_stream(series, HOURLY), t.root)
+    stream = replayed_events(t, "user_id", (micros / 1e6).alias("t"), "value")
+    table = processors.run_to_table(t.spark, processors.resample_stream(stream, HOURLY, REPLAY_DELAY), t.root)
     return table.select("user_id", "k", *rounded("rel", "value"))
 
 
-@query("str_06_repeated_deliveries", "SELECT event_type, count(*) AS events FROM events GROUP BY 1")
+@query("str_06_repeated_deliveries", "SELECT event_type, count(*) AS events, 0::BIGINT AS late_rows FROM events GROUP BY 1")
 def str_06(t):
-    """Every third event is delivered twice; the guard against repeated timestamps drops one."""
+    """Every third event is delivered twice, in any batch; the guard drops one. No row is late."""
     copies = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    stream = event_stream(t).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("time"), F.explode(copies).alias("copy"))
-    once = processors.distinct_within_watermark(stream, "time", "event_id", "60 days")
-    table = processors.run_to_table(t.spark, once.select("event_id", "event_type"), t.root)
-    return table.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    stream = replayed_events(t, "event_id", "event_type", F.explode(copies).alias("copy"))
+    once = processors.distinct_within_watermark(stream, "time", "event_id", REPLAY_DELAY)
+    table, late = processors.run(t.spark, once.select("event_id", "event_type"), t.root)
+    counts = table.filter("event_id is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    return counts.withColumn("late_rows", late.agg(F.sum("late_rows")).scalar())
 
 
 @query(
@@ -452,8 +459,8 @@ def str_06(t):
     """SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour_s, count(*) FILTER (value >= 20.0) AS false_positives, count(*) AS windows, round(count(*) FILTER (value >= 20.0)::DOUBLE / count(*), 6) AS rate FROM events GROUP BY 1""",
 )
 def str_07(t):
-    stream = event_stream(t).select(F.col("ts").cast("timestamp").alias("time"), "value")
-    table = processors.run_to_table(t.spark, processors.hourly_false_alarms(stream, "time", 20.0), t.root, complete=True)
+    stream = replayed_events(t, "value")
+    table = processors.run_to_table(t.spark, processors.hourly_false_alarms(stream, "time", 20.0, REPLAY_DELAY), t.root)
     hour = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(hour as timestamp_ntz))")
     return table.select(hour.alias("hour_s"), "false_positives", "windows", *rounded("rate"))
 

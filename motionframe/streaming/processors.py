@@ -1,12 +1,16 @@
-"""Online windowing, alarms and resampling with per-sequence state.
+"""Online windowing, alarms and resampling that lose no row within the allowed delay.
 
-State is a few numbers per sequence (at most one window of samples), never its history.
-Rows of a sequence are ordered inside each micro-batch; a row that is not later than the
-last one seen is dropped, which is the streaming form of the strictly-increasing guard.
+Rows may arrive in any order. A window needs no order: it goes out when the last of its samples
+arrives. Alarms and resampling do: their rows wait in state until the watermark has passed them
+and are then taken in order of event time. Rows behind the watermark are dropped by Spark and counted
+by batch in a table of their own. State goes when the watermark says that nothing more can come.
+
+Windows are keyed by recording and block of starts, as in the batch plan, so a long recording is
+many small states; a sample beside a block's edge goes to both.
 """
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,137 +21,211 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from motionframe.constants import CHANNELS, GRAVITY, SAMPLING_RATE_HZ, STRIDE_SECONDS, WINDOW_LENGTH
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Samples whose windows share a state.
+SPAN = 800
+#: How far behind the latest row of the stream a row may come.
+DELAY = "2 hours"
+#: Event time after which a silent key is forgotten.
+FORGET_MS = 86_400_000
+#: Event time of sample 0: 2000-01-01.
+ORIGIN_MS = 946_684_800_000
+#: Event time of the last row of a replay: it moves the watermark past everything.
+END = "2200-01-01"
+
+
+def sample_time(sample):
+    """Event time of a sample number. A recording starts at ``ORIGIN_MS``, not at zero, where the
+    watermark of a new stream stands."""
+    return F.timestamp_micros((sample * int(round(1e6 / SAMPLING_RATE_HZ)) + ORIGIN_MS * 1000).cast("long"))
 
 
-def ordered_frame(frames: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(column, kind="stable")
+def _gathered(frames: Iterator[pd.DataFrame], columns: Sequence[str]) -> pd.DataFrame:
+    return pd.concat([f[list(columns)] for f in frames], ignore_index=True)
 
 
 # -- windows ------------------------------------------------------------------
 
 
-def window_scores(samples: DataFrame, cadence_s: float | None = None) -> DataFrame:
-    """Emit each causal window with its rule score when its last sample arrives.
+def window_scores(samples: DataFrame, cadence_s: float | None = None, delay: str = DELAY) -> DataFrame:
+    """Emit each causal window with its rule score when the last of its samples has arrived.
 
-    A missing sample resets the buffer; 50 new frames refill it. With ``cadence_s`` only
-    windows starting on that coarser schedule are emitted.
+    A window with a missing sample never goes out. With ``cadence_s`` only windows starting on
+    that coarser schedule do. Of repeated samples the first to arrive counts.
     """
     step = STRIDE_SECONDS * SAMPLING_RATE_HZ
     every = 1 if cadence_s is None else int(round(cadence_s * SAMPLING_RATE_HZ))
     names = ["sample_idx", *CHANNELS]
+    reach = SPAN + WINDOW_LENGTH - 1
+    to_ms = 1000 / SAMPLING_RATE_HZ
 
     def run(key, frames, state: GroupState):
-        rows = ordered_frame(frames, "sample_idx")[names].to_numpy(dtype=np.float64)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        base = key[1] * SPAN
+        rows = _gathered(frames, names).sort_values(names, kind="stable").to_numpy(dtype=np.float64)
+        values, there = np.zeros((reach, len(CHANNELS))), np.zeros(reach, dtype=bool)
         if state.exists:
-            held = np.asarray(state.get[0], dtype=np.float64).reshape(-1, len(names))
-            rows = np.vstack((held, rows[rows[:, 0] > held[-1, 0]]))
-        keep = np.concatenate(([True], np.diff(rows[:, 0]) > 0))
-        rows = rows[keep]
-        idx = rows[:, 0].astype(np.int64)
-        gaps = np.flatnonzero(np.diff(idx) != 1) + 1
-        run_start = np.zeros(len(idx), dtype=np.int64)
-        run_start[gaps] = gaps
-        filled = np.arange(len(idx)) - np.maximum.accumulate(run_start) + 1
-        starts = idx - (WINDOW_LENGTH - 1)
-        k = np.rint(starts / step - 1e-9).astype(np.int64)
-        on_grid = (np.floor(k * step + 0.5) == starts) & (starts % every == 0)
-        ends = np.flatnonzero((filled >= WINDOW_LENGTH) & on_grid)
-        tail = rows[max(0, len(rows) - int(min(filled[-1], WINDOW_LENGTH - 1))) :]
-        state.update((tail.ravel().tolist(),))
-        if len(ends):
-            acc = np.abs(np.sqrt((rows[:, 1:4] ** 2).sum(axis=1)) - GRAVITY)
-            gyr = np.sqrt((rows[:, 4:7] ** 2).sum(axis=1))
-            at = ends[:, None] - np.arange(WINDOW_LENGTH)[None, :]
+            held, flat = state.get
+            there[held] = True
+            values[held] = np.asarray(flat).reshape(-1, len(CHANNELS))
+        place = rows[:, 0].astype(np.int64) - base
+        keep = ~there[place] & np.concatenate(([True], np.diff(place) > 0))
+        place = place[keep]
+        fresh = np.zeros(reach, dtype=bool)
+        fresh[place] = there[place] = True
+        values[place] = rows[keep, 1:]
+        have = np.flatnonzero(there)
+        state.update((have.tolist(), values[have].ravel().tolist()))
+        state.setTimeoutTimestamp(max(ORIGIN_MS + int((base + reach) * to_ms), state.getCurrentWatermarkMs() + 1))
+
+        first = int(np.ceil((base - 0.5) / step))
+        k = np.arange(max(0, first), int(np.floor((base + SPAN) / step)) + 1)
+        starts = np.floor(k * step + 0.5).astype(np.int64) - base
+        k, starts = (x[(starts >= 0) & (starts < SPAN) & ((starts + base) % every == 0)] for x in (k, starts))
+        sums = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+        within = lambda total: total[starts + WINDOW_LENGTH] - total[starts]
+        ready = (within(sums(there)) == WINDOW_LENGTH) & (within(sums(fresh)) > 0)
+        if ready.any():
+            k, starts = k[ready], starts[ready]
+            acc = np.abs(np.sqrt((values[:, :3] ** 2).sum(axis=1)) - GRAVITY)
+            gyr = np.sqrt((values[:, 3:6] ** 2).sum(axis=1))
+            at = starts[:, None] + np.arange(WINDOW_LENGTH)[None, :]
             score = acc[at].max(axis=1) / GRAVITY + gyr[at].max(axis=1) / (2 * np.pi)
-            yield pd.DataFrame(
-                {"recording_id": key[0], "win": k[ends], "end_sample": idx[ends] + 1, "impact_score": score}
-            )
+            yield pd.DataFrame({"recording_id": key[0], "win": k, "end_sample": starts + base + WINDOW_LENGTH, "impact_score": score})
 
-    return samples.groupBy("recording_id").applyInPandasWithState(
+    block = F.floor(F.col("sample_idx") / SPAN).cast("long")
+    beside = (F.col("sample_idx") % SPAN < WINDOW_LENGTH - 1) & (block > 0)
+    blocks = F.when(beside, F.array(block, block - 1)).otherwise(F.array(block))
+    timed = samples.select("recording_id", *names, sample_time(F.col("sample_idx")).alias("time")).withWatermark("time", delay)
+    return timed.withColumn("block", F.explode(blocks)).groupBy("recording_id", "block").applyInPandasWithState(
         run,
         "recording_id string, win long, end_sample long, impact_score double",
-        "buffer array<double>",
+        "held array<int>, channels array<double>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
 # -- alarms -------------------------------------------------------------------
 
 
-def alarm_stream(scores: DataFrame, required: int, lookback: int, cooldown: int) -> DataFrame:
+def accepted_alarms(decisions, alerts, flags, last_alarm, required, lookback, cooldown):
+    """Alarms among ordered decisions after the carried ``flags`` and ``last_alarm``, and both for
+    what follows. Counts of the look-back are running sums; the cooldown jumps from alarm to alarm."""
+    whole = np.concatenate((np.asarray(flags, dtype=np.int64), np.asarray(alerts, dtype=np.int64)))
+    total = np.concatenate(([0], np.cumsum(whole)))
+    upto = len(flags) + np.arange(1, len(decisions) + 1)
+    ready = (upto >= lookback) & (total[upto] - total[np.maximum(upto - lookback, 0)] >= required)
+    candidates, fired = decisions[ready], []
+    at = 0 if last_alarm is None else int(np.searchsorted(candidates, last_alarm + cooldown))
+    while at < len(candidates):
+        last_alarm = int(candidates[at])
+        fired.append(last_alarm)
+        at = int(np.searchsorted(candidates, last_alarm + cooldown))
+    return fired, whole[-lookback:].astype(bool).tolist(), last_alarm
+
+
+def _wait(state: GroupState, times) -> None:
+    """Come back when the watermark has passed the first waiting row, or to forget a silent key."""
+    mark = state.getCurrentWatermarkMs()
+    due = int(min(times)) if len(times) else mark + FORGET_MS
+    state.setTimeoutTimestamp(max(due, mark + 1))
+
+
+def alarm_stream(scores: DataFrame, required: int, lookback: int, cooldown: int, keys: Sequence[str] = ("recording_id",), delay: str = DELAY) -> DataFrame:
     """N-of-M alarms with cooldown; the flag history goes on during the cooldown.
 
-    ``scores`` holds (recording_id, decision, alert).
+    ``scores`` holds ``keys``, decision, alert and time (the event time of the decision). Of
+    repeated decisions an alert counts.
     """
 
     def run(key, frames, state: GroupState):
-        rows = ordered_frame(frames, "decision")
-        flags, last_seen, last_alarm = state.get if state.exists else ([], -1, None)
-        flags, fired = list(flags), []
-        for decision, alert in zip(rows["decision"], rows["alert"], strict=True):
-            if decision <= last_seen:
-                continue
-            last_seen = int(decision)
-            flags = (flags + [bool(alert)])[-lookback:]
-            ready = len(flags) == lookback and sum(flags) >= required
-            if ready and (last_alarm is None or last_seen - last_alarm >= cooldown):
-                last_alarm = last_seen
-                fired.append(last_seen)
-        state.update((flags, last_seen, last_alarm))
+        waiting, alerts, times, flags, last_alarm = state.get if state.exists else ([], [], [], [], None)
+        mark = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            if not len(waiting):
+                state.remove()
+                return
+            rows = pd.DataFrame({"decision": [], "alert": [], "ms": []})
+        else:
+            rows = _gathered(frames, ["decision", "alert", "ms"]).dropna()
+        decision = np.concatenate((np.asarray(waiting, dtype=np.int64), rows["decision"].to_numpy(dtype=np.int64)))
+        alert = np.concatenate((np.asarray(alerts, dtype=bool), rows["alert"].to_numpy(dtype=bool)))
+        ms = np.concatenate((np.asarray(times, dtype=np.int64), rows["ms"].to_numpy(dtype=np.int64)))
+        order = np.lexsort((~alert, decision))
+        order = order[np.concatenate(([True], np.diff(decision[order]) > 0))[: len(order)]]
+        decision, alert, ms = decision[order], alert[order], ms[order]
+        passed = int(np.searchsorted(ms, mark, side="right"))
+        fired, flags, last_alarm = accepted_alarms(decision[:passed], alert[:passed], flags, last_alarm, required, lookback, cooldown)
+        rest = slice(passed, None)
+        state.update((decision[rest].tolist(), alert[rest].tolist(), ms[rest].tolist(), flags, last_alarm))
+        _wait(state, ms[rest])
         if fired:
-            yield pd.DataFrame({"recording_id": key[0], "decision": fired})
+            yield pd.DataFrame({**dict(zip(keys, key)), "decision": fired})
 
-    return scores.groupBy("recording_id").applyInPandasWithState(
+    types = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
+    timed = scores.withColumn("ms", F.unix_millis("time")).withWatermark("time", delay)
+    return timed.groupBy(*keys).applyInPandasWithState(
         run,
-        "recording_id string, decision long",
-        "flags array<boolean>, last_seen long, last_alarm long",
+        ", ".join(f"{k} {types[k]}" for k in keys) + ", decision long",
+        "waiting array<long>, alerts array<boolean>, times array<long>, flags array<boolean>, last_alarm long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
 # -- resampling ---------------------------------------------------------------
 
 
-def resample_stream(series: DataFrame, rate_hz: float) -> DataFrame:
-    """Grid points between the previous and the current sample, once both are known.
+def resample_stream(series: DataFrame, rate_hz: float, delay: str = DELAY) -> DataFrame:
+    """Grid points between the previous and the current sample, once the watermark passed both.
 
-    ``series`` holds (user_id, t, value).
+    ``series`` holds (user_id, t, value, time). Of samples at one time that of the least value counts.
     """
 
     def run(key, frames, state: GroupState):
-        rows = ordered_frame(frames, "t")
-        t, value = rows["t"].to_numpy(), rows["value"].to_numpy()
-        if state.exists:
-            t0, last_t, last_value = state.get
-            later = t > last_t
-            t = np.concatenate(([last_t], t[later]))
-            value = np.concatenate(([last_value], value[later]))
+        waiting, values, times, t0, last_t, last_value = state.get if state.exists else ([], [], [], None, None, None)
+        mark = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            if not len(waiting):
+                state.remove()
+                return
+            rows = pd.DataFrame({"t": [], "value": [], "ms": []})
         else:
-            t0 = float(t[0])
-        rel = t - t0
-        state.update((float(t0), float(t[-1]), float(value[-1])))
-        first, stop = int(np.floor(rel[0] * rate_hz)), int(np.ceil(rel[-1] * rate_hz)) + 1
-        k = np.arange(first, stop)
-        grid = k / rate_hz
-        inside = (grid >= rel[0]) & (grid < rel[-1])
-        if inside.any():
-            yield pd.DataFrame(
-                {
-                    "user_id": key[0],
-                    "k": k[inside],
-                    "rel": grid[inside],
-                    "value": np.interp(grid[inside], rel, value),
-                }
-            )
-
-    return series.groupBy("user_id").applyInPandasWithState(
+            rows = _gathered(frames, ["t", "value", "ms"]).dropna()
+        t = np.concatenate((np.asarray(waiting, dtype=np.float64), rows["t"].to_numpy(dtype=np.float64)))
+        value = np.concatenate((np.asarray(values, dtype=np.float64), rows["value"].to_numpy(dtype=np.float64)))
+        ms = np.concatenate((np.asarray(times, dtype=np.int64), rows["ms"].to_numpy(dtype=np.int64)))
+        order = np.lexsort((value, t))
+        order = order[np.concatenate(([True], np.diff(t[order]) > 0))[: len(order)]]
+        t, value, ms = t[order], value[order], ms[order]
+        passed = int(np.searchsorted(ms, mark, side="right"))
+        now_t, now_value = t[:passed], value[:passed]
+        if last_t is not None:
+            now_t, now_value = np.concatenate(([last_t], now_t)), np.concatenate(([last_value], now_value))
+        out = None
+        if passed:
+            t0 = float(now_t[0]) if t0 is None else t0
+            rel = now_t - t0
+            last_t, last_value = float(now_t[-1]), float(now_value[-1])
+            k = np.arange(int(np.floor(rel[0] * rate_hz)), int(np.ceil(rel[-1] * rate_hz)) + 1)
+            grid = k / rate_hz
+            inside = (grid >= rel[0]) & (grid < rel[-1])
+            out = pd.DataFrame({"user_id": key[0], "k": k[inside], "rel": grid[inside], "value": np.interp(grid[inside], rel, now_value)})
+        rest = slice(passed, None)
+        state.update((t[rest].tolist(), value[rest].tolist(), ms[rest].tolist(), t0, last_t, last_value))
+        _wait(state, ms[rest])
+        if out is not None and len(out):
+            yield out
+
+    timed = series.withColumn("ms", F.unix_millis("time")).withWatermark("time", delay)
+    return timed.groupBy("user_id").applyInPandasWithState(
         run,
         "user_id long, k long, rel double, value double",
-        "t0 double, last_t double, last_value double",
+        "waiting array<double>, held array<double>, times array<long>, t0 double, last_t double, last_value double",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -159,11 +237,11 @@ def distinct_within_watermark(events: DataFrame, time: str, key: str, delay: str
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def hourly_false_alarms(events: DataFrame, time: str, threshold: float) -> DataFrame:
-    """Alerts, rows and rate per event-time hour."""
+def hourly_false_alarms(events: DataFrame, time: str, threshold: float, delay: str = "2 days") -> DataFrame:
+    """Alerts, rows and rate per event-time hour; an hour goes out when the watermark has passed it."""
     alert = F.col("value") >= threshold
-    table = events.groupBy(F.window(time, "1 hour").alias("hour")).agg(
-        F.count(F.when(alert, 1)).alias("false_positives"), F.count(F.lit(1)).alias("windows")
+    table = events.withWatermark(time, delay).groupBy(F.window(time, "1 hour").alias("hour")).agg(
+        F.count(F.when(alert, 1)).alias("false_positives"), F.count("value").alias("windows")
     )
     rate = F.col("false_positives") / F.col("windows")
     return table.select(F.col("hour.start").alias("hour"), "false_positives", "windows", rate.alias("rate"))
@@ -172,17 +250,56 @@ def hourly_false_alarms(events: DataFrame, time: str, threshold: float) -> DataF
 # -- running a stream to its end ----------------------------------------------
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, root: str, complete: bool = False) -> DataFrame:
-    """Drive a stream over all available input into a Parquet table and read it back."""
+def replayed(frame: DataFrame, root: str, time: str = "time", batches: int = 3, files: int = 4) -> DataFrame:
+    """``frame`` as a stream of so many micro-batches out of order, each of ``files`` files at most.
+
+    Rows are dealt by hash, so every key has rows of any time in any batch. A last row of nulls at
+    ``END`` moves the watermark past all others; operators take it for no row of theirs."""
+    spark, path = frame.sparkSession, f"{root}/streams/{uuid.uuid4().hex}/input"
+    dealt = frame.withColumn("_batch", F.pmod(F.xxhash64(*frame.columns), F.lit(batches)))
+    for k in range(batches):
+        dealt.filter(F.col("_batch") == k).drop("_batch").repartition(files).write.mode("append").parquet(path)
+    types = {f.name: f.dataType for f in frame.schema.fields}
+    last = [F.lit(END if c == time else None).cast(types[c]).alias(c) for c in frame.columns]
+    spark.range(1).select(*last).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+LATE = "batch long, operator int, late_rows long"
+
+
+def run(spark: SparkSession, stream: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Drive a stream over all available input into a Parquet table; gives it and the table of late
+    rows (batch, operator, late_rows: rows that came behind the watermark of a stateful operator).
+
+    The state store of the session is as before afterwards, and the stream's own state is removed."""
     path = f"{root}/streams/{uuid.uuid4().hex}"
     key = "spark.sql.streaming.stateStore.providerClass"
-    if spark.conf.get(key, "").endswith("HDFSBackedStateStoreProvider"):
+    before = spark.conf.get(key, None)
+    if before is None or before.endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set(key, ROCKSDB)
-    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    if complete:
-        replace = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/table")
-        query = writer.outputMode("complete").foreachBatch(replace).start()
-    else:
+    late = {}
+    try:
+        writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
         query = writer.outputMode("append").format("parquet").option("path", f"{path}/table").start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+        done = False
+        while not done:  # progress is kept for the last batches only, so it is read on the way
+            done = query.awaitTermination(1)
+            for progress in query.recentProgress:
+                for k, operator in enumerate(progress["stateOperators"]):
+                    late[progress["batchId"], k] = int(operator["numRowsDroppedByWatermark"])
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    _removed(spark, f"{path}/checkpoint")
+    rows = [(batch, k, n) for (batch, k), n in sorted(late.items())]
+    spark.createDataFrame(rows, LATE).coalesce(1).write.parquet(f"{path}/late")
+    return spark.read.schema(stream.schema).parquet(f"{path}/table"), spark.read.schema(LATE).parquet(f"{path}/late")
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, root: str) -> DataFrame:
+    return run(spark, stream, root)[0]

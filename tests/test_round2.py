@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionframe.operators import labels, resample, sampling
-from motionframe.plans.model_queries import event_stream
+from motionframe.plans.model_queries import replayed_events
 from motionframe.sources import store
 from motionframe.streaming import processors
 
@@ -36,9 +36,11 @@ def test_ambiguous_onset_fails(spark):
 
 def test_events_stream_from_a_folder(spark):
     root = store.shared_root(spark) + f"/test-{uuid.uuid4().hex}"
-    spark.range(1000).select("id").repartition(7).write.parquet(f"{root}/events.parquet")
-    tables = SimpleNamespace(spark=spark, sf_dir=root, read=lambda name: spark.read.parquet(f"{root}/{name}.parquet"))
-    assert processors.run_to_table(spark, event_stream(tables), root).count() == 1000
+    rows = spark.range(1000).select("id", F.timestamp_seconds("id").alias("ts"))
+    rows.repartition(7).write.parquet(f"{root}/events.parquet")
+    tables = SimpleNamespace(spark=spark, root=root, read=lambda name: spark.read.parquet(f"{root}/{name}.parquet"))
+    table = processors.run_to_table(spark, replayed_events(tables, "id"), root)
+    assert table.filter("id is not null").count() == 1000
 
 
 def test_long_gap_is_resampled_in_blocks(spark):
