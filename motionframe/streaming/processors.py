@@ -122,7 +122,7 @@ def accepted_alarms(decisions, alerts, flags, last_alarm, required, lookback, co
     while at < len(candidates):
         last_alarm = int(candidates[at])
         fired.append(last_alarm)
-        at = int(np.searchsorted(candidates, last_alarm + cooldown))
+        at = max(at + 1, int(np.searchsorted(candidates, last_alarm + cooldown)))
     return fired, whole[-lookback:].astype(bool).tolist(), last_alarm
 
 
