@@ -21,6 +21,8 @@ RATES = (
     "adl_alarm_episodes_per_hour",
 )
 METHOD = ("model_id", "recipe")
+#: Rows of participant counts that may be broadcast: some 30 MB.
+SMALL_TABLE = 200_000
 PARTICIPANT = ("dataset_id", "participant_id")
 
 
@@ -91,23 +93,24 @@ def resampled(cells: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """Summed counts per (unit, side, replicate) of a two-level bootstrap.
 
     ``cells`` holds (unit, side, participant, seed, counts). Participants are drawn once
-    per unit and replicate and shared by its sides; seeds are drawn per side. A drawn
-    participant adds its counts per seed (reduced map-side to one row per replicate and
-    seed), which are then weighted by how often the seed was drawn.
+    per unit and replicate and shared by its sides; seeds are drawn per side. The draws of a
+    replicate are made in a row in one task and look up the participant's counts per seed, so
+    they are summed where they are made and one row per replicate and seed is shuffled; these
+    are then weighted by how often the seed was drawn. A table of counts beyond ``SMALL_TABLE``
+    rows is joined by a shuffle instead.
     """
     people = _numbered_people(cells)
     seeds = _numbered_seeds(cells)
     placed = cells.join(people, ["unit", *PARTICIPANT]).join(seeds, ["unit", "side", "seed"])
     size = people.groupBy("unit").agg(F.count(F.lit(1)).alias("_p"))
-    reps = numbered(size, F.lit(replicates), "rep")
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = numbered(size, F.lit(replicates), "rep").repartition(tasks, "unit", "rep")  # few narrow rows, each much work
     draws = numbered(reps, F.col("_p"), "draw")
     person = hash_draw(seed, "participant", F.col("unit"), F.col("rep"), F.col("draw")) % F.col("_p")
-    drawn = draws.select("unit", "rep", person.alias("p")).groupBy("unit", "rep", "p").agg(F.count(F.lit(1)).alias("_v"))
-    sums = (
-        drawn.join(placed.select("unit", "side", "p", "s", *COUNTS), ["unit", "p"])
-        .groupBy("unit", "side", "rep", "s")
-        .agg(*[F.sum(F.col(c) * F.col("_v")).alias(c) for c in COUNTS])
-    )
+    drawn = draws.select("unit", "rep", person.alias("p"))
+    known = placed.select("unit", "side", "p", "s", *COUNTS)
+    known = F.broadcast(known) if known.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else known
+    sums = drawn.join(known, ["unit", "p"]).groupBy("unit", "side", "rep", "s").agg(*[F.sum(c).alias(c) for c in COUNTS])
     seed_size = seeds.groupBy("unit", "side").agg(F.count(F.lit(1)).alias("_s"))
     seed_draws = numbered(numbered(seed_size, F.lit(replicates), "rep"), F.col("_s"), "draw")
     which = hash_draw(seed, "seed", F.col("unit"), F.col("side"), F.col("rep"), F.col("draw")) % F.col("_s")
