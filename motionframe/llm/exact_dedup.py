@@ -105,11 +105,11 @@ def duplicates(spark, docs, bucket_keys=BUCKET_KEYS):
 
 
 def without_copies(spark, docs):
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = duplicates(spark, docs).filter("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_sha"))
-    own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    tagged = docs.withColumn("_own", own)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")) & (F.col("_own") == F.col("_sha"))
-    once = Window.partitionBy("_stay", "_sha").orderBy("_own")
-    rows = tagged.join(stay, same).withColumn("_copy", F.row_number().over(once))
-    return rows.filter("_copy = 1").select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called."""
+    stay = duplicates(spark, docs).filter("kept").select(F.col("doc_id").alias("stay"), F.col("text_sha256").alias("stay_sha"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    own = F.sha2(F.coalesce(F.col("whole.text"), F.lit("")).cast("binary"), 256)
+    same = F.col("whole.doc_id").cast("long").eqNullSafe(F.col("stay")) & (F.col("own") == F.col("stay_sha"))
+    once = Window.partitionBy("stay", "stay_sha").orderBy("own")
+    rows = whole.withColumn("own", own).join(stay, same).withColumn("copy", F.row_number().over(once))
+    return rows.filter("copy = 1").select("whole.*")

@@ -15,9 +15,6 @@ Cases: a null or blank text has size 0 and is never taken; a null source is a so
 the last; where all sizes are 0, all targets are 0; repeated rows are taken each; no rows give no rows.
 """
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -114,8 +111,11 @@ def schedule(spark, sources, share=1.0):
 
 def mix(spark, docs, block=BLOCK, share=1.0, most=MOST):
     """(schedule, parts of documents in each block, documents, sources). ``docs``: doc_id, source,
-    size; a document is told by its ``key``, as doc_ids may repeat."""
-    sized = docs.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("key"))
+    size; a document is told by its ``key``, as doc_ids may repeat. It is given where there is none."""
+    if "key" in docs.columns:
+        sized = docs.select("doc_id", "source", "size", "key")
+    else:
+        sized = docs.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("key"))
     sized = common.written(spark, sized, "op8-sizes")
     sources = source_targets(spark, sized, share, most)
     sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)))
@@ -124,7 +124,7 @@ def mix(spark, docs, block=BLOCK, share=1.0, most=MOST):
 
 
 def taken_words(spark, docs, block=BLOCK, share=1.0, most=MOST):
-    """doc_id, source, size, source_size, target, taken of each row of ``docs`` (doc_id, source, size)."""
+    """doc_id, source, size, source_size, target, taken, key of each row of ``docs`` (doc_id, source, size)."""
     slots, pieces, sized, sources = mix(spark, docs, block, share, most)
     reads = slots.groupBy("source", "block", "words").agg(F.count("*").alias("times"))
     same = pieces["source"].eqNullSafe(reads["source"]) & (pieces["block"] == reads["block"])
@@ -133,19 +133,17 @@ def taken_words(spark, docs, block=BLOCK, share=1.0, most=MOST):
     rows = sized.join(taken, "key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     facts = sources.select(F.col("source").alias("of"), "source_size", "target")
     return rows.join(facts, rows["source"].eqNullSafe(facts["of"])).select(
-        "doc_id", "source", "size", "source_size", "target", "taken"
+        "doc_id", "source", "size", "source_size", "target", "taken", "key"
     )
 
 
 def mixed(spark, docs, block=BLOCK, share=1.0, most=MOST):
-    """The mix at the grain of documents, with their columns: each row as often as it is taken,
-    a last time where at least half of it is. Rows alike in doc_id, source and size are taken alike."""
-    keys = ["doc_id", "source", "size"]
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", common.word_count(F.col("text")).alias("size"))
+    """The mix at the grain of documents, with their columns, whatever these are called: each row as
+    often as it is taken, a last time where at least half of it is."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("key"))
+    whole = common.written(spark, whole, "op8-rows")
+    sized = whole.select(F.col("whole.doc_id").cast("long").alias("doc_id"), "whole.source", common.word_count(F.col("whole.text")).alias("size"), "key")
     taken = taken_words(spark, sized, block, share, most).filter("taken > 0")
-    times = taken.groupBy(*keys).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).filter("_times > 0")
-    times = times.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_times")
-    own = [F.col("doc_id").cast("long"), F.col("source"), common.word_count(F.col("text"))]
-    same = reduce(and_, [a.eqNullSafe(F.col(f"_of_{k}")) for a, k in zip(own, keys)])
-    rows = docs.join(times, same).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*[docs[c] for c in docs.columns])
+    times = taken.select("key", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).filter("times > 0")
+    rows = whole.join(times, "key").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return rows.select("whole.*")

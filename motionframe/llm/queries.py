@@ -53,10 +53,10 @@ def url_entries(spark, sf_dir):
 @query(
     "op1_url_filter",
     r"""
-WITH parts AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(
+WITH parts AS (SELECT row_number() OVER () AS id, page_id, lower(regexp_replace(regexp_replace(regexp_replace(
       regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')) AS host,
     regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\\]*([^#]*)', 1) AS rest,
-    1704067200 + ('0x' || substr(md5(concat('fetch:', CAST(page_id AS VARCHAR))), 1, 7))::BIGINT % (60 * 86400) AS fetched
+    1704067200 + ('0x' || substr(md5('fetch:' || CAST(page_id AS VARCHAR)), 1, 7))::BIGINT % (60 * 86400) AS fetched
   FROM pages),
 hosts AS (SELECT DISTINCT host FROM parts WHERE host <> ''),
 urls AS (SELECT DISTINCT host || rest AS u FROM parts WHERE host || rest <> ''),
@@ -70,15 +70,15 @@ entries AS (
 folded AS (SELECT list, kind, pattern, moment, bool_and(listed) AS listed FROM entries GROUP BY ALL),
 spans AS (SELECT list, kind, pattern, moment AS since, until FROM (SELECT *, lead(moment) OVER (PARTITION BY list, kind, pattern ORDER BY moment) AS until
     FROM folded) WHERE listed),
-probes AS (SELECT page_id, fetched, 'url' AS kind, host || rest AS pattern FROM parts WHERE host <> ''
-  UNION ALL SELECT DISTINCT page_id, fetched, 'domain', pattern FROM (SELECT page_id, fetched, unnest(list_append(
-    list_transform(range(1, least(len(l), 6) + 1), lambda k: array_to_string(l[len(l) - k + 1:], '.')), host)) AS pattern
+probes AS (SELECT id, fetched, 'url' AS kind, host || rest AS pattern FROM parts WHERE host <> ''
+  UNION ALL SELECT id, fetched, 'domain', pattern FROM (SELECT id, fetched, unnest(
+    list_transform(range(1, len(l) + 1), lambda k: array_to_string(l[len(l) - k + 1:], '.'))) AS pattern
     FROM (SELECT *, string_split(host, '.') AS l FROM parts WHERE host <> ''))),
-found AS (SELECT page_id, count(*) FILTER (list = 'block') AS n_block, count(*) FILTER (list = 'allow') AS n_allow
-  FROM probes JOIN spans USING (kind, pattern) WHERE fetched >= since AND (until IS NULL OR fetched < until) GROUP BY page_id)
+found AS (SELECT id, count(*) FILTER (list = 'block') AS n_block, count(*) FILTER (list = 'allow') AS n_allow
+  FROM probes JOIN spans USING (kind, pattern) WHERE fetched >= since AND (until IS NULL OR fetched < until) GROUP BY id)
 SELECT p.page_id, p.host, coalesce(n_block, 0) AS n_block, coalesce(n_allow, 0) AS n_allow,
   coalesce(n_block, 0) = 0 OR coalesce(n_allow, 0) > 0 AS kept
-FROM parts p LEFT JOIN found f ON f.page_id = p.page_id
+FROM parts p LEFT JOIN found f ON f.id = p.id
 """,
 )
 def url_lists(spark, sf_dir):
@@ -134,7 +134,7 @@ def exact_duplicates(spark, sf_dir):
 @query("op8_source_mix")
 def source_mix(spark, sf_dir):
     sized = documents(spark, sf_dir).select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
-    return mixing.taken_words(spark, sized).drop("source")
+    return mixing.taken_words(spark, sized).drop("source", "key")
 
 
 @query("op9_simhash_anchors")

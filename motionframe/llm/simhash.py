@@ -246,12 +246,13 @@ def clusters(spark, docs, n_words=WORDS, threshold=THRESHOLD, cell=CELL):
 def without_near_copies(spark, docs):
     """The rows of ``docs`` that stay: of each component one row, that with the smallest doc_id
     (null is larger than any other), and of several with this id one of the smallest digest."""
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rows, of_fp = rooted(spark, docs.select("doc_id", "text", digest.alias("_sha")))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_sha")).alias("least")
+    digest = lambda text: F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    rows, of_fp = rooted(spark, docs.select("doc_id", "text", digest(F.col("text")).alias("sha")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("least")
     stay = rows.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(least)
-    stay = stay.select(F.col("least.doc_id").alias("_stay"), F.col("least._sha").alias("_stay_sha"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")) & (F.col("_own") == F.col("_stay_sha"))
-    once = Window.partitionBy("_stay", "_stay_sha").orderBy("_own")
-    found = docs.withColumn("_own", digest).join(stay, same).withColumn("_copy", F.row_number().over(once))
-    return found.filter("_copy = 1").select(*[docs[c] for c in docs.columns])
+    stay = stay.select(F.col("least.doc_id").alias("stay"), F.col("least.sha").alias("stay_sha"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    same = F.col("whole.doc_id").cast("long").eqNullSafe(F.col("stay")) & (F.col("own") == F.col("stay_sha"))
+    once = Window.partitionBy("stay", "stay_sha").orderBy("own")
+    found = whole.withColumn("own", digest(F.col("whole.text"))).join(stay, same).withColumn("copy", F.row_number().over(once))
+    return found.filter("copy = 1").select("whole.*")

@@ -12,13 +12,16 @@ changes: no window sees more than that. A domain with a third of all captures is
 skewed join key: neither side is grouped by it.
 
 Cases: captures with a null or unreadable URL or a null fetch time match nothing and are kept;
-repeated captures are judged each; entries with a null pattern, list or time are void, an entry
+captures that repeat a key, or have none, are
+judged each; columns named like the results are replaced; entries with a null pattern, list or time are void, an entry
 repeated is one; empty captures give no rows, empty lists keep all.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from motionframe.llm import common
+
 ENTRY = ["list", "kind", "pattern"]
 
 
@@ -60,13 +63,17 @@ def probes(url):
 
 
 def judge(captures, entries, block=("block",), allow=("allow",)):
-    """``captures`` (key, url, fetched_at) with n_block, n_allow (intervals that hold at fetch
-    time) and kept."""
-    keys = captures.select("key", "fetched_at", F.inline(probes(F.col("url")))).filter("fetched_at is not null")
+    """``captures`` (url, fetched_at and any other columns) with n_block, n_allow (intervals that
+    hold at fetch time) and kept. Each row is judged by itself, by a number of its own."""
+    made = ["n_block", "n_allow", "kept"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in captures.columns if c not in made])
+    rows = captures.select(whole.alias("capture"), F.monotonically_increasing_id().alias("row"))
+    rows = common.written(captures.sparkSession, rows, "op1-captures")
+    keys = rows.select("row", "capture.fetched_at", F.inline(probes(F.col("capture.url")))).filter("fetched_at is not null")
     spans = intervals(entries.filter(F.col("list").isin(*block, *allow)))
     held = (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     hits = keys.join(spans, ["kind", "pattern"]).filter(held)
     count = lambda names: F.count(F.when(F.col("list").isin(*names), 1))
-    found = hits.groupBy("key").agg(count(block).alias("n_block"), count(allow).alias("n_allow"))
-    out = captures.join(found, "key", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_block", "n_allow")})
+    found = hits.groupBy("row").agg(count(block).alias("n_block"), count(allow).alias("n_allow"))
+    out = rows.join(found, "row", "left").select("capture.*", *[F.coalesce(c, F.lit(0)).alias(c) for c in made[:2]])
     return out.withColumn("kept", (F.col("n_block") == 0) | (F.col("n_allow") > 0))
