@@ -194,13 +194,14 @@ def snk_04(t):
     )
 
 
-@query("snk_05_event_log")
+@query("snk_05_event_log", ctes("thr") + f"SELECT 'job_finished' AS event, {JL}, threshold FROM thr")
 def snk_05(t):
     """One log line per job; appended, so repeated runs add lines."""
     path = scratch(t, "run_events")
     writers.append_events(stored_thresholds(t).select(F.lit("job_finished").alias("event"), *JOB, "threshold"), path)
     log = t.spark.read.schema("event string, model_id string, recipe string, fold int, seed int, threshold double").json(path)
-    return log.groupBy("event", *JOB).agg(F.max("threshold").alias("threshold"))
+    once = log.groupBy("event", *JOB).agg(F.max("threshold").alias("threshold"))
+    return once.select("event", *[F.col(c).cast("long").alias(c) if c in ("fold", "seed") else c for c in JOB], "threshold")
 
 
 @query(
@@ -220,10 +221,11 @@ def snk_08(t):
 
 @query(
     "prj_02_standardised_channels",
-    ctes("samples") + "SELECT recording_id, sample_idx::BIGINT AS sample_idx, " + ", ".join(
-        f"round(({c} - (SELECT avg({c}) FROM samples)) / (SELECT CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END FROM samples), 6) + 0.0 AS {c}"
-        for c in CHANNELS
-    ) + " FROM samples",
+    ctes("samples") + ", scales AS MATERIALIZED (SELECT " + ", ".join(
+        f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in CHANNELS
+    ) + " FROM samples) SELECT recording_id, sample_idx::BIGINT AS sample_idx, " + ", ".join(
+        f"round(({c} - m_{c}) / s_{c}, 6) + 0.0 AS {c}" for c in CHANNELS
+    ) + " FROM samples, scales",
 )
 def prj_02(t):
     """One parameter row, attached as a scalar subquery's single row."""
