@@ -12,9 +12,10 @@ Everything is DataFrame expressions. A step is two aggregations with partial sum
 kept rows (count, 5 sums, 15 products per group), and a histogram of distances per group in
 ``BINS_PER_E`` bins for each factor e, whose running count gives the radius. The inverse of a
 covariance is a Cholesky factor written as columns of the group's row. Rows are never gathered by
-group, so a source with a third of them is no different. ``FLOOR`` is added to the standard
-deviations: a statistic that hardly varies in a group is judged by the floor, and no covariance
-is singular.
+group, so a source with a third of them is no different. The covariance of the nearest rows is scaled
+to be that of all (``CONSISTENCY``). Where a statistic hardly varies in a group its variance is raised
+to ``FLOOR`` squared, so that no covariance is singular and one odd line does not reject a text; where
+it varies more, the estimate alone decides.
 
 Groups of fewer than ``LEAST_ROWS`` rows are estimated together with the others of their
 language; if these are too few as well, with those of all languages; and if these are too few,
@@ -35,9 +36,12 @@ from motionframe.llm import common
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 STATISTICS = ("s1", "s2", "s3", "s4", "s5")
-#: Added to the standard deviation of each statistic, in its own unit.
-FLOOR = (1.0, 0.1, 0.06, 1.0, 0.25)
+#: The least standard deviation of each statistic, in its own unit; larger estimates stay as they are.
+FLOOR = (0.5, 0.05, 0.03, 0.5, 0.12)
 SUPPORT = 0.75
+#: The covariance of the nearest three quarters of a normal group is too small by this factor
+#: (0.75 over the chi-square distribution with seven degrees of freedom at the 75 % point of five).
+CONSISTENCY = 1.41207
 STEPS = 4
 BINS_PER_E = 16
 LEAST_ROWS = 100
@@ -120,14 +124,15 @@ def grouped(spark, rows, least=LEAST_ROWS):
 
 
 def moments(kept, keys):
-    """Mean and Cholesky factor of the covariance plus floors, per group; ``logdet``."""
+    """Mean and Cholesky factor of the scaled covariance, with floors, per group; ``logdet``."""
     pairs = [(i, j) for i in range(5) for j in range(i + 1)]
     sums = [F.avg(s).alias(f"m{i}") for i, s in enumerate(STATISTICS)]
     products = [F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c{i}{j}") for i, j in pairs]
     out = kept.groupBy(*keys).agg(F.count("*").alias("held"), *sums, *products)
     for i, j in pairs:
         below = [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]
-        value = F.col(f"c{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0)
+        value = CONSISTENCY * F.col(f"c{i}{j}")
+        value = F.greatest(value, F.lit(FLOOR[i] ** 2)) if i == j else value
         value = reduce(lambda a, b: a - b, below, value)
         out = out.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
     logdet = reduce(lambda a, b: a + b, [2 * F.log(F.col(f"l{i}{i}")) for i in range(5)])

@@ -170,7 +170,8 @@ def plain_mcd(x):
             bins = np.floor(np.log(d + 1e-6) * outliers.BINS_PER_E)
             edge = np.sort(bins)[math.ceil(outliers.SUPPORT * len(bins)) - 1]
             h = x[bins <= edge]
-            s = np.cov(h.T, bias=True) + np.diag(floor**2)
+            s = outliers.CONSISTENCY * np.cov(h.T, bias=True)
+            s[range(5), range(5)] = np.maximum(s.diagonal(), floor**2)
             y = x - h.mean(0)
             d = np.einsum("ij,jk,ik->i", y, np.linalg.inv(s), y)
         if best is None or np.linalg.slogdet(s)[1] < best[0]:
@@ -200,3 +201,20 @@ def test_distances_equal_plain_estimate(spark):
     assert made[600].kept and made[600].distance is None  # too few rows anywhere to judge by
     assert made[601].base_failed and not made[601].kept
     assert outliers.judge(spark, docs.limit(0)).collect() == []
+
+
+def test_each_statistic_can_reject(spark):
+    """In a group of plain texts one that repeats itself, is full of signs, of equal lines or far longer goes."""
+    rng = np.random.default_rng(6)
+    words = [f"w{j:05d}" for j in range(60_000)]
+    text = lambda n: " ".join(rng.choice(words, n, replace=False))
+    rows = [(k, text(int(rng.integers(150, 260)))) for k in range(2000)]
+    repeated = text(155)
+    odd = [repeated + " " + " ".join(repeated.split()[:45]), text(200) + "#$%&" * 10, "\n".join([text(180)] + ["one equal line"] * 21), text(5000)]
+    mild = [text(200) + "\nsame\nsame", text(200) + " #1", text(420)]
+    rows += [(3000 + k, t) for k, t in enumerate(odd)] + [(4000 + k, t) for k, t in enumerate(mild)]
+    docs = spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id long, text string, lang string, source string")
+    made = {r.doc_id: r for r in outliers.judge(spark, docs).collect()}
+    assert not any(made[k].base_failed for k in range(3000, 3004))
+    assert [made[k].kept for k in (3000, 3001, 3002, 3003, 4000, 4001, 4002)] == [False] * 4 + [True] * 3
+    assert sum(made[k].kept for k in range(2000)) >= 1990
