@@ -1,7 +1,7 @@
 """The training-data pipeline: each stage takes what its predecessor kept.
 
-Toxic documents go, then copies of equal text, then near-copies; what stays is mixed to source
-weights and packed. All stages but the last return the columns of ``documents``.
+Toxic documents go, then copies of equal text, then near-copies (Jaccard similarity of 0.8 or more
+on five-word shingles, found by SimHash anchors); what stays is mixed to source weights and packed. All stages but the last return the columns of ``documents``.
 
 In the mix a document is worth the words that the mix takes of it. The mix repeats and cuts
 documents; the stage returns it at the grain of documents: one whole document for each time that
@@ -10,7 +10,7 @@ it is taken, begun times counted where at least half of the document is read.
 
 from pyspark.sql import functions as F
 
-from motionframe.llm import common, exact_dedup, mixing, packing, simhash, toxicity
+from motionframe.llm import common, exact_dedup, mixing, near_copies, packing, toxicity
 
 #: Models and hashed orders are not expressible in SQL; the tests compare with plain versions.
 ORACLE_SQL = None
@@ -25,7 +25,7 @@ def remove_copies(spark, docs, sf_dir):
 
 
 def remove_near_copies(spark, docs, sf_dir):
-    return simhash.without_near_copies(spark, docs)
+    return near_copies.without_near_copies(spark, docs)
 
 
 def mix_sources(spark, docs, sf_dir):

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from motionframe.llm import common, tokens
 
@@ -241,18 +240,3 @@ def clusters(spark, docs, n_words=WORDS, threshold=THRESHOLD, cell=CELL):
     named = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
     joined = rows.join(of_fp.join(named, "root").select("fp", "component_id"), "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def without_near_copies(spark, docs):
-    """The rows of ``docs`` that stay: of each component one row, that with the smallest doc_id
-    (null is larger than any other), and of several with this id one of the smallest digest."""
-    digest = lambda text: F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    rows, of_fp = rooted(spark, docs.select("doc_id", "text", digest(F.col("text")).alias("sha")))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("least")
-    stay = rows.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(least)
-    stay = stay.select(F.col("least.doc_id").alias("stay"), F.col("least.sha").alias("stay_sha"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    same = F.col("whole.doc_id").cast("long").eqNullSafe(F.col("stay")) & (F.col("own") == F.col("stay_sha"))
-    once = Window.partitionBy("stay", "stay_sha").orderBy("own")
-    found = whole.withColumn("own", digest(F.col("whole.text"))).join(stay, same).withColumn("copy", F.row_number().over(once))
-    return found.filter("copy = 1").select("whole.*")

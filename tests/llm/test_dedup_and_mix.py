@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from motionframe.llm import exact_dedup, mixing, simhash, toxicity
+from motionframe.llm import exact_dedup, mixing, near_copies, toxicity
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,7 +135,7 @@ def test_null_and_repeated_ids_are_judged_by_row(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda *_: toxicity.Model(weight, -5.0))
     left = toxicity.clean(spark, docs, None).collect()
     assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(k), t) for k, t in rows if "bad" not in t)
-    left = simhash.without_near_copies(spark, docs).collect()
+    left = near_copies.without_near_copies(spark, docs).collect()
     assert sorted((str(r.doc_id), r.text) for r in left) == [("5", "bad words"), ("5", "good two"), ("6", "good three"), ("None", "good one")]
 
 

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from motionframe.llm import exact_dedup, mixing, queries, simhash, toxicity, url_filter
+from motionframe.llm import exact_dedup, mixing, near_copies, queries, toxicity, url_filter
 
 AT = datetime(2024, 1, 1)
 
@@ -55,7 +55,7 @@ def test_rows_without_ids_are_mixed_to_their_target(spark):
 NAMES = ["_own", "_copy", "_sha", "_stay", "_stay_sha", "_times", "_time", "own", "copy", "stay", "whole", "key", "times", "time", "sha", "fp", "root"]
 
 
-@pytest.mark.parametrize("stage", [exact_dedup.without_copies, simhash.without_near_copies, mixing.mixed])
+@pytest.mark.parametrize("stage", [exact_dedup.without_copies, near_copies.without_near_copies, mixing.mixed])
 def test_stages_bear_any_column_name(spark, stage):
     docs = spark.createDataFrame([(1, "one two three four", "a"), (2, "one two three four", "b"), (3, None, None)], "doc_id long, text string, source string")
     made = stage(spark, docs.withColumns({c: F.lit("x") for c in NAMES}))

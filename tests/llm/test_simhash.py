@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from motionframe.llm import simhash
+from motionframe.llm import near_copies, simhash
 
 LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
 
@@ -109,4 +109,4 @@ def test_isolated_pairs_in_a_dealt_anchor(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, fp string, root int")
     assert simhash.clusters(spark, none).collect() == []
-    assert simhash.without_near_copies(spark, none).columns == none.columns
+    assert near_copies.without_near_copies(spark, none).columns == none.columns
