@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.constants import CHANNELS, SEQ
@@ -66,13 +66,35 @@ BOOSTING = {"rounds": 200, "depth": 6, "rate": 0.1, "rows": 0.8, "columns": "0.8
 NAIVE_BAYES_SMOOTHING = 1e-9
 
 
-def array_standardisation(df: DataFrame, column: str = "features") -> DataFrame:
-    """Mean and population deviation per array position, one row per position."""
-    long = df.select(F.posexplode(column).alias("j", "x"))
-    spread = F.stddev_pop("x")
-    return long.groupBy("j").agg(
-        F.avg("x").alias("mean"), F.when(spread < MIN_SCALE, 1.0).otherwise(spread).alias("scale")
-    )
+def _moments(column: str, weight: Column):
+    """Aggregates of an array column: weights, and mean and population variance per position.
+
+    One buffer of a position each per task, so no row is taken apart. The variance comes with
+    Bessel's correction for weights, which is taken back.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vector = array_to_vector(F.transform(column, lambda v: v.cast("double")))
+    parts = [
+        Summarizer.metrics("mean", "variance").summary(vector, weight).alias("_s"),
+        F.sum(weight).alias("_w"),
+        F.sum(weight * weight).alias("_w2"),
+    ]
+    bessel = (F.col("_w") - F.col("_w2") / F.col("_w")) / F.col("_w")
+    variance = F.transform(vector_to_array("_s.variance"), lambda v: v * bessel)
+    return parts, vector_to_array("_s.mean").alias("mean"), variance.alias("var")
+
+
+def array_standardisation(df: DataFrame, column: str = "features", weight: str | None = None) -> DataFrame:
+    """Mean and population deviation per array position, one row per position.
+
+    ``weight`` counts how often a row occurs; without it every row counts once.
+    """
+    parts, mean, variance = _moments(column, F.col(weight) if weight else F.lit(1.0))
+    long = df.agg(*parts).select(mean, variance).select(F.posexplode(F.arrays_zip("mean", "var")).alias("j", "m"))
+    spread = F.sqrt("m.var")
+    return long.select("j", "m.mean", F.when(spread < MIN_SCALE, 1.0).otherwise(spread).alias("scale"))
 
 
 def standardise_array(df: DataFrame, parameters: DataFrame, column: str = "features") -> DataFrame:
@@ -100,12 +122,12 @@ def _score(model, rows: DataFrame) -> DataFrame:
 
 
 def fit_logistic(train: DataFrame):
-    """L2 logistic regression; using up the iterations is an error."""
+    """L2 logistic regression of weighted rows; using up the iterations is an error."""
     from pyspark.ml.classification import LogisticRegression
 
-    n = train.count()
+    total = train.agg(F.sum("weight")).first()[0]
     estimator = LogisticRegression(
-        featuresCol="vector", labelCol="label", regParam=1.0 / (LOGISTIC["C"] * n),
+        featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (LOGISTIC["C"] * total),
         maxIter=LOGISTIC["max_iterations"], standardization=False,
     )
     model = estimator.fit(_vectors(train))
@@ -118,7 +140,7 @@ def fit_forest(train: DataFrame, seed: int, trees: int = FOREST["trees"]):
     from pyspark.ml.classification import RandomForestClassifier
 
     return RandomForestClassifier(
-        featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=FOREST["depth"],
+        featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=FOREST["depth"],
         maxBins=FOREST["bins"], featureSubsetStrategy="sqrt", minInstancesPerNode=1, seed=seed,
     ).fit(_vectors(train))
 
@@ -127,33 +149,37 @@ def fit_boosting(train: DataFrame, seed: int, rounds: int = BOOSTING["rounds"]):
     from pyspark.ml.classification import GBTClassifier
 
     return GBTClassifier(
-        featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=BOOSTING["depth"],
+        featuresCol="vector", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=BOOSTING["depth"],
         stepSize=BOOSTING["rate"], subsamplingRate=BOOSTING["rows"],
         featureSubsetStrategy=BOOSTING["columns"], seed=seed,
     ).fit(_vectors(train))
 
 
-def naive_bayes_scores(train: DataFrame, rows: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Gaussian naive Bayes as two aggregates: class moments, then log-likelihood sums.
+def naive_bayes_scores(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """Gaussian naive Bayes: ``rows`` with ``score``.
 
-    The moment table has one row per class and feature, a fixed size.
+    Moments are one row per class with an array each, a fixed size, read as a scalar; rows are
+    scored where they are and never shuffled.
     """
-    long = train.select("label", F.posexplode("features").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
-    smoothing = (
-        long.groupBy("j").agg(F.var_pop("x").alias("v")).agg((F.max("v") * NAIVE_BAYES_SMOOTHING).alias("e")).scalar()
-    )
-    moments = long.groupBy("label", "j").agg(
-        F.avg("x").alias("mean"), (F.var_pop("x") + smoothing).alias("var")
+    parts, mean, variance = _moments("features", F.col("weight"))
+    smoothing = train.agg(*parts).select((F.array_max(variance) * NAIVE_BAYES_SMOOTHING).alias("e")).scalar()
+    total = train.agg(F.sum("weight")).scalar()
+    fitted = train.groupBy("label").agg(*parts).withColumns({"_e": smoothing, "_n": total}).select(
+        "label", F.log(F.col("_w") / F.col("_n")).alias("prior"), mean, variance, "_e"
     )
-    size = train.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    prior = train.groupBy("label").agg(F.log(F.count(F.lit(1)) / size).alias("prior"))
-    values = rows.select(key, F.posexplode("features").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
-    gap = F.col("x") - F.col("mean")
-    term = -0.5 * F.log(F.lit(6.283185307179586) * F.col("var")) - gap * gap / (F.col("var") * 2.0)
-    likelihood = values.join(moments, "j").groupBy(key, "label").agg(F.sum(term).alias("ll"))
-    joint = likelihood.join(prior, "label").withColumn("ll", F.col("ll") + F.col("prior"))
-    pair = joint.groupBy(key).agg(
-        F.max(F.when(F.col("label") == 1, F.col("ll"))).alias("one"),
-        F.max(F.when(F.col("label") == 0, F.col("ll"))).alias("zero"),
-    )
-    return pair.select(key, (1.0 / (1.0 + F.exp(F.col("zero") - F.col("one")))).alias("score"))
+    fitted = fitted.withColumn("var", F.transform("var", lambda v: v + F.col("_e")))
+    classes = F.sort_array(F.collect_list(F.struct("label", "prior", "mean", "var")))
+    both = F.when(F.count(F.lit(1)) == 2, classes).otherwise(F.raise_error(F.lit("naive Bayes needs both classes")))
+    held = rows.withColumn("_c", fitted.agg(both.alias("c")).scalar())
+
+    def likelihood(c):
+        own = F.col("_c")[c]
+
+        def term(x, j):
+            gap, var = x.cast("double") - own["mean"][j], own["var"][j]
+            return -0.5 * F.log(F.lit(6.283185307179586) * var) - gap * gap / (var * 2.0)
+
+        return own["prior"] + F.aggregate(F.transform("features", term), F.lit(0.0), lambda a, b: a + b)
+
+    scored = held.withColumn("_gap", likelihood(0) - likelihood(1))
+    return scored.withColumn("score", 1.0 / (1.0 + F.exp("_gap"))).drop("_c", "_gap")

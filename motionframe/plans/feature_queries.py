@@ -175,15 +175,17 @@ _ALL_TIME = [TIME_SQL[s].format(x=x) for x in SIGNALS for s in TIME_STATISTICS]
 _ALL_WINDOW = [WINDOW_SQL[n].replace("{{", "{").replace("}}", "}") for n in WINDOW_FEATURES]
 
 
-@query(
-    "fe_21_feature_vector",
-    ctes("wd", "spt")
-    + f"""SELECT recording_id, win::BIGINT AS win, len(v)::BIGINT AS width, round(list_sum(v), 4) + 0.0 AS total,
-    round(list_sum(list_transform(v, lambda x, i: x * i)), 2) + 0.0 AS placed_total FROM (
+part("fvec", f"""
     SELECT recording_id, win, list_concat([{', '.join(_ALL_TIME + _ALL_WINDOW)}], any_value(spec)) AS v
     FROM wd JOIN (SELECT recording_id, win, list_concat({', '.join(f"any_value(s) FILTER (signal = '{x}')" for x in SIGNALS)}) AS spec FROM (
       SELECT recording_id, win, signal, [{', '.join(SPECTRAL_SQL[s] for s in FREQUENCY_STATISTICS)}] AS s FROM spt GROUP BY ALL) GROUP BY 1, 2) USING (recording_id, win)
-    GROUP BY recording_id, win)""",
+    GROUP BY recording_id, win""", "wd", "spt")
+
+
+@query(
+    "fe_21_feature_vector",
+    ctes("fvec") + """SELECT recording_id, win::BIGINT AS win, len(v)::BIGINT AS width, round(list_sum(v), 4) + 0.0 AS total,
+    round(list_sum(list_transform(v, lambda x, i: x * i)), 2) + 0.0 AS placed_total FROM fvec""",
 )
 def fe_21(t):
     table = features.feature_table(t.samples)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionframe.constants import BALANCED, FOLD_COUNT, JOB, NATURAL, NOT_APPLICABLE, POLICIES, REFERENCE_POLICY, SEED
 from motionframe.functions.exprs import r6
-from motionframe.operators import alarms, custom, metrics, models, selection
+from motionframe.operators import alarms, custom, metrics, models, sampling, selection
 from motionframe.plans import statistics_queries  # noqa: F401  (defines shared SQL parts)
 from motionframe.plans.collection_queries import job_hash, scheduled, scratch, stats_of
 from motionframe.plans.feature_queries import HOURLY, user_series
@@ -28,30 +28,33 @@ from motionframe.plans.registry import query
 from motionframe.plans.sql import COUNTS, JL, J, alarms_sql, ctes, part, rates
 from motionframe.streaming import processors
 
-# -- fitted baselines over the embedding table --------------------------------
+# -- fitted baselines over the window features ---------------------------------
 
+WINDOW = ["recording_id", "win"]
 
-def vectors(t):
-    """Embeddings with a binary target; fold by id."""
-    return t.read("embeddings").select(
-        "vec_id", F.col("embedding").alias("features"), (F.col("label") < 5).cast("int").alias("label"), (F.col("vec_id") % FOLD_COUNT).alias("fold_id")
-    )
+
+def training(t, fold, recipe=NATURAL, seed=SEED):
+    """Training windows of a fold with their weight: each once, or as often as the balanced recipe draws it."""
+    rows = t.features.filter((F.col("fold_id") != fold) & (F.col("fold_id") != (fold + 1) % FOLD_COUNT))
+    if recipe == NATURAL:
+        return rows.withColumn("weight", F.lit(1.0))
+    pool = statistics_queries.training_rows(t).filter(F.col("fold") == fold)
+    drawn = sampling.balanced_sample(pool, ["fold"], seed)
+    return rows.join(drawn.groupBy(*WINDOW).agg(F.count(F.lit(1)).cast("double").alias("weight")), WINDOW)
 
 
 def split(t, fold):
-    rows = vectors(t)
-    train = rows.filter((F.col("fold_id") != fold) & (F.col("fold_id") != (fold + 1) % FOLD_COUNT))
-    return train, rows.filter(F.col("fold_id") == fold)
+    return training(t, fold), t.features.filter(F.col("fold_id") == fold)
 
 
-def scaled_split(t, fold):
-    train, test = split(t, fold)
-    parameters = models.array_standardisation(train)
-    return models.standardise_array(train, parameters), models.standardise_array(test, parameters)
+def scaled(train, *others):
+    """All frames standardised by the weighted moments of the training windows."""
+    parameters = models.array_standardisation(train, weight="weight")
+    return tuple(models.standardise_array(frame, parameters) for frame in (train, *others))
 
 
 def predictions(rows):
-    return rows.select("vec_id", F.col("label").cast("long").alias("label"), F.round("score", 4).alias("score"))
+    return rows.select("recording_id", *longs("win", "label"), F.round("score", 4).alias("score"))
 
 
 def every_fold(build):
@@ -65,15 +68,20 @@ def every_fold(build):
     return reduce(DataFrame.unionByName, parts)
 
 
+part("fx", """
+SELECT recording_id, win, fold_id AS f, temporal_label AS label, unnest(range(0, len(v))) AS j, unnest(v::FLOAT[])::DOUBLE AS x
+FROM fvec JOIN kept USING (recording_id, win) WHERE temporal_label >= 0
+""", "fvec", "kept")
 part("vt", "SELECT vec_id, unnest(range(0, len(embedding))) AS j, unnest(embedding)::DOUBLE AS x, (label < 5)::INTEGER AS label, vec_id % 5 AS f FROM embeddings")
 
 
 @query(
     "agg_24_feature_standardisation",
-    ctes("vt") + "SELECT k AS fold, j, round(avg(x), 6) + 0.0 AS mean, round(CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END, 6) AS scale FROM vt, range(5) r(k) WHERE f NOT IN (k, (k + 1) % 5) GROUP BY k, j",
+    ctes("fx") + "SELECT k AS fold, j, round(avg(x), 4) + 0.0 AS mean, round(CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END, 4) AS scale FROM fx, range(5) r(k) WHERE f NOT IN (k, (k + 1) % 5) GROUP BY k, j",
 )
 def agg_24(t):
-    return every_fold(lambda k: models.array_standardisation(split(t, k)[0]).select(*longs("j"), *rounded("mean", "scale")))
+    rounds = [(F.round(c, 4) + 0.0).alias(c) for c in ("mean", "scale")]
+    return every_fold(lambda k: models.array_standardisation(split(t, k)[0]).select(*longs("j"), *rounds))
 
 
 @query(
@@ -90,7 +98,7 @@ def ml_01(t):
 @query("ml_02_logistic_regression")
 def ml_02(t):
     def scored(fold):
-        train, test = scaled_split(t, fold)
+        train, test = scaled(*split(t, fold))
         return predictions(models._score(models.fit_logistic(train), test))
 
     return every_fold(scored)
@@ -118,31 +126,42 @@ def ml_04(t):
 
 @query(
     "ml_05_gaussian_naive_bayes",
-    ctes("vt") + """, tr AS (SELECT * FROM vt, range(5) r(k) WHERE f NOT IN (k, (k + 1) % 5)),
+    ctes("fx") + """, tr AS (SELECT * FROM fx, range(5) r(k) WHERE f NOT IN (k, (k + 1) % 5)),
     sm AS (SELECT k, max(v) * 1e-9::DOUBLE AS e FROM (SELECT k, var_pop(x) AS v FROM tr GROUP BY k, j) GROUP BY k),
-    mo AS (SELECT k, label, j, avg(x) AS m, var_pop(x) + max(e) AS v FROM tr JOIN sm USING (k) GROUP BY k, label, j),
-    al AS (SELECT k, count(DISTINCT vec_id) AS n FROM tr GROUP BY k),
-    pr AS (SELECT k, label, ln(count(DISTINCT vec_id)::DOUBLE / max(n)) AS p FROM tr JOIN al USING (k) GROUP BY k, label),
-    ll AS (SELECT vec_id, mo.k, mo.label AS c, sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) + max(p) AS s FROM vt JOIN mo ON mo.j = vt.j AND mo.k = vt.f
-      JOIN pr ON pr.label = mo.label AND pr.k = mo.k GROUP BY vec_id, mo.k, mo.label)
-    SELECT vec_id, k AS fold, round(1.0::DOUBLE / (1.0::DOUBLE + exp(max(s) FILTER (c = 0) - max(s) FILTER (c = 1))), 6) AS score FROM ll GROUP BY vec_id, k""",
+    mo AS (SELECT k, label, j, avg(x) AS m, var_pop(x) + max(e) AS v, count(*) AS c FROM tr JOIN sm USING (k) GROUP BY k, label, j),
+    pr AS (SELECT k, label, ln(c::DOUBLE / sum(c) OVER (PARTITION BY k)) AS p FROM mo WHERE j = 0),
+    ll AS (SELECT recording_id, win, mo.k, mo.label AS c, sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) + max(p) AS s FROM fx JOIN mo ON mo.j = fx.j AND mo.k = fx.f
+      JOIN pr ON pr.label = mo.label AND pr.k = mo.k GROUP BY recording_id, win, mo.k, mo.label)
+    SELECT recording_id, win::BIGINT AS win, k AS fold, round(1.0::DOUBLE / (1.0::DOUBLE + exp(least(700, max(s) FILTER (c = 0) - max(s) FILTER (c = 1)))), 4) AS score FROM ll GROUP BY recording_id, win, k""",
 )
 def ml_05(t):
-    return every_fold(lambda k: models.naive_bayes_scores(*split(t, k)).select("vec_id", *rounded("score")))
+    return every_fold(lambda k: models.naive_bayes_scores(*split(t, k)).select("recording_id", *longs("win"), F.round("score", 4).alias("score")))
 
 
 @query("ml_07_batched_evaluation")
 def ml_07(t):
-    """One fit per fold, then one plan for the metrics of all of them."""
+    """One fit per fold, recipe and seed, written as score shards; thresholds come from the
+    validation scores, and one plan computes the metrics of all jobs."""
     path = scratch(t, "fitted_scores")
-    for fold in range(FOLD_COUNT):
-        train, test = scaled_split(t, fold)
-        scored = models._score(models.fit_logistic(train), test)
-        shard = scored.select(F.lit("logistic").alias("model_id"), F.lit(NATURAL).alias("recipe"), F.lit(fold).alias("fold"), F.lit(SEED).alias("seed"), "vec_id", "label", "score")
-        shard.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*JOB).parquet(path)
-    scores = t.spark.read.schema("vec_id long, label int, score double, model_id string, recipe string, fold int, seed int").parquet(path)
-    table = metrics.classification(scores.withColumn("threshold", F.lit(0.5))).join(metrics.ranking(scores), list(JOB))
-    return table.select(*job_columns(), *metrics.COUNTS, *[F.round(m, 3).alias(m) for m in ("accuracy", "auroc", "auprc")])
+    jobs = [(fold, recipe, seed) for fold in range(FOLD_COUNT) for recipe, seed in ((NATURAL, SEED), (BALANCED, SEED), (BALANCED, SEED + 1))]
+
+    def fit(job):
+        fold, recipe, seed = job
+        held = t.features.filter(F.col("fold_id").isin(fold, (fold + 1) % FOLD_COUNT))
+        train, held = scaled(training(t, fold, recipe, seed), held)
+        part_of = F.when(F.col("fold_id") == fold, "test").otherwise("validation").alias("split")
+        named = [F.lit(v).alias(c) for c, v in zip(JOB, ("logistic", recipe, fold, seed), strict=True)]
+        shard = models._score(models.fit_logistic(train), held).select(*named, part_of, *WINDOW, "label", "score")
+        shard.write.mode("overwrite").parquet(f"{path}/{recipe}-{fold}-{seed}")
+
+    with ThreadPoolExecutor(FOLD_COUNT) as pool:
+        list(pool.map(fit, jobs))
+    schema = "model_id string, recipe string, fold int, seed int, split string, recording_id string, win int, label int, score double"
+    scores = t.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    test = scores.filter("split = 'test'")
+    limits = metrics.best_threshold(scores.filter("split = 'validation'"))
+    table = metrics.classification(metrics.apply_threshold(test, limits)).join(metrics.ranking(test), list(JOB))
+    return table.select(*job_columns(), *metrics.COUNTS, *[F.round(m, 3).alias(m) for m in ("accuracy", "balanced_accuracy", "auroc", "auprc")])
 
 
 @query("snk_06_fitted_model")
@@ -153,10 +172,11 @@ def snk_06(t):
     path = scratch(t, "logistic_model")
 
     def scored(fold):
-        train, test = scaled_split(t, fold)
-        models.fit_logistic(train).write().overwrite().save(f"{path}/{fold}/model")
-        models.array_standardisation(split(t, fold)[0]).write.mode("overwrite").parquet(f"{path}/{fold}/parameters")
-        return predictions(models._score(LogisticRegressionModel.load(f"{path}/{fold}/model"), test))
+        train, test = split(t, fold)
+        models.array_standardisation(train, weight="weight").write.mode("overwrite").parquet(f"{path}/{fold}/parameters")
+        parameters = t.spark.read.parquet(f"{path}/{fold}/parameters")
+        models.fit_logistic(models.standardise_array(train, parameters)).write().overwrite().save(f"{path}/{fold}/model")
+        return predictions(models._score(LogisticRegressionModel.load(f"{path}/{fold}/model"), models.standardise_array(test, parameters)))
 
     return every_fold(scored)
 
@@ -479,10 +499,16 @@ SELECT q_id, r_id, label, distance, rank FROM (SELECT *, row_number() OVER (PART
 
 
 def neighbours_of(t):
+    """Nearest embeddings; fold by id."""
     from motionframe.operators.neighbours import nearest
 
+    rows = t.read("embeddings").select(
+        "vec_id", F.col("embedding").alias("features"), (F.col("label") < 5).cast("int").alias("label"), (F.col("vec_id") % FOLD_COUNT).alias("fold_id"), F.lit(1.0).alias("weight")
+    )
+
     def found(fold):
-        train, test = scaled_split(t, fold)
+        held_out = F.col("fold_id") == fold
+        train, test = scaled(rows.filter(~held_out & (F.col("fold_id") != (fold + 1) % FOLD_COUNT)), rows.filter(held_out))
         return nearest(test.select(F.col("vec_id").alias("q_id"), "features"), train.select(F.col("vec_id").alias("r_id"), "features", "label"), NEIGHBOURS)
 
     return every_fold(found).drop("fold")  # a query belongs to one fold

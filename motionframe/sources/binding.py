@@ -7,12 +7,14 @@ daily activity, N = recordings labelled as a whole.
 """
 
 from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from motionframe.constants import BALANCED, FOLD_COUNT, NATURAL, NOT_APPLICABLE, SEED
+from motionframe.operators import features as window_features
 from motionframe.operators import labels, windows
 from motionframe.operators.skew import HOT_ROWS, offsets_before, ordered_positions
 from motionframe.sources.schemas import TEST_TABLES
@@ -40,6 +42,7 @@ class Tables:
         self.spark = spark
         self.sf_dir = str(sf_dir).rstrip("/")
         self._read = {}
+        self._building = RLock()
 
     def read(self, name: str) -> DataFrame:
         if name not in self._read:
@@ -307,6 +310,22 @@ class Tables:
         """The window store: one row per surviving window, partitioned by fold."""
         return self._stored("windows", self.build_scored, ["fold_id"])
 
+    @property
+    def features(self) -> DataFrame:
+        """The 158 features of every labelled window; those without a fold only train."""
+        with self._building:  # folds are fitted side by side and ask for it at once
+            return self._features
+
+    @cached_property
+    def _features(self) -> DataFrame:
+        return self._stored("features", self.build_features)
+
+    def build_features(self) -> DataFrame:
+        rows = self.scored.filter("temporal_label >= 0").select(
+            "recording_id", "win", "dataset_id", "participant_id", "fold_id", F.col("temporal_label").alias("label")
+        )
+        return rows.join(window_features.feature_vectors(self.samples), ["recording_id", "win"])
+
     @cached_property
     def kept(self) -> DataFrame:
         return self.scored.drop("acc_part", "gyr_part", "impact_score")
