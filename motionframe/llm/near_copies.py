@@ -9,15 +9,17 @@ the whole sequence) have a Jaccard similarity of 0.8 or more. Two such sets diff
   as many blocks as bring the chance that some block differs in one bit at most to ``FOUND``;
 * rows meet at the anchors of every block as in operator 9. A row is copied only to anchors
   above its own home: of two rows the one with the smaller home goes to the other;
-* rows that meet are candidates if two further words of 64 bits differ in at most ``CHECK`` bits
-  (it lets 99 % of the pairs at a similarity of 0.8 pass, and one in ten million of unlike ones);
+* rows that meet are candidates if ``FIRST`` further words of 64 bits differ in at most as many bits
+  as ``allowed`` says (99 % of the pairs at a similarity of 0.8, one in ten million of unlike ones);
 * candidates are verified exactly, by their sets of shingles (64-bit digests).
 
 A group of n near copies has n * n links, which are never put out. First every cell of an anchor
 puts out a spanning forest of its candidates, the rows nearest to all others as its centres, and
 these edges are verified. Where all edges of a family of candidates hold, its rows are one group
 and no further link matters. Only families with a false edge are met again, and then all their
-candidates between groups that are still apart are verified, so no link found is lost.
+candidates between groups that are still apart are verified, so no link found is lost. There
+``SECOND`` words, drawn from the sets that the first verification has made, decide who is a candidate:
+in a crowd of texts at similarities of 0.5 to 0.75 most pairs pass two words and few pass sixteen.
 
 Of each group of verified links the row with the smallest doc_id stays (null is larger than any
 other, then the smallest digest of the text). Equal sets are one node from the start. Cases: null,
@@ -41,7 +43,7 @@ PART, WHOLE = 4, 5
 #: Share of the bits that differ at this similarity (sets of one size): the angle by pi.
 APART = math.acos(2 * PART / (PART + WHOLE)) / math.pi
 FOUND = 0.95
-CHECK = 30
+FIRST, SECOND = 2, 16
 SEED = 42
 CHUNK = 1 << 15
 PLACE = 48
@@ -55,6 +57,17 @@ def shape(rows):
     return width, math.ceil(math.log(1 - FOUND) / math.log(1 - one))
 
 
+def allowed(n_words):
+    """Bits of so many words in which candidates may differ: 2.6 deviations above the mean at 0.8."""
+    n = 64 * n_words
+    return math.ceil(n * APART + 2.6 * math.sqrt(n * APART * (1 - APART)))
+
+
+def checks(n_words):
+    """Names of the columns with the words that are compared."""
+    return [f"c{k}" for k in range(1, n_words + 1)]
+
+
 def shingles(text, n_words=WORDS):
     """Sorted distinct 64-bit digests of the shingles of a text (bytes)."""
     import xxhash
@@ -94,14 +107,14 @@ def _described(width, n_blocks):
     """mapInArrow function: the text gives way to the node, two words to check, and the blocks."""
     import xxhash
 
-    n_words = 2 + math.ceil(width * n_blocks / 64)
+    n_words = FIRST + math.ceil(width * n_blocks / 64)
     weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
 
     def one(text):
         found = shingles(text)
         drawn = bits(found, n_words)
-        check = np.packbits(drawn[:128]).view(">u8").astype(np.uint64)
-        blocks = drawn[128 : 128 + width * n_blocks].reshape(n_blocks, width) @ weights
+        check = np.packbits(drawn[: 64 * FIRST]).view(">u8").astype(np.uint64)
+        blocks = drawn[64 * FIRST : 64 * FIRST + width * n_blocks].reshape(n_blocks, width) @ weights
         return np.r_[np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)), check, blocks.astype(np.uint64)]
 
     def run(batches):
@@ -109,14 +122,23 @@ def _described(width, n_blocks):
             for some in tokens.slices(batch):
                 texts = pc.fill_null(some.column("text").cast(pa.large_binary()), b"")
                 made = np.stack([one(t.as_py()) for t in texts]).view(np.int64)
-                blocks = pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * n_blocks, pa.array(made[:, 3:].ravel()))
-                columns = [some.column("doc_id"), some.column("sha"), *(pa.array(made[:, k].copy()) for k in range(3)), blocks]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "node", "c1", "c2", "blocks"])
+                blocks = pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * n_blocks, pa.array(made[:, 1 + FIRST :].ravel()))
+                columns = [some.column("doc_id"), some.column("sha"), *(pa.array(made[:, k].copy()) for k in range(1 + FIRST)), blocks]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "node", *checks(FIRST), "blocks"])
 
     return run
 
 
-def _placed(width):
+def _sketched(batches):
+    """mapInArrow function: the words for the second meeting from the sets of shingles."""
+    for batch in batches:
+        if len(batch):
+            found = (np.asarray(x.values).view(np.uint64) for x in batch.column("shingles"))
+            made = np.stack([np.packbits(bits(x, SECOND)).view(">u8").astype(np.int64) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(c.copy()) for c in made.T)], ["node", *checks(SECOND)])
+
+
+def _placed(width, n_words=FIRST):
     """mapInArrow function: a node at its home in each block, and at the anchors above that it reaches.
     A place is the number of the block and the anchor in one."""
 
@@ -125,29 +147,32 @@ def _placed(width):
             if not len(batch):
                 continue
             blocks = np.array(batch.column("blocks").flatten()).view(np.uint64).reshape(len(batch), -1)
-            own = [batch.column(c).to_numpy() for c in ("node", "c1", "c2", "root")]
+            carried = ["node", *checks(n_words), "root"]
+            own = [batch.column(c).to_numpy() for c in carried]
             for k in range(blocks.shape[1]):
                 rows, anchor, home = simhash.anchors(blocks[:, k], width)
                 above = home | (anchor > anchor[: len(batch)][rows])  # homes come first, row by row
                 rows, place, home = rows[above], (anchor[above] | np.uint64(k << PLACE)).view(np.int64), home[above]
                 made = [place, home, *(c[rows] for c in own)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["place", "home", "node", "c1", "c2", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["place", "home", *carried])
 
     return run
 
 
 def _distances(homes, members):
-    """Differing bits of the two words of every home and member; rows are (node, c1, c2, group)."""
-    apart = np.bitwise_count(homes[:, 1, None] ^ members[None, :, 1]).astype(np.uint8)
-    return apart + np.bitwise_count(homes[:, 2, None] ^ members[None, :, 2])
+    """Differing bits of the words of every home and member; rows are (node, words, group)."""
+    apart = np.zeros((len(homes), len(members)), np.uint16)
+    for k in range(1, homes.shape[1] - 1):
+        apart += np.bitwise_count(homes[:, k, None] ^ members[None, :, k])
+    return apart
 
 
 def forest(homes, members):
     """Candidate pairs that span all candidates between ``homes`` and ``members``: homes with the
     nearest neighbourhoods come first, and each reaches into groups it is not yet part of."""
-    step = max(1, (1 << 20) // max(1, len(members)))
+    step, most = max(1, (1 << 20) // max(1, len(members))), allowed(homes.shape[1] - 2)
     parts = range(0, len(homes), step)
-    closeness = [np.maximum(CHECK + 1 - _distances(homes[a : a + step], members).astype(np.int64), 0).sum(1) for a in parts]
+    closeness = [np.maximum(most + 1 - _distances(homes[a : a + step], members).astype(np.int64), 0).sum(1) for a in parts]
     homes = homes[np.argsort(-np.concatenate(closeness), kind="stable")]
     nodes = np.unique(np.r_[homes[:, 0], members[:, 0]])
     label = np.arange(len(nodes))
@@ -155,8 +180,8 @@ def forest(homes, members):
     found = []
     for a in parts:
         apart = _distances(homes[a : a + step], members)
-        for k in np.flatnonzero((apart <= CHECK).any(1)):
-            near = np.flatnonzero(apart[k] <= CHECK)
+        for k in np.flatnonzero((apart <= most).any(1)):
+            near = np.flatnonzero(apart[k] <= most)
             near = near[np.argsort(apart[k][near], kind="stable")]
             groups, first = np.unique(label[of_member[near]], return_index=True)
             own = label[of_home[a + k]]
@@ -170,15 +195,15 @@ def forest(homes, members):
 def between(homes, members):
     """All candidate pairs of two groups."""
     found = []
-    step = max(1, (1 << 20) // max(1, len(members)))
+    step, most = max(1, (1 << 20) // max(1, len(members))), allowed(homes.shape[1] - 2)
     for a in range(0, len(homes), step):
         part = homes[a : a + step]
-        h, m = np.nonzero((_distances(part, members) <= CHECK) & (part[:, 3, None] != members[None, :, 3]))
+        h, m = np.nonzero((_distances(part, members) <= most) & (part[:, -1, None] != members[None, :, -1]))
         found += zip(part[h, 0].tolist(), members[m, 0].tolist())
     return found
 
 
-def _pairs(pick):
+def _pairs(pick, n_words):
     """mapInArrow function over rows sorted by cell: a cell may span batches."""
 
     def run(batches):
@@ -195,7 +220,7 @@ def _pairs(pick):
             if not len(batch):
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in ("place", "part")])
-            rows = np.stack([batch.column(c).to_numpy() for c in ("node", "c1", "c2", "root")], axis=1).view(np.uint64)
+            rows = np.stack([batch.column(c).to_numpy() for c in ("node", *checks(n_words), "root")], axis=1).view(np.uint64)
             role = batch.column("role").to_numpy()
             edges = [0, *(np.flatnonzero((np.diff(key) != 0).any(0)) + 1).tolist(), len(rows)]
             for a, b in zip(edges, edges[1:]):
@@ -212,11 +237,13 @@ def _pairs(pick):
     return run
 
 
-def candidates(spark, nodes, width, pick, cell=simhash.CELL):
-    """Distinct pairs (a, b) of ``pick`` over the cells of all anchors of ``nodes`` (node, c1, c2, blocks, root).
+def candidates(spark, nodes, width, pick, cell=simhash.CELL, n_words=FIRST):
+    """Distinct pairs (a, b) of ``pick`` over the cells of all anchors of ``nodes`` (node, c1, c2, ..., blocks, root).
 
     An anchor with more than ``cell`` rows is dealt out as a matrix of parts, homes by members."""
-    placed = nodes.select("node", "c1", "c2", "root", "blocks").mapInArrow(_placed(width), "place long, home boolean, node long, c1 long, c2 long, root long")
+    carried = ["node", *checks(n_words), "root"]
+    schema = "place long, home boolean, " + ", ".join(f"{c} long" for c in carried)
+    placed = nodes.select(*carried, "blocks").mapInArrow(_placed(width, n_words), schema)
     sizes = placed.groupBy("place").agg(F.count("*").alias("members"), F.count_if("home").alias("homes"))
     parts = lambda n: F.ceil(F.greatest(n, F.lit(1)) / cell)
     large = common.written(spark, sizes.filter(F.col("members") > cell).select("place", parts("members").alias("n_j"), parts("homes").alias("n_i")), "near-large")
@@ -227,9 +254,9 @@ def candidates(spark, nodes, width, pick, cell=simhash.CELL):
     as_home = F.transform(many(n_j), lambda j: spot(F.pmod(own, n_i), j, F.lit(HOME)))
     whole = F.struct(F.lit(0).cast("long").alias("part"), F.when(F.col("home"), MEMBER | HOME).otherwise(MEMBER).cast("byte").alias("role"))
     roles = F.when(n_j.isNull(), F.array(whole)).when(F.col("home"), F.concat(as_member, as_home)).otherwise(as_member)
-    dealt = placed.join(large, "place", "left").select("place", "node", "c1", "c2", "root", F.inline(roles))
+    dealt = placed.join(large, "place", "left").select("place", *carried, F.inline(roles))
     ordered = dealt.repartition("place", "part").sortWithinPartitions("place", "part")
-    return ordered.mapInArrow(_pairs(pick), "a long, b long").filter("a <> b").distinct()
+    return ordered.mapInArrow(_pairs(pick, n_words), "a long, b long").filter("a <> b").distinct()
 
 
 def _sets(batches):
@@ -242,11 +269,15 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([some.column("node"), lists], ["node", "shingles"])
 
 
-def verified(spark, pairs, nodes, texts):
-    """The pairs whose sets of shingles are similar; ``nodes`` (node, sha), ``texts`` (sha, text)."""
+def shingle_sets(spark, pairs, nodes, texts):
+    """(node, shingles) of the nodes of all pairs; ``nodes`` (node, sha), ``texts`` (sha, text)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "sha"), "node")
     once = texts.join(wanted, "sha").groupBy("node").agg(F.first("text").alias("text"))
-    sets = common.written(spark, once.mapInArrow(_sets, "node long, shingles array<long>"), "near-sets")
+    return common.written(spark, once.mapInArrow(_sets, "node long, shingles array<long>"), "near-sets")
+
+
+def verified(pairs, sets):
+    """The pairs whose sets of shingles (node, shingles) are similar."""
     side = lambda name, values: sets.select(F.col("node").alias(name), F.col("shingles").alias(values))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     common_ones = F.size(F.array_intersect("x", "y"))
@@ -259,24 +290,28 @@ def groups(spark, docs, cell=simhash.CELL):
     joined by verified links."""
     width, n_blocks = shape(docs.count())
     described = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "sha", "text").mapInArrow(
-        _described(width, n_blocks), "doc_id long, sha string, node long, c1 long, c2 long, blocks array<long>"
+        _described(width, n_blocks), f"doc_id long, sha string, node long, {', '.join(f'{c} long' for c in checks(FIRST))}, blocks array<long>"
     )
     rows = common.written(spark, described, "near-rows")
-    same = [F.first(c).alias(c) for c in ("c1", "c2", "blocks")]
+    same = [F.first(c).alias(c) for c in (*checks(FIRST), "blocks")]
     nodes = common.written(spark, rows.groupBy("node").agg(F.min("sha").alias("sha"), *same), "near-nodes")
     texts = docs.select("sha", "text")
 
     tried = common.written(spark, candidates(spark, nodes.withColumn("root", F.lit(0).cast("long")), width, forest, cell), "near-tried")
-    held = common.written(spark, verified(spark, tried, nodes, texts), "near-held")
+    sets = shingle_sets(spark, tried, nodes, texts)
+    held = common.written(spark, verified(tried, sets), "near-held")
     failed = tried.join(held, ["a", "b"], "left_anti")
     families = common.written(spark, simhash.components(spark, tried), "near-families").toDF("node", "family")
     open_ones = failed.select(F.col("a").alias("node")).join(families, "node", "left").select(F.coalesce("family", "node").alias("family")).distinct()
     with_family = nodes.join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
     grouped = simhash.components(spark, held)
     again = with_family.join(open_ones, "family", "left_semi").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    again = common.written(spark, again.select("node", "c1", "c2", "blocks", "root"), "near-again")
-    more = common.written(spark, candidates(spark, again, width, between, cell).join(failed, ["a", "b"], "left_anti"), "near-more")
-    links = held.union(verified(spark, more, nodes, texts))
+    again = common.written(spark, again.select("node", "blocks", "root"), "near-again")
+    # every node of an open family was tried, so its set is there
+    sketched = sets.join(again.select("node"), "node", "left_semi").mapInArrow(_sketched, "node long, " + ", ".join(f"{c} long" for c in checks(SECOND)))
+    again = common.written(spark, again.join(sketched, "node"), "near-sketched")
+    more = common.written(spark, candidates(spark, again, width, between, cell, SECOND).join(failed, ["a", "b"], "left_anti"), "near-more")
+    links = held.union(verified(more, sets))
     roots = simhash.components(spark, links)
     return rows.join(roots, "node", "left").select("doc_id", "sha", F.coalesce("root", "node").alias("root"))
 

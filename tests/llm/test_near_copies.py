@@ -87,6 +87,24 @@ def test_false_edges_lose_no_links(spark):
     assert sum(r == root[80] for r in root.values()) >= 0.95 * len(texts)
 
 
+def test_words_to_check_let_similar_sets_pass_and_part_a_crowd():
+    rng = np.random.default_rng(4)
+
+    def passing(common, n_words):
+        """Share of pairs of 150 digests with so many in common that pass so many words."""
+        at, end = [], 150 - common
+        for _ in range(300):
+            drawn = rng.integers(0, 1 << 63, 150 + end).astype(np.uint64)
+            x, y = (near_copies.bits(d, n_words) for d in (drawn[:150], drawn[end:]))
+            at.append((x != y).sum() <= near_copies.allowed(n_words))
+        return np.mean(at)
+
+    assert near_copies.allowed(near_copies.FIRST) == 30
+    for n_words in (near_copies.FIRST, near_copies.SECOND):
+        assert passing(134, n_words) >= 0.97  # 134 of 166: a similarity of 0.81
+    assert passing(115, near_copies.SECOND) <= 0.05 < passing(115, near_copies.FIRST)  # 0.62
+
+
 def test_blocks_follow_the_rows():
     assert [near_copies.shape(n)[0] for n in (0, 1, 10**5, 10**10)] == [15, 15, 17, 34]
     for n in (1, 10**6, 10**10):
