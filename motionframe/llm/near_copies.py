@@ -311,9 +311,13 @@ def groups(spark, docs, cell=simhash.CELL):
     sketched = sets.join(again.select("node"), "node", "left_semi").mapInArrow(_sketched, "node long, " + ", ".join(f"{c} long" for c in checks(SECOND)))
     again = common.written(spark, again.join(sketched, "node"), "near-sketched")
     more = common.written(spark, candidates(spark, again, width, between, cell, SECOND).join(failed, ["a", "b"], "left_anti"), "near-more")
-    links = held.union(verified(more, sets))
-    roots = simhash.components(spark, links)
-    return rows.join(roots, "node", "left").select("doc_id", "sha", F.coalesce("root", "node").alias("root"))
+    # the further links join groups, so only roots go through the stars again
+    side = lambda name: grouped.select(F.col("node").alias(name), F.col("root").alias(f"of_{name}"))
+    further = verified(more, sets).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    further = further.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = simhash.components(spark, further).toDF("root", "last")
+    rooted = rows.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.join(joined, "root", "left").select("doc_id", "sha", F.coalesce("last", "root").alias("root"))
 
 
 def without_near_copies(spark, docs, cell=simhash.CELL):
