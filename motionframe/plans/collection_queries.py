@@ -536,7 +536,7 @@ def agg_23(t):
     scores = t.job_scores("test").filter("model_id <> 'impact_rule'")
     observed, expected = scores.filter(F.col("seed") == SEED + 1), scores.filter(F.col("seed") == SEED)
     table = metrics.score_parity(observed, expected, keys, by, 1e-4, 0.06)
-    errors = observed.select(*keys, F.col("score").alias("o")).join(expected.select(*keys, F.col("score").alias("e")), keys)
+    errors = observed.select(*keys, F.col("score").alias("o")).join(expected.select(*keys, F.col("score").alias("e")).hint("merge"), keys)
     tail = metrics.exact_quantile(errors.withColumn("d", F.abs(F.col("o") - F.col("e"))), "d", 0.99, by, "p99_absolute_error")
     return table.join(tail, by).select(
         "model_id", "recipe", *longs("fold"), "samples", *rounded("max_absolute_error", "mean_absolute_error", "p99_absolute_error"), "passed"
