@@ -24,3 +24,11 @@ def test_parity_joins_by_shuffle(spark):
     tail = metrics.exact_quantile(scored(spark), "score", 0.99, list(JOB), "q")
     assert "Broadcast" not in plan_of(tail)
     assert abs(tail.first()["q"] - 0.98) < 1e-12
+
+
+def test_thresholds_go_to_the_scores(spark):
+    few = scored(spark, 2)
+    limits = metrics.best_threshold(scored(spark, 3000))
+    joined = metrics.apply_threshold(few, limits)
+    assert "BuildRight" in plan_of(joined).split("\n")[1] + plan_of(joined).split("\n")[0]
+    assert "SortMergeJoin" in plan_of(metrics.score_curve(scored(spark)))
