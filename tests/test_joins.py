@@ -32,3 +32,14 @@ def test_thresholds_go_to_the_scores(spark):
     joined = metrics.apply_threshold(few, limits)
     assert "BuildRight" in plan_of(joined).split("\n")[1] + plan_of(joined).split("\n")[0]
     assert "SortMergeJoin" in plan_of(metrics.score_curve(scored(spark)))
+
+
+def test_bag_scores_join_once_by_shuffle(spark):
+    table = metrics.bag_scores(scored(spark), seq=["recording_id"])
+    assert "Broadcast" not in plan_of(table)
+    assert plan_of(table).count("Join") == 1
+    best = {r["recording_id"]: (r["top_windows"], r["bag_score"]) for r in table.collect()}
+    rows = scored(spark).toPandas()
+    for name, part in rows.groupby("recording_id"):
+        top = sorted(part["score"], reverse=True)[: best[name][0]]
+        assert abs(sum(top) / len(top) - best[name][1]) < 1e-12
