@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from motionframe.constants import JOB
-from motionframe.operators import metrics
+from motionframe.operators import metrics, skew
 
 
 def plan_of(df):
@@ -43,3 +43,11 @@ def test_bag_scores_join_once_by_shuffle(spark):
     for name, part in rows.groupby("recording_id"):
         top = sorted(part["score"], reverse=True)[: best[name][0]]
         assert abs(sum(top) / len(top) - best[name][1]) < 1e-12
+
+
+def test_rows_are_exchanged_once_for_their_numbers(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("key"), F.col("id").alias("v"))
+    plan = plan_of(skew.ordered_positions(df, ["key"], [F.col("v")], F.floor(F.col("v") / 10)))
+    assert "BroadcastHashJoin [key" in plan and "LeftAnti" in plan
+    cold = plan.split("LeftAnti")[0]
+    assert "SortMergeJoin" not in cold and "Exchange" not in cold
