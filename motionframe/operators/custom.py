@@ -41,7 +41,8 @@ def custom_triggers(
     """Triggers of a user's rule over ordered alert flags.
 
     The rule sees a block of at most POSITION_BLOCK windows preceded by the
-    ``lookback - 1`` windows before it, and returns one boolean per window.
+    ``lookback - 1`` windows before it, and returns one boolean per window. Blocks lie one after
+    another in sorted partitions and are cut out of the batches, so short recordings cost little.
     """
     block = F.floor(F.col("pos") / POSITION_BLOCK)
     edge = F.col("pos") % POSITION_BLOCK >= POSITION_BLOCK - (lookback - 1)
@@ -52,16 +53,34 @@ def custom_triggers(
         F.explode(F.when(edge, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"),
     )
 
-    def fire(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("pos")
-        fired = np.asarray(rule(ordered["alert"].to_numpy()), dtype=bool)
-        own = (ordered["pos"] // POSITION_BLOCK == ordered["block"]).to_numpy()
-        return ordered.loc[fired & own, [*keys, "decision"]]
+    group = [*keys, "block"]
+
+    def fired(whole: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        alerts, ends = whole["alert"].to_numpy(dtype=bool), np.append(starts[1:], len(whole))
+        hits = np.concatenate([np.asarray(rule(alerts[i:j]), dtype=bool) for i, j in zip(starts, ends)])
+        own = (whole["pos"] // POSITION_BLOCK == whole["block"]).to_numpy()
+        return whole.loc[hits & own, [*keys, "decision"]]
+
+    def fire(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            here, before = frame[group], frame[group].shift()
+            changed = ((here != before) & ~(here.isna() & before.isna())).any(axis=1).to_numpy()
+            changed[0] = True
+            starts = np.flatnonzero(changed)
+            if len(starts) > 1:
+                yield fired(frame.iloc[: starts[-1]], starts[:-1])
+            rest = frame.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None:
+            yield fired(rest, np.zeros(1, dtype=int))
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "decision"))
-    fired = rows.groupBy(*keys, "block").applyInPandas(fire, schema)
-    return fired.withColumns({"policy": F.lit(name), "cooldown": F.lit(cooldown)})
+    fired_rows = rows.repartition(*group).sortWithinPartitions(*group, "pos").mapInPandas(fire, schema)
+    return fired_rows.withColumns({"policy": F.lit(name), "cooldown": F.lit(cooldown)})
 
 
 def start_grid_function():
