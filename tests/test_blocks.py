@@ -4,7 +4,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from motionframe.operators import custom
+from motionframe.operators import custom, features
+
+
+def test_windows_are_cut_out_of_blocks(spark):
+    gone, twice = {5000}, {120, 3190}
+    values = [("r", i, *[float(i * k % 17) for k in range(1, 7)]) for i in range(7001) if i not in gone]
+    values += [v for v in values if v[1] in twice]
+    samples = spark.createDataFrame(values, "recording_id string, sample_idx int, ax double, ay double, az double, gx double, gy double, gz double")
+    table = features.gathered_windows(samples, ["recording_id"])
+    plan = table._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("ObjectHashAggregate")  # gathered first, cut afterwards
+    got = {r["win"]: r["signals"] for r in table.collect()}
+    starts = {k: int(np.floor(k * 12.5 + 0.5)) for k in range(600)}
+    bad = gone | twice
+    assert set(got) == {k for k, s in starts.items() if s + 50 <= 7001 and not bad & set(range(s, s + 50))}
+    for k in (0, 255, 256, 300, 555):
+        if k in got:
+            assert got[k][1] == [float(i * 2 % 17) for i in range(starts[k], starts[k] + 50)]
 
 
 def test_short_recordings_share_batches(spark):
