@@ -4,7 +4,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from motionframe.operators import custom, features
+from motionframe.operators import custom, features, statistics
+
+
+def test_draws_are_not_broadcast(spark, monkeypatch):
+    rows = [("u", side, "d", f"p{p:02d}", seed, p * 3 + seed, 1, p % 2, 2, 1, 1, 0.5, p) for side in "ab" for p in range(11) for seed in (1, 2)]
+    schema = "unit string, side string, dataset_id string, participant_id string, seed int, " + ", ".join(
+        f"{c} {'double' if 'hours' in c else 'long'}" for c in statistics.COUNTS
+    )
+    cells = spark.createDataFrame(rows, schema)
+    whole = statistics.resampled(cells, 30)
+    plan = whole._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    assert "draw" not in "".join(line for line in plan.split("\n") if "Broadcast" in line)
+    want = {(r.side, r.rep): tuple(r) for r in whole.collect()}
+    assert len(want) == 60
+    monkeypatch.setattr(statistics, "PEOPLE_CHUNK", 4)
+    monkeypatch.setattr(statistics, "REPLICATE_BLOCK", 7)
+    cut = {(r.side, r.rep): tuple(r) for r in statistics.resampled(cells, 30).collect()}
+    assert cut == want
 
 
 def test_windows_are_cut_out_of_blocks(spark):
