@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionframe.constants import BALANCED, FOLD_COUNT, JOB, NATURAL, NOT_APPLICABLE, POLICIES, REFERENCE_POLICY, SEED
 from motionframe.functions.exprs import r6
-from motionframe.operators import alarms, custom, metrics, models, sampling, selection
+from motionframe.operators import alarms, custom, logistic, metrics, models, sampling, selection
 from motionframe.plans import statistics_queries  # noqa: F401  (defines shared SQL parts)
 from motionframe.plans.collection_queries import job_hash, scheduled, scratch, stats_of
 from motionframe.plans.feature_queries import HOURLY, user_series
@@ -33,9 +33,14 @@ from motionframe.streaming import processors
 WINDOW = ["recording_id", "win"]
 
 
+def in_training(fold):
+    """Whether a window trains the fold: it neither tests nor validates it. One without a fold always does."""
+    return (F.col("fold_id") != fold) & (F.col("fold_id") != (fold + 1) % FOLD_COUNT)
+
+
 def training(t, fold, recipe=NATURAL, seed=SEED):
     """Training windows of a fold with their weight: each once, or as often as the balanced recipe draws it."""
-    rows = t.features.filter((F.col("fold_id") != fold) & (F.col("fold_id") != (fold + 1) % FOLD_COUNT))
+    rows = t.features.filter(in_training(fold))
     if recipe == NATURAL:
         return rows.withColumn("weight", F.lit(1.0))
     pool = statistics_queries.training_rows(t).filter(F.col("fold") == fold)
@@ -43,6 +48,27 @@ def training(t, fold, recipe=NATURAL, seed=SEED):
     return rows.join(drawn.groupBy(*WINDOW).agg(F.count(F.lit(1)).cast("double").alias("weight")), WINDOW)
 
 
+def job_weights(t, jobs):
+    """Windows with ``draws``, and the weight of a window in each job (fold, recipe, seed).
+
+    ``draws`` counts how often each balanced recipe draws the window; a window that none draws has none."""
+    balanced = [job for job in jobs if job[1] == BALANCED]
+    if not balanced:
+        return t.features, [in_training(fold).cast("double") for fold, _, _ in jobs]
+    pool = statistics_queries.training_rows(t)
+    drawn = [sampling.balanced_sample(pool, ["fold"], seed).select("fold", F.lit(seed).alias("seed"), *WINDOW) for seed in sorted({job[2] for job in balanced})]
+    drawn = reduce(DataFrame.unionByName, drawn)
+    counts = [F.count(F.when((F.col("fold") == fold) & (F.col("seed") == seed), 1)).cast("double") for fold, _, seed in balanced]
+    rows = t.features.join(drawn.groupBy(*WINDOW).agg(F.array(*counts).alias("draws")), WINDOW, "left")
+
+    def weight(job):
+        if job[1] == NATURAL:
+            return in_training(job[0]).cast("double")
+        return F.coalesce(F.col("draws")[balanced.index(job)], F.lit(0.0))
+
+    return rows, [weight(job) for job in jobs]
+
+
 def split(t, fold):
     return training(t, fold), t.features.filter(F.col("fold_id") == fold)
 
@@ -53,8 +79,8 @@ def scaled(train, *others):
     return tuple(models.standardise_array(frame, parameters) for frame in (train, *others))
 
 
-def predictions(rows):
-    return rows.select("recording_id", *longs("win", "label"), F.round("score", 4).alias("score"))
+def predictions(rows, *more):
+    return rows.select("recording_id", *longs("win", "label"), F.round("score", 4).alias("score"), *more)
 
 
 def every_fold(build):
@@ -95,13 +121,19 @@ def ml_01(t):
     )
 
 
+def logistic_folds(t):
+    """A logistic regression a fold, all in the same passes over the windows."""
+    return models.fit_logistic_jobs(t.features, [in_training(fold).cast("double") for fold in range(FOLD_COUNT)])
+
+
+def logistic_predictions(t, fitted):
+    held = logistic.score(t.features, fitted, [F.col("fold_id") == fold for fold in range(FOLD_COUNT)], [*WINDOW, "label"])
+    return predictions(held, F.col("job").cast("long").alias("fold"))
+
+
 @query("ml_02_logistic_regression")
 def ml_02(t):
-    def scored(fold):
-        train, test = scaled(*split(t, fold))
-        return predictions(models._score(models.fit_logistic(train), test))
-
-    return every_fold(scored)
+    return logistic_predictions(t, logistic_folds(t))
 
 
 @query("ml_03_random_forest")
@@ -140,24 +172,21 @@ def ml_05(t):
 
 @query("ml_07_batched_evaluation")
 def ml_07(t):
-    """One fit per fold, recipe and seed, written as score shards; thresholds come from the
-    validation scores, and one plan computes the metrics of all jobs."""
+    """One fit per fold, recipe and seed, all in the same passes over the windows; scores are written
+    once, thresholds come from the validation scores, and one plan computes the metrics of all jobs."""
     path = scratch(t, "fitted_scores")
     jobs = [(fold, recipe, seed) for fold in range(FOLD_COUNT) for recipe, seed in ((NATURAL, SEED), (BALANCED, SEED), (BALANCED, SEED + 1))]
-
-    def fit(job):
-        fold, recipe, seed = job
-        held = t.features.filter(F.col("fold_id").isin(fold, (fold + 1) % FOLD_COUNT))
-        train, held = scaled(training(t, fold, recipe, seed), held)
-        part_of = F.when(F.col("fold_id") == fold, "test").otherwise("validation").alias("split")
-        named = [F.lit(v).alias(c) for c, v in zip(JOB, ("logistic", recipe, fold, seed), strict=True)]
-        shard = models._score(models.fit_logistic(train), held).select(*named, part_of, *WINDOW, "label", "score")
-        shard.write.mode("overwrite").parquet(f"{path}/{recipe}-{fold}-{seed}")
-
-    with ThreadPoolExecutor(FOLD_COUNT) as pool:
-        list(pool.map(fit, jobs))
-    schema = "model_id string, recipe string, fold int, seed int, split string, recording_id string, win int, label int, score double"
-    scores = t.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    rows, weights = job_weights(t, jobs)
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    rows = t.spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    fitted = models.fit_logistic_jobs(rows, weights)
+    roles = [F.col("fold_id").isin(fold, (fold + 1) % FOLD_COUNT) for fold, _, _ in jobs]
+    scored = logistic.score(rows, fitted, roles, [*WINDOW, "label", "fold_id"])
+    names = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(JOB, ("logistic", recipe, fold, seed), strict=True)]) for fold, recipe, seed in jobs])
+    part_of = F.when(F.col("fold_id") == F.col("_j.fold"), "test").otherwise("validation").alias("split")
+    shards = scored.withColumn("_j", names[F.col("job")]).select(*[F.col(f"_j.{c}").alias(c) for c in JOB], part_of, *WINDOW, "label", "score")
+    shards.write.mode("overwrite").parquet(f"{path}/scores")
+    scores = t.spark.read.schema(shards.schema).parquet(f"{path}/scores")
     test = scores.filter("split = 'test'")
     limits = metrics.best_threshold(scores.filter("split = 'validation'"))
     table = metrics.classification(metrics.apply_threshold(test, limits)).join(metrics.ranking(test), list(JOB))
@@ -167,18 +196,14 @@ def ml_07(t):
 @query("snk_06_fitted_model")
 def snk_06(t):
     """A model saved and loaded again gives the scores it was saved with."""
-    from pyspark.ml.classification import LogisticRegressionModel
-
     path = scratch(t, "logistic_model")
-
-    def scored(fold):
-        train, test = split(t, fold)
-        models.array_standardisation(train, weight="weight").write.mode("overwrite").parquet(f"{path}/{fold}/parameters")
-        parameters = t.spark.read.parquet(f"{path}/{fold}/parameters")
-        models.fit_logistic(models.standardise_array(train, parameters)).write().overwrite().save(f"{path}/{fold}/model")
-        return predictions(models._score(LogisticRegressionModel.load(f"{path}/{fold}/model"), models.standardise_array(test, parameters)))
-
-    return every_fold(scored)
+    rows = [
+        (fold, *([float(v) for v in model[c]] for c in ("centre", "scale", "coefficients")), model["intercept"])
+        for fold, model in enumerate(logistic_folds(t))
+    ]
+    schema = "fold int, centre array<double>, scale array<double>, coefficients array<double>, intercept double"
+    t.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+    return logistic_predictions(t, [r.asDict() for r in t.spark.read.schema(schema).parquet(path).orderBy("fold").collect()])
 
 
 # -- selection ----------------------------------------------------------------

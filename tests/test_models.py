@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionframe.constants import BALANCED, SEED
-from motionframe.operators import models
+from motionframe.operators import logistic, models
 from motionframe.plans import model_queries, statistics_queries
 
 LONG = "recording_id string, win int, features array<float>, label int, weight double"
@@ -64,3 +64,47 @@ def test_balanced_training_holds_every_draw(tables):
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     pool = statistics_queries.training_rows(tables).filter("fold = 0").count()
     assert totals == {0: pool // 2, 1: pool - pool // 2}
+
+
+def test_logistic_jobs_share_their_passes(spark, monkeypatch):
+    """Jobs fitted together equal plain minima on their own standardised rows, in as many passes as one job needs."""
+    x, label, weight = made(200)
+    x[:, 3] = 7.0  # no spread
+    train = frame(spark, x, label, weight).repartition(3)
+    passes, summed = [], logistic._summed
+    monkeypatch.setattr(logistic, "_summed", lambda *a: passes.append(1) or summed(*a))
+    jobs = [F.col("weight"), (F.col("win") < 150).cast("double"), F.when(F.col("label") == 1, 1.0).otherwise(0.0)]
+    fitted = models.fit_logistic_jobs(train, jobs)
+    assert len(passes) < 30
+    for model, own in zip(fitted, (weight, (np.arange(200) < 150).astype(float))):
+        z = x.astype(float)
+        centre = np.average(z, axis=0, weights=own)
+        spread = np.sqrt(np.average((z - centre) ** 2, axis=0, weights=own))
+        scaled = (z - centre) / np.where(spread < models.MIN_SCALE, 1.0, spread)
+        b = model["coefficients"]
+        p = 1 / (1 + np.exp(-(scaled @ b + model["intercept"])))
+        assert np.abs(scaled.T @ (own * (p - label)) + b / models.LOGISTIC["C"]).max() < 1e-4
+        assert abs((own * (p - label)).sum()) < 1e-4
+    scored = logistic.score(train, fitted, [F.lit(True)] * 3, ["win"]).filter("job = 2")
+    assert {r.score for r in scored.collect()} == {1.0}  # rows of one class
+
+
+def test_all_logistic_jobs_of_an_evaluation_are_one_fit(tables, monkeypatch):
+    calls, fit = [], logistic.fit
+    monkeypatch.setattr(logistic, "fit", lambda rows, weights, *a, **k: calls.append(len(weights)) or fit(rows, weights, *a, **k))
+    assert model_queries.ml_07(tables).count() == 15
+    assert calls == [15]
+
+
+def test_job_weights_are_the_training_windows(tables):
+    jobs = [(1, model_queries.NATURAL, SEED), (1, BALANCED, SEED)]
+    rows, weights = model_queries.job_weights(tables, jobs)
+    for weight, (fold, recipe, seed) in zip(weights, jobs):
+        got = {(r.recording_id, r.win): r.w for r in rows.select("recording_id", "win", weight.alias("w")).filter("w > 0").collect()}
+        want = {(r.recording_id, r.win): r.weight for r in model_queries.training(tables, fold, recipe, seed).collect()}
+        assert got == want
+
+
+def test_a_saved_logistic_model_scores_as_the_fitted_one(tables):
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    assert rows(model_queries.snk_06(tables)) == rows(model_queries.ml_02(tables))
