@@ -23,6 +23,8 @@ from motionframe.constants import CHANNELS, GRAVITY, SAMPLING_RATE_HZ, STRIDE_SE
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Samples whose windows share a state.
 SPAN = 800
+#: States over which the keys of the alarm stream are dealt.
+BUCKETS = 1024
 #: How far behind the latest row of the stream a row may come.
 DELAY = "2 hours"
 #: Event time after which a silent key is forgotten.
@@ -133,43 +135,98 @@ def _wait(state: GroupState, times) -> None:
     state.setTimeoutTimestamp(max(due, mark + 1))
 
 
+def _unit_numbers(known: pd.DataFrame | None, rows: pd.DataFrame, keys: Sequence[str]):
+    """Keys of all units, those in ``known`` first, and the unit of each row; null is a key like any other."""
+    both = rows[list(keys)] if known is None else pd.concat([known, rows[list(keys)]], ignore_index=True)
+    numbers = both.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+    _, first = np.unique(numbers, return_index=True)
+    return both.iloc[first].reset_index(drop=True), numbers[0 if known is None else len(known) :]
+
+
 def alarm_stream(scores: DataFrame, required: int, lookback: int, cooldown: int, keys: Sequence[str] = ("recording_id",), delay: str = DELAY) -> DataFrame:
     """N-of-M alarms with cooldown; the flag history goes on during the cooldown.
 
     ``scores`` holds ``keys``, decision, alert and time (the event time of the decision). Of
-    repeated decisions an alert counts.
+    repeated decisions an alert counts. Keys are dealt by hash over ``BUCKETS`` states, so that a call of
+    Python and a state serve many short recordings; a key's flags and last alarm stay its own.
     """
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
 
-    def run(key, frames, state: GroupState):
-        waiting, alerts, times, flags, last_alarm = state.get if state.exists else ([], [], [], [], None)
+    def run(_, frames, state: GroupState):
         mark = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            if not len(waiting):
+        rows = None if state.hasTimedOut else _gathered(frames, [*keys, "decision", "alert", "ms"]).dropna(subset=["decision", "alert", "ms"])
+        known, due, last, flags = None, [], [], []
+        unit = np.zeros(0, dtype=np.int64)
+        decision, alert, ms = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
+        if state.exists:
+            *columns, due, last, flags, sizes, decision, alert, ms = state.get
+            due, last, flags = list(due), list(last), [list(f) for f in flags]
+            known = pd.DataFrame(dict(zip(keys, columns)))
+            unit = np.repeat(np.arange(len(sizes)), np.asarray(sizes, dtype=np.int64))
+            decision, ms = (np.frombuffer(bytes(v), dtype=np.int64) for v in (decision, ms))
+            alert = np.frombuffer(bytes(alert), dtype=bool)
+        active = np.zeros(len(due), dtype=bool)
+        if rows is not None and len(rows):
+            known, fresh = _unit_numbers(known, rows, keys)
+            more = len(known) - len(due)
+            due, last, flags = due + [0] * more, last + [None] * more, flags + [[] for _ in range(more)]
+            active = np.zeros(len(due), dtype=bool)
+            active[fresh] = True
+            unit = np.concatenate((unit, fresh))
+            decision = np.concatenate((decision, rows["decision"].to_numpy(dtype=np.int64)))
+            alert = np.concatenate((alert, rows["alert"].to_numpy(dtype=bool)))
+            ms = np.concatenate((ms, rows["ms"].to_numpy(dtype=np.int64)))
+        if known is None or not len(known):
+            if state.exists:
                 state.remove()
-                return
-            rows = pd.DataFrame({"decision": [], "alert": [], "ms": []})
-        else:
-            rows = _gathered(frames, ["decision", "alert", "ms"]).dropna()
-        decision = np.concatenate((np.asarray(waiting, dtype=np.int64), rows["decision"].to_numpy(dtype=np.int64)))
-        alert = np.concatenate((np.asarray(alerts, dtype=bool), rows["alert"].to_numpy(dtype=bool)))
-        ms = np.concatenate((np.asarray(times, dtype=np.int64), rows["ms"].to_numpy(dtype=np.int64)))
-        order = np.lexsort((~alert, decision))
-        order = order[np.concatenate(([True], np.diff(decision[order]) > 0))[: len(order)]]
-        decision, alert, ms = decision[order], alert[order], ms[order]
-        passed = int(np.searchsorted(ms, mark, side="right"))
-        fired, flags, last_alarm = accepted_alarms(decision[:passed], alert[:passed], flags, last_alarm, required, lookback, cooldown)
-        rest = slice(passed, None)
-        state.update((decision[rest].tolist(), alert[rest].tolist(), ms[rest].tolist(), flags, last_alarm))
-        _wait(state, ms[rest])
-        if fired:
-            yield pd.DataFrame({**dict(zip(keys, key)), "decision": fired})
+            return
 
-    types = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
-    timed = scores.withColumn("ms", F.unix_millis("time")).withWatermark("time", delay)
-    return timed.groupBy(*keys).applyInPandasWithState(
+        order = np.lexsort((~alert, decision, unit))
+        unit, decision, alert, ms = unit[order], decision[order], alert[order], ms[order]
+        once = np.ones(len(unit), dtype=bool)
+        once[1:] = (np.diff(unit) > 0) | (np.diff(decision) > 0)
+        unit, decision, alert, ms = unit[once], decision[once], alert[once], ms[once]
+        waits = ms > mark
+        for u in np.unique(unit[~waits]):
+            own = slice(np.searchsorted(unit, u), np.searchsorted(unit, u, side="right"))
+            cut = own.start + int(np.searchsorted(ms[own], mark, side="right"))
+            waits[own.start : cut], waits[cut : own.stop] = False, True
+        passed = np.flatnonzero(~waits)
+        found_unit, found = [], []
+        for part in np.split(passed, np.flatnonzero(np.diff(unit[passed])) + 1) if len(passed) else []:
+            u = int(unit[part[0]])
+            active[u] = True
+            fired, flags[u], last[u] = accepted_alarms(decision[part], alert[part], flags[u], last[u], required, lookback, cooldown)
+            found_unit += [u] * len(fired)
+            found += fired
+        if found:
+            yield known.iloc[found_unit].reset_index(drop=True).assign(decision=found)
+
+        unit, decision, alert, ms = unit[waits], decision[waits], alert[waits], ms[waits]
+        sizes = np.bincount(unit, minlength=len(known))
+        due = np.where(active, mark + FORGET_MS, np.asarray(due, dtype=np.int64))  # when a silent key is forgotten
+        stays = (sizes > 0) | (due > mark)
+        if not stays.any():
+            if state.exists:
+                state.remove()
+            return
+        stay = np.flatnonzero(stays)
+        state.update((
+            *[[None if v is None or v != v else v for v in known[c].iloc[stay].tolist()] for c in keys],
+            due[stay].tolist(), [last[u] for u in stay], [flags[u] for u in stay], sizes[stay].tolist(),
+            decision.tobytes(), alert.tobytes(), ms.tobytes(),
+        ))
+        next_due = min([*due[stay[sizes[stay] == 0]].tolist(), *([int(ms.min())] if len(ms) else [])])
+        state.setTimeoutTimestamp(max(int(next_due), mark + 1))
+
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    timed = scores.withColumn("ms", F.unix_millis("time")).withWatermark("time", delay).withColumn("_bucket", bucket)
+    held = ", ".join(f"key_{k} array<{types[c]}>" for k, c in enumerate(keys))
+    return timed.groupBy("_bucket").applyInPandasWithState(
         run,
         ", ".join(f"{k} {types[k]}" for k in keys) + ", decision long",
-        "waiting array<long>, alerts array<boolean>, times array<long>, flags array<boolean>, last_alarm long",
+        f"{held}, due array<long>, last_alarm array<long>, flags array<array<boolean>>, sizes array<int>, decision binary, alert binary, ms binary",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

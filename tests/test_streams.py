@@ -108,3 +108,38 @@ def test_hours_go_out_when_passed_and_late_events_are_counted(spark, root):
     table, late = processors.run(spark, processors.hourly_false_alarms(stream, "time", 20.0, "10 hours"), root)
     assert sorted((r.false_positives, r.windows) for r in table.collect()) == [(1, 2), (1, 3)]
     assert late.agg(F.sum("late_rows")).first()[0] == 1
+
+
+def test_alarms_of_many_keys_share_a_state(spark, root, monkeypatch):
+    """Few buckets hold many keys, null among them; each key has its own flags and cooldown, and calls are few."""
+    monkeypatch.setattr(processors, "BUCKETS", 2)
+    calls = spark.sparkContext.accumulator(0)
+    gathered = processors._gathered
+    monkeypatch.setattr(processors, "_gathered", lambda *a: calls.add(1) or gathered(*a))
+    rng = np.random.default_rng(5)
+    rows = {(j, f"r{k}" if k else None): [(int(12 * i + 49), bool(rng.random() < 0.4)) for i in range(30 + k)] for j in (1, 2) for k in range(20)}
+    schema = "fold int, recording_id string, decision long, alert boolean"
+    frame = spark.createDataFrame([(*k, d, a) for k in rows for d, a in rows[k]], schema)
+    stream = processors.replayed(frame.withColumn("time", processors.sample_time(F.col("decision"))), root, batches=3, files=2)
+    out = processors.alarm_stream(stream, 2, 3, 100, ["fold", "recording_id"])
+    table = processors.run_to_table(spark, out, root).collect()
+    for k in rows:
+        assert sorted(r.decision for r in table if (r.fold, r.recording_id) == k) == plain_alarms(rows[k], 2, 3, 100)
+    assert len(table) == sum(len(plain_alarms(r, 2, 3, 100)) for r in rows.values())
+    assert 0 < calls.value <= 2 * 5
+
+
+def test_alarm_flags_outlive_a_pause_and_end(spark, root):
+    """Flags carry over batches whose rows have passed; a key that is silent for long starts anew."""
+    at = lambda d, a: ("r", d, a)
+    far = 25 * 3600 * 30  # thirty hours of samples on
+    parts = [[at(0, True)], [("s", 4000, False)], [at(4010, True)], [("s", far, False)], [("s", far + 4000, False)], [("s", 3 * far, False)], [("s", 3 * far + 4000, False)]]
+    parts += [[at(3 * far + 4001, True)], [("s", 5 * far, False)], [("s", 5 * far + 4000, False)]]
+    path = f"{root}/in"
+    for rows in parts:
+        frame = spark.createDataFrame(rows, "recording_id string, decision long, alert boolean")
+        frame.withColumn("time", processors.sample_time(F.col("decision"))).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    table = processors.run_to_table(spark, processors.alarm_stream(stream, 2, 2, 10, delay="10 seconds"), root)
+    assert [(r.recording_id, r.decision) for r in table.collect()] == [("r", 4010)]
