@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionframe.constants import BALANCED, SEED
-from motionframe.operators import logistic, models
+from motionframe.operators import forest, logistic, models
 from motionframe.plans import model_queries, statistics_queries
 
 LONG = "recording_id string, win int, features array<float>, label int, weight double"
@@ -108,3 +108,50 @@ def test_job_weights_are_the_training_windows(tables):
 def test_a_saved_logistic_model_scores_as_the_fitted_one(tables):
     rows = lambda frame: sorted(map(tuple, frame.collect()))
     assert rows(model_queries.snk_06(tables)) == rows(model_queries.ml_02(tables))
+
+
+def forest_rows(spark, n=600, width=5):
+    x, label, _ = made(n, width)
+    x[:, 0] += 4 * label  # one feature tells much
+    frame_ = frame(spark, x, label, np.ones(n)).repartition(4)
+    train, asked = [F.col("win") % 3 != 0, F.col("win") % 3 != 1], [F.col("win") % 3 == 0, F.col("win") % 3 == 1]
+    scored = models.forest_scores(frame_, train, asked, ["recording_id", "win"], SEED, trees=12)
+    return {(r.win, r.fold): (r.label, r.score) for r in scored.collect()}
+
+
+def test_forest_scores_every_held_out_row_once_and_learns(spark):
+    got = forest_rows(spark)
+    assert set(got) == {(k, k % 3) for k in range(600) if k % 3 < 2}
+    assert np.mean([(s >= 0.5) == y for y, s in got.values()]) > 0.75
+    assert len({s for _, s in got.values()}) > 5
+
+
+@pytest.mark.parametrize("limit", [150, 10])
+def test_forest_of_nodes_split_over_all_rows_is_the_same(spark, monkeypatch, limit):
+    """Large nodes by summed histograms, a pass of few nodes at a time, give the trees grown in one task."""
+    whole = forest_rows(spark)
+    monkeypatch.setattr(forest, "NODE_ROWS", limit)
+    monkeypatch.setattr(forest, "PASS_NODES", 50)
+    assert forest_rows(spark) == whole
+
+
+def test_forest_bootstrap_is_poisson_and_candidates_differ():
+    key = np.arange(200_000, dtype=np.uint64)
+    w = forest._weights(key, SEED, 0, 3)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w, forest._weights(key, SEED, 0, 4))[0, 1]) < 0.01
+    drawn = forest._candidates(np.arange(1, 4001), 158, SEED, 0, 3)
+    assert drawn.shape == (4000, 13) and (np.diff(drawn) > 0).all()
+    assert abs(np.bincount(drawn.ravel(), minlength=158) / 4000 * 158 / 13 - 1).max() < 0.25
+
+
+def test_forest_splits_at_the_best_gini_gain():
+    """A grown stump equals the best of all cuts tried one by one."""
+    rng = np.random.default_rng(3)
+    bins, label, weight = rng.integers(0, 8, (300, 1)).astype(np.uint8), rng.integers(0, 2, 300), rng.integers(1, 3, 300).astype(float)
+    label = np.where(bins[:, 0] > 4, 1, label)
+    gini = lambda m: (lambda q: 2 * q * (1 - q) * weight[m].sum())(np.average(label[m], weights=weight[m]))
+    cut = min(range(7), key=lambda b: gini(bins[:, 0] <= b) + gini(bins[:, 0] > b))
+    want = [np.average(label[m], weights=weight[m]) for m in (bins[:, 0] <= cut, bins[:, 0] > cut)]
+    got = forest._grow(bins, label, weight, np.ones(300, dtype=int), np.ones(300, dtype=bool), 1, 8, SEED, 0, 0)
+    assert np.allclose(got, np.where(bins[:, 0] <= cut, *want))
