@@ -18,8 +18,11 @@ from pyspark.sql.functions import pandas_udf
 from motionframe.functions.exprs import hash_draw
 
 PIVOTS = 16
-REFERENCE_BLOCK = 4096
-QUERY_BLOCK = 1024
+REFERENCE_BLOCK = 8192
+QUERY_BLOCK = 8192
+#: Queries that one matrix product serves, and candidates measured at a time.
+TILE = 256
+CANDIDATES = 65_536
 MATCH = "q_id long, r_id long, label int, distance double"
 
 
@@ -37,6 +40,27 @@ def _cell(distances: str):
     return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
 
 
+def _closest(vectors, stored, norms, ids, k):
+    """Places (query, reference) and distances of the k closest of ``stored`` to each vector, ties by id.
+
+    A matrix product tells the distances up to its rounding; all references that this leaves open are
+    measured exactly."""
+    own = (vectors**2).sum(axis=1)
+    rough = own[:, None] + norms[None, :] - 2.0 * (vectors @ stored.T)
+    slack = 16 * vectors.shape[1] * np.finfo(float).eps * (own + norms.max())
+    at = min(k, len(stored)) - 1
+    limit = np.partition(rough, at, axis=1)[:, at] + slack
+    row, place = np.nonzero(~(rough > limit[:, None]))  # what is not a number is measured too
+    exact = np.empty(len(row))
+    for a in range(0, len(row), CANDIDATES):
+        part = slice(a, a + CANDIDATES)
+        exact[part] = np.sqrt(((stored[place[part]] - vectors[row[part]]) ** 2).sum(axis=1))
+    order = np.lexsort((ids[place], exact, row))
+    row, place, exact = row[order], place[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], place[rank < k], exact[rank < k]
+
+
 def _search(visits: DataFrame, references: DataFrame, blocks: dict, chunks: int, k: int) -> DataFrame:
     """Best k matches per query within each visited block."""
     sizes = F.create_map(*[F.lit(v) for pair in blocks.items() for v in pair])
@@ -50,10 +74,12 @@ def _search(visits: DataFrame, references: DataFrame, blocks: dict, chunks: int,
         if len(queries) and len(refs):
             stored = np.stack(refs["features"].to_numpy()).astype(np.float64)
             ids, labels = refs["r_id"].to_numpy(), refs["label"].to_numpy()
-            for q_id, vector in zip(queries["q_id"], queries["features"], strict=True):
-                distance = np.sqrt(((stored - np.asarray(vector, dtype=np.float64)) ** 2).sum(axis=1))
-                best = np.lexsort((ids, distance))[:k]
-                parts.append(pd.DataFrame({"q_id": q_id, "r_id": ids[best], "label": labels[best], "distance": distance[best]}))
+            norms = (stored**2).sum(axis=1)
+            for first in range(0, len(queries), TILE):
+                own = queries.iloc[first : first + TILE]
+                vectors = np.stack(own["features"].to_numpy()).astype(np.float64)
+                row, found, distance = _closest(vectors, stored, norms, ids, k)
+                parts.append(pd.DataFrame({"q_id": own["q_id"].to_numpy()[row], "r_id": ids[found], "label": labels[found], "distance": distance}))
         return pd.concat(parts) if parts else pd.DataFrame(columns=["q_id", "r_id", "label", "distance"])
 
     keys = ["cell", "block", "chunk"]

@@ -118,3 +118,23 @@ def test_nearest_neighbours_over_small_blocks(spark, monkeypatch):
         got.setdefault(row.q_id, []).append(row.r_id)
     far = np.linalg.norm(queries[:, None] - refs[None], axis=2)
     assert got == {i: np.argsort(far[i])[:5].tolist() for i in range(20)}
+
+
+def test_closest_by_products_are_those_of_plain_distances(monkeypatch):
+    """Copies, near ties far from the origin and few references: a matrix product alone would rank them wrongly."""
+    import numpy as np
+
+    from motionframe.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "CANDIDATES", 50)
+    rng = np.random.default_rng(2)
+    for offset, count in ((0.0, 200), (1e6, 200), (0.0, 3)):
+        stored = offset + rng.normal(size=(count, 8)) * 1e-3
+        stored[count // 2 :] = stored[: count - count // 2]
+        ids, vectors = rng.permutation(count), offset + rng.normal(size=(40, 8)) * 1e-3
+        row, place, distance = neighbours._closest(vectors, stored, (stored**2).sum(axis=1), ids, 5)
+        for q, v in enumerate(vectors):
+            plain = np.sqrt(((stored - v) ** 2).sum(axis=1))
+            best = np.lexsort((ids, plain))[:5]
+            assert ids[place[row == q]].tolist() == ids[best].tolist()
+            assert distance[row == q].tolist() == plain[best].tolist()
