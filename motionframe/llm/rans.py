@@ -35,7 +35,7 @@ CHECK_STEPS = 256
 #: Stands in the files for a null doc_id.
 NO_ID = -(1 << 63)
 BLOCK_TOKENS = 1 << 20
-CHUNK_SCHEMA = "part int, block int, n_tokens long, doc_ids binary, lengths binary, ids binary"
+CHUNK_SCHEMA = "part int, block int, n_tokens long, doc_ids binary, lengths binary, ids binary, counts binary"
 BLOCK_SCHEMA = (
     "part int, block int, n_tokens long, doc_ids binary, lengths binary, lanes int, words binary, "
     "states binary, places binary, words_crc32 long, ids_crc32 long"
@@ -148,6 +148,7 @@ def _chunks(path, end_id):
                     "doc_ids": pa.array([np.array(docs, "<i8").tobytes()], pa.binary()),
                     "lengths": pa.array([np.array(lengths, "<u4").tobytes()], pa.binary()),
                     "ids": pa.array([ids.tobytes()], pa.binary()),
+                    "counts": pa.array([_counts(ids).tobytes()], pa.binary()),
                 }
             )
 
@@ -175,12 +176,23 @@ def _ids(raw, n):
     return np.frombuffer(raw, f"<u{len(raw) // max(1, n)}")
 
 
+def _counts(ids):
+    """(token, its number) of the tokens of a block, row by row."""
+    n = np.bincount(ids)
+    seen = np.flatnonzero(n)
+    return np.stack([seen, n[seen]], 1).astype("<i8")
+
+
 def _count(batches):
+    """Counts of all blocks of a task."""
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids, size in zip(batch.column("ids"), batch.column("n_tokens").to_pylist()):
-            n = np.bincount(_ids(ids.as_buffer(), size))
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"token": pa.array(seen, pa.int64()), "n": pa.array(n[seen], pa.int64())})
+        for raw in batch.column("counts"):
+            token, n = np.frombuffer(raw.as_buffer(), "<i8").reshape(-1, 2).T
+            total = np.pad(total, (0, max(0, int(token[-1]) + 1 - len(total))))
+            total[token] += n
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"token": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
 
 def _coder(shared):
@@ -243,14 +255,14 @@ def write(spark, docs, path, tokenizer=None, end_id=2):
     tokenizer = tokenizer or tokens.default_tokenizer()
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     chunks = common.written(spark, ordered.mapInArrow(_chunks(tokenizer, end_id), CHUNK_SCHEMA), "op4-ids")
-    counts = chunks.select("ids", "n_tokens").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = chunks.select("counts").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     seen = counts.toPandas()  # one row a token of the vocabulary
     counted = np.zeros(int(seen["token"].max()) + 1 if len(seen) else 0, np.int64)
     counted[seen["token"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
     frequency = scaled(counted)
     rows = [(int(t), int(frequency[t])) for t in np.flatnonzero(frequency)]
     spark.createDataFrame(rows, "token long, frequency long").coalesce(1).write.parquet(f"{path}/table")
-    chunks.mapInArrow(_coder(spark.sparkContext.broadcast(frequency)), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    chunks.drop("counts").mapInArrow(_coder(spark.sparkContext.broadcast(frequency)), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
 
 
 def read(spark, path, with_ids=True):

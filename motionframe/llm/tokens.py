@@ -22,7 +22,7 @@ OTHER = r"\t\n\x{0b}\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 #: White space in a row, or a space or line feed at the end: the plain cut would be wrong there.
 IRREGULAR = rf"[ \n](?:[ {OTHER}]|$)|[{OTHER}]\n"
 CUT = re.compile(r" (?=\S)")
-JOINED = 256
+JOINED = 64
 
 _encoders = {}
 
@@ -34,6 +34,45 @@ def spread(starts, sizes):
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
 
 
+def _buffers(texts):
+    """Places of large strings, with the end of the last, and their bytes."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    return bounds, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+
+
+def _strings(bounds, data):
+    """Large strings that stand one after the other in ``data``."""
+    return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds)), pa.py_buffer(data)])
+
+
+def _tails(whole, heads):
+    """What follows the beginning ``heads`` of each string."""
+    bounds, data = _buffers(whole)
+    starts = bounds[:-1] + pc.binary_length(heads).to_numpy()
+    sizes = bounds[1:] - starts
+    return _strings(np.concatenate([[0], np.cumsum(sizes)]), data[spread(starts, sizes)])
+
+
+def _codes(texts):
+    """A number for each string, the same for equal ones."""
+    bounds, data = _buffers(texts)
+    sizes = np.diff(bounds)
+    out, filled = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+    if len(filled):
+        starts = bounds[:-1][filled] - bounds[0]
+        powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+        place = np.arange(int(bounds[-1] - bounds[0])) - np.repeat(starts, sizes[filled])
+        out[filled] = np.add.reduceat(powers[place] * (data[bounds[0] : bounds[-1]] + np.uint64(1)), starts)
+    return out
+
+
+def _after_space(pieces):
+    """Pieces with the space before them that they were cut at; a line feed stands for itself."""
+    none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    return pc.if_else(pc.starts_with(pieces, "\n"), pieces, pc.binary_join_element_wise(none, pieces, space))
+
+
 class Pool:
     """Ids of many pieces in one array: piece k has ``sizes[k]`` ids from ``starts[k]`` on."""
 
@@ -60,9 +99,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token: a byte-level vocabulary writes a byte as a character.
+        self.bytes = np.zeros(1 + max(vocabulary.values()), np.int64)
+        self.bytes[list(vocabulary.values())] = [len(w) for w in vocabulary]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.pieces = pa.array([], pa.large_string())
         self.known = Pool(np.zeros(0, self.kind), [])
+        self.codes, self.by_code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def _plain(self, texts):
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,17 +114,18 @@ class Encoder:
         return Pool(np.fromiter(chain.from_iterable(found), self.kind, sum(sizes)), sizes)
 
     def _letters(self, cores):
-        """Ids of words of letters with their space or line feed: one or two pre-tokens each, so
-        many words share a call."""
-        lines = [cores[at : at + JOINED] for at in range(0, len(cores), JOINED)]
-        found = self.tokenizer.encode_batch(["".join(x) for x in lines], add_special_tokens=False)
-        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
-        for line, e in zip(lines, found):
-            parts = np.array([1 + (w[0] == "\n") for w in line])
-            first = np.cumsum(parts) - parts
-            ids.append(np.array(e.ids, self.kind))
-            sizes.append(np.add.reduceat(np.bincount(np.array(e.word_ids), minlength=int(parts.sum())), first))
-        return Pool(np.concatenate(ids), np.concatenate(sizes))
+        """Ids of words of letters with their space or line feed: no token joins two of them, so many
+        share a call, and the bytes of the tokens tell where a word ends."""
+        if not len(cores):
+            return Pool(np.zeros(0, self.kind), [])
+        bounds, data = _buffers(cores)
+        lines = _strings(np.append(bounds[:-1:JOINED], bounds[-1]), data).to_pylist()
+        found = self._plain(lines)
+        upto = np.concatenate([[0], np.cumsum(self.bytes[found.ids])])
+        last = np.searchsorted(upto, bounds - bounds[0])
+        if upto[-1] != bounds[-1] - bounds[0] or (upto[last] != bounds - bounds[0]).any():  # not a byte-level vocabulary
+            return self._plain(cores.to_pylist())
+        return Pool(found.ids, np.diff(last))
 
     def _fresh(self, pieces):
         """Ids of pieces that the worker has not met, with the space or line feed before them."""
@@ -88,33 +133,51 @@ class Encoder:
         simple = pc.utf8_is_alpha(pc.replace_substring_regex(cores, r"^\n", ""))
         whole, bare = pieces.filter(simple), cores.filter(simple)
         words = pc.dictionary_encode(bare)
-        ends = pa.array([w[k:] for w, k in zip(whole.to_pylist(), pc.utf8_length(bare).to_pylist())], pa.large_string())
-        ends = pc.dictionary_encode(ends)
-        spaced = [w if w[0] == "\n" else " " + w for w in words.dictionary.to_pylist()]
-        by_core, by_end = self._letters(spaced), self._plain(ends.dictionary.to_pylist())
+        ends = pc.dictionary_encode(_tails(whole, bare))
+        by_core, by_end = self._letters(_after_space(words.dictionary)), self._plain(ends.dictionary.to_pylist())
         core, end = words.indices.to_numpy().astype(np.int64), ends.indices.to_numpy().astype(np.int64) + len(by_core.sizes)
         paired = Pool.stacked([by_core, by_end]).take(np.stack([core, end], 1).ravel())
         made = Pool(paired.ids, paired.sizes.reshape(-1, 2).sum(1))
-        rest = self._plain([w if w[:1] == "\n" else " " + w for w in pieces.filter(pc.invert(simple)).to_pylist()])
+        rest = self._plain(_after_space(pieces.filter(pc.invert(simple))).to_pylist())
         simple = simple.to_numpy(zero_copy_only=False)
         order = np.empty(len(simple), np.int64)
         order[simple] = np.arange(len(made.sizes))
         order[~simple] = len(made.sizes) + np.arange(len(rest.sizes))
         return Pool.stacked([made, rest]).take(order)
 
+    def _met(self, pieces, codes):
+        """Place of each piece among the remembered ones, -1 where it is not there. Codes only say
+        where to look: the pieces themselves are compared."""
+        if not len(self.codes):
+            return np.full(len(pieces), -1)
+        order = np.argsort(codes)
+        place = np.empty(len(codes), np.int64)
+        place[order] = np.searchsorted(self.codes, codes[order])
+        place = np.minimum(place, len(self.codes) - 1)
+        at = np.where(self.codes[place] == codes, self.by_code[place], -1)
+        like = np.flatnonzero(at >= 0)
+        same = pc.equal(self.pieces.take(pa.array(at[like])), pieces.take(pa.array(like)))
+        at[like[~same.to_numpy(zero_copy_only=False)]] = -1
+        return at
+
     def _spaced(self, pieces):
         """Ids of each of the distinct pieces; the worker remembers them."""
-        met = pc.index_in(pieces, value_set=self.pieces)
-        new = pc.is_null(met)
-        at = pc.fill_null(met, 0).to_numpy().astype(np.int64)
-        missing = pieces.filter(new)
+        codes = _codes(pieces)
+        at = self._met(pieces, codes)
+        new = at < 0
+        missing = pieces.filter(pa.array(new))
         if not len(missing):
             return self.known.take(at)
         fresh = self._fresh(missing)
-        at[new.to_numpy(zero_copy_only=False)] = len(self.known.sizes) + np.arange(len(missing))
+        at[new] = len(self.known.sizes) + np.arange(len(missing))
         out = Pool.stacked([self.known, fresh]).take(at)
         room = min(max(0, KEPT_PIECES - len(self.pieces)), len(missing))
         if room:
+            own = codes[new][:room]
+            order = np.argsort(own, kind="stable")
+            place = np.searchsorted(self.codes, own[order])
+            self.codes = np.insert(self.codes, place, own[order])
+            self.by_code = np.insert(self.by_code, place, len(self.pieces) + order)
             self.pieces = pa.concat_arrays([self.pieces, missing.slice(0, room)])
             self.known = Pool.stacked([self.known, fresh.take(np.arange(room))])
         return out

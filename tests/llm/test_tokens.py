@@ -27,6 +27,34 @@ def test_encoder_equals_library(texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [ids_of(t) for t in texts]
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_remembered_pieces_are_compared_not_only_their_codes(monkeypatch, alike):
+    """Many words in a call, met again later; with one code for all of them the ids are the same."""
+    if alike:
+        monkeypatch.setattr(tokens, "_codes", lambda texts: np.zeros(len(texts), np.uint64))
+    own = tokens.Encoder(tokens.default_tokenizer())
+    rng = np.random.default_rng(1)
+    made = ["".join(rng.choice([*"abcdeé日"], rng.integers(1, 9))) + rng.choice(["", ".", ",.", "!"]) for _ in range(700)]
+    for part in (made[:400], made[200:], made):
+        texts = [" ".join(part), "\n".join(part), "", None]
+        ids, bounds = own.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [ids_of(t) for t in texts]
+
+
+def test_codes_are_those_of_the_strings_wherever_they_lie():
+    words = pa.array(["", "a", "ab", "日本", "", "ab", "ba", "x" * 5000], pa.large_string())
+    codes = tokens._codes(words)
+    assert codes[2] == codes[5] and len(set(codes.tolist())) == 6
+    assert (tokens._codes(words.slice(2, 5)) == codes[2:7]).all() and len(tokens._codes(words[:0])) == 0
+
+
+def test_counts_of_blocks_are_added_up_in_a_task():
+    blocks = [np.array(v, np.uint16) for v in ([5, 1, 1], [2], [9, 5])]
+    batch = pa.RecordBatch.from_pydict({"counts": pa.array([rans._counts(b).tobytes() for b in blocks], pa.binary())})
+    (got,) = rans._count([batch, batch])
+    assert got.to_pydict() == {"token": [1, 2, 5, 9], "n": [4, 2, 4, 2]}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=3000), st.data())
 def test_rans_round_trip_and_checkpoints(values, data):
