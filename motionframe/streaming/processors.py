@@ -65,12 +65,14 @@ def window_scores(samples: DataFrame, cadence_s: float | None = None, delay: str
             state.remove()
             return
         base = key[1] * SPAN
-        rows = _gathered(frames, names).sort_values(names, kind="stable").to_numpy(dtype=np.float64)
+        rows = np.concatenate([row for f in frames for row in f["row"]]).reshape(-1, len(names))
+        rows = rows[np.lexsort(rows.T[::-1])]
         values, there = np.zeros((reach, len(CHANNELS))), np.zeros(reach, dtype=bool)
         if state.exists:
             held, flat = state.get
+            held = np.frombuffer(held, dtype=np.int32)
             there[held] = True
-            values[held] = np.asarray(flat).reshape(-1, len(CHANNELS))
+            values[held] = np.frombuffer(flat).reshape(-1, len(CHANNELS))
         place = rows[:, 0].astype(np.int64) - base
         keep = ~there[place] & np.concatenate(([True], np.diff(place) > 0))
         place = place[keep]
@@ -78,13 +80,16 @@ def window_scores(samples: DataFrame, cadence_s: float | None = None, delay: str
         fresh[place] = there[place] = True
         values[place] = rows[keep, 1:]
         have = np.flatnonzero(there)
-        state.update((have.tolist(), values[have].ravel().tolist()))
+        state.update((have.astype(np.int32).tobytes(), values[have].tobytes()))
         state.setTimeoutTimestamp(max(ORIGIN_MS + int((base + reach) * to_ms), state.getCurrentWatermarkMs() + 1))
+        if len(have) < WINDOW_LENGTH:
+            return
 
         first = int(np.ceil((base - 0.5) / step))
         k = np.arange(max(0, first), int(np.floor((base + SPAN) / step)) + 1)
         starts = np.floor(k * step + 0.5).astype(np.int64) - base
-        k, starts = (x[(starts >= 0) & (starts < SPAN) & ((starts + base) % every == 0)] for x in (k, starts))
+        inside = (starts >= 0) & (starts < SPAN) & ((starts + base) % every == 0)
+        k, starts = k[inside], starts[inside]
         sums = lambda mask: np.concatenate(([0], np.cumsum(mask)))
         within = lambda total: total[starts + WINDOW_LENGTH] - total[starts]
         ready = (within(sums(there)) == WINDOW_LENGTH) & (within(sums(fresh)) > 0)
@@ -99,11 +104,14 @@ def window_scores(samples: DataFrame, cadence_s: float | None = None, delay: str
     block = F.floor(F.col("sample_idx") / SPAN).cast("long")
     beside = (F.col("sample_idx") % SPAN < WINDOW_LENGTH - 1) & (block > 0)
     blocks = F.when(beside, F.array(block, block - 1)).otherwise(F.array(block))
-    timed = samples.select("recording_id", *names, sample_time(F.col("sample_idx")).alias("time")).withWatermark("time", delay)
-    return timed.withColumn("block", F.explode(blocks)).groupBy("recording_id", "block").applyInPandasWithState(
+    # A sample is one column: each column is converted anew for every call.
+    row = F.array(*[F.col(c).cast("double") for c in names]).alias("row")
+    time = sample_time(F.col("sample_idx")).alias("time")
+    timed = samples.select("recording_id", F.explode(blocks).alias("block"), row, time).withWatermark("time", delay)
+    return timed.groupBy("recording_id", "block").applyInPandasWithState(
         run,
         "recording_id string, win long, end_sample long, impact_score double",
-        "held array<int>, channels array<double>",
+        "held binary, channels binary",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -143,3 +143,24 @@ def test_alarm_flags_outlive_a_pause_and_end(spark, root):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     table = processors.run_to_table(spark, processors.alarm_stream(stream, 2, 2, 10, delay="10 seconds"), root)
     assert [(r.recording_id, r.decision) for r in table.collect()] == [("r", 4010)]
+
+
+def test_window_state_gets_a_sample_as_one_column(spark, root):
+    """Every column is converted anew for each recording and block of a micro-batch."""
+    stream = processors.window_scores(written_in_turn(spark, [samples(60)], SAMPLES, f"{root}/in"))
+    node = stream._jdf.queryExecution().analyzed()
+    while "InPandasWithState" not in node.nodeName():
+        node = node.children().head()
+    names = {node.children().head().output().apply(k).name() for k in range(node.children().head().output().size())}
+    assert names == {"recording_id", "block", "row", "time"}
+
+
+def test_windows_whose_samples_come_one_by_one_in_any_order(spark, root):
+    """The state of a block goes through many batches; repeated samples change nothing."""
+    rows = samples(130)
+    parts = [rows[k::3] + rows[:5] for k in (2, 0, 1)]
+    stream = written_in_turn(spark, parts, SAMPLES, f"{root}/in")
+    found = sorted((r.win, r.end_sample) for r in processors.run_to_table(spark, processors.window_scores(stream), root).collect())
+    whole = written_in_turn(spark, [rows], SAMPLES, f"{root}/whole")
+    want = sorted((r.win, r.end_sample) for r in processors.run_to_table(spark, processors.window_scores(whole), root).collect())
+    assert found == want and len(want) > 3
