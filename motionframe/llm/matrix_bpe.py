@@ -98,13 +98,11 @@ class MatrixEncoder(tokens.Encoder):
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.table = PairTable(self.ranks)
         size = max(self.ranks.values()) + 1
-        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self._forget(np.uint16 if size <= 1 << 16 else np.uint32)
         by_rank = [b""] * size
         for token, rank in self.ranks.items():
             by_rank[rank] = token
         self.bytes = tokens.Pool(np.frombuffer(b"".join(by_rank), np.uint8), [len(t) for t in by_rank])
-        self.pieces = pa.array([], pa.large_string())
-        self.known = tokens.Pool(np.zeros(0, self.kind), [])
 
     def _merge_rows(self, matrix):
         """Ids of the rows of a padded matrix of byte ranks: (ids in a row, ids of each row)."""

@@ -103,9 +103,13 @@ class Encoder:
         #: Bytes of each token: a byte-level vocabulary writes a byte as a character.
         self.bytes = np.zeros(1 + max(vocabulary.values()), np.int64)
         self.bytes[list(vocabulary.values())] = [len(w) for w in vocabulary]
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self._forget(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def _forget(self, kind):
+        """No piece is remembered; ids are of this type."""
+        self.kind = kind
         self.pieces = pa.array([], pa.large_string())
-        self.known = Pool(np.zeros(0, self.kind), [])
+        self.known = Pool(np.zeros(0, kind), [])
         self.codes, self.by_code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def _plain(self, texts):

@@ -166,3 +166,15 @@ def test_matrix_round_trip_and_random_texts(spark, library):
 
 def test_matrix_without_rows(spark, nothing):
     assert matrix_bpe.digests(spark, nothing).collect() == []
+
+
+def test_matrix_encoder_remembers_pieces_like_the_other_encoder(monkeypatch, library):
+    """Words met before, new ones and ones that found no room: in each call the ids of the library."""
+    monkeypatch.setattr(matrix_bpe.tokens, "KEPT_PIECES", 250)
+    own = matrix_bpe.MatrixEncoder(*matrix_bpe.default_ranks())
+    made = [f"w{k * k:x}é{k}" for k in range(400)]
+    for part in (made[:200], made[100:], made):
+        texts = [" ".join(part), "\n".join(part), "", None]
+        ids, bounds = own.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode_ordinary(t or "") for t in texts]
+    assert len(own.pieces) == len(own.codes) == 250
