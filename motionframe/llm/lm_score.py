@@ -6,17 +6,20 @@ counts alone. A document scores the mean over its words of target loss less back
 nats: below zero, the words are likelier in the target.
 
 Both models hold every word and every pair of neighbours of the corpus, as written tables that
-grow with it: nothing of them is gathered on the driver or in a task. Each slice of texts counts
-its distinct pairs, and Spark adds these up. A document is scored by a join of its distinct pairs
-to the losses of the pairs. A key with more than ``SPLIT`` rows is dealt out to several tasks, and
-its table entry is repeated for each of them; the broadcast list of such keys has at most rows /
-``SPLIT`` entries. A caller's ``vocabulary`` leaves the words from some count on, that many at
-most; all others, and words that the models never saw, are one unknown word.
+grow with it: nothing of them is gathered on the driver or in a task. Texts are cut into slices of
+some megabytes, one row each: its documents, its distinct words and the word at each place. Every
+word of the corpus gets a number by a join. A slice then sends each of its distinct pairs once, as
+sorted codes of two numbers dealt by hash to buckets of some ``SPLIT`` words of the corpus; a bucket
+adds up the counts of a pair. Counts of words and of contexts are counts of pairs with the stand-in
+``ANY``. A slice to be scored asks the buckets for the counts of its codes and gets them back in its
+own order. A word or pair has one row a slice at most, so no key is frequent. A caller's
+``vocabulary`` leaves the words from some count on, that many at most; all others, and words that
+the models never saw, are one unknown word.
 
 Cases: a null, empty or blank text has no words, a score of 0 and null losses; documents that the
 target list repeats or that are missing do no harm; without any target the target model is the
 smoothing alone; repeated rows and ties score alike up to the rounding of sums; no rows give no
-rows; a null doc_id is never in the target.
+rows; a null doc_id is never in the target. Words are numbered in 32 bits; more are refused.
 """
 
 import numpy as np
@@ -28,20 +31,23 @@ from motionframe.llm import common, tokens
 
 #: Frequent words that are paired by themselves: all.
 PAIRED = None
-#: Rows of a key that go to one task.
-SPLIT = 20_000
+#: Words of the corpus, on average, whose pairs go to one bucket.
+SPLIT = 1 << 21
 #: Share of the bigram estimate; the rest is the word's own frequency.
 MIXED = 0.7
 #: Added to every word's count.
 ADDED = 0.5
-#: Stand-ins that no word can equal: the beginning of a text, the unknown word.
-BEGIN, UNKNOWN = "", " "
+#: Numbers of the unknown word, the beginning of a text and any word at all; words follow.
+UNKNOWN, BEGIN, ANY = range(3)
+FIRST = 3
 GAPS = r"[\x20\x09-\x0D]+"
+SLICE = "slice long, doc_id array<long>, sizes array<long>, n long"
 
 
 def cut(texts):
     """Words of a batch, lower-cased, with the place of each document's first word."""
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    # Lowered before the cast: of a slice that was cast, Arrow's kernel reads the wrong bytes.
+    lowered = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     if isinstance(lowered, pa.ChunkedArray):
         lowered = lowered.combine_chunks()
     lists = pc.split_pattern_regex(lowered, GAPS)
@@ -51,81 +57,202 @@ def cut(texts):
     return flat.filter(filled), document[filled.to_numpy(zero_copy_only=False)]
 
 
-def paired(texts):
-    """(distinct pairs as (word before, word), number of the pair at each word, document of each word)."""
-    flat, document = cut(texts)
-    code = pc.dictionary_encode(flat)
-    if isinstance(code, pa.ChunkedArray):
-        code = code.combine_chunks()
-    names = pa.concat_arrays([code.dictionary.cast(pa.large_string()), pa.array([BEGIN], pa.large_string())])
-    ids = code.indices.to_numpy().astype(np.int64)
-    before = np.r_[len(names) - 1, ids[:-1]][: len(ids)]
-    before[np.flatnonzero(np.diff(document, prepend=-1))] = len(names) - 1
-    pairs, of = np.unique(before * len(names) + ids, return_inverse=True)
-    a, b = np.divmod(pairs, len(names))
-    return (names.take(pa.array(a)).cast(pa.string()), names.take(pa.array(b)).cast(pa.string())), of, document
+def packed(numbers):
+    """Numbers from 0 on as bytes: their lowest bytes, the next ones and so on, compressed."""
+    wide = np.ascontiguousarray(numbers, "<u8")
+    width = max(1, (int(wide.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(wide), width], "<u4").tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _counted(batches):
-    """Pairs of a slice with their counts in all texts and in the target."""
-    for batch in batches:
-        for some in tokens.slices(batch):
-            (a, b), of, document = paired(some.column("text"))
-            chosen = some.column("target").to_numpy(zero_copy_only=False).astype(bool)[document]
-            made = [np.bincount(x, minlength=len(a)).astype(np.int64) for x in (of, of[chosen])]
-            yield pa.RecordBatch.from_arrays([a, b, *map(pa.array, made)], ["a", "b", "p0", "p1"])
+def unpacked(data):
+    n, width = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return wide.view("<u8")[:, 0].astype(np.int64)
 
 
-def _within(document, of, n_pairs):
-    """(document, pair, count) of the distinct pairs of each document."""
-    key, n = np.unique(document.astype(np.int64) * max(1, n_pairs) + of, return_counts=True)
-    return *np.divmod(key, max(1, n_pairs)), n.astype(np.int64)
+def sealed(codes):
+    """Sorted codes as bytes: the steps of their first numbers, then their second ones."""
+    first = packed(np.diff(codes >> 32, prepend=0))
+    return np.array([len(first)], "<u4").tobytes() + first + packed(codes & 0xFFFFFFFF)
 
 
-def _needed(batches):
-    """Pairs of a slice with the number of documents that have them."""
-    for batch in batches:
-        for some in tokens.slices(batch):
-            (a, b), of, document = paired(some.column("text"))
-            rows = np.bincount(_within(document, of, len(a))[1], minlength=len(a)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(rows)], ["a", "b", "rows"])
+def opened(data):
+    size = 4 + int(np.frombuffer(data, "<u4", 1)[0])
+    return np.cumsum(unpacked(data[4:size])) << 32 | unpacked(data[size:])
 
 
-def _bags(batches):
-    """Distinct pairs of each document with their counts, and one row with its doc_id, whose
-    place of a word has a space, so that it meets no pair."""
+def _sliced(batches):
+    """One row a slice: its documents with their numbers of words, its distinct words with their
+    counts, and which of them stands at each place."""
     for batch in batches:
         for some in tokens.slices(batch):
-            (a, b), of, document = paired(some.column("text"))
-            owner, of, n = _within(document, of, len(a))
-            row = some.column("row")
-            mark = [pa.array([BEGIN] * len(some), pa.string()), pa.array([f" {r}" for r in row.to_pylist()], pa.string())]
-            words = [pa.concat_arrays([x.take(pa.array(of)), m]) for x, m in zip((a, b), mark)]
-            ids = pa.concat_arrays([pa.nulls(len(of), pa.int64()), some.column("doc_id")])
-            rows = row.take(pa.array(np.r_[owner, np.arange(len(some))]))
-            yield pa.RecordBatch.from_arrays([rows, ids, *words, pa.array(np.r_[n, np.zeros(len(some), np.int64)])], ["row", "doc_id", "a", "b", "n"])
-
-
-def matched(left, table, keys, hot, spread):
-    """Left join of ``left`` to ``table`` (one row a key); keys of ``hot`` (keys, rows) are dealt out by ``spread``."""
-    parts = F.broadcast(hot.filter(F.col("rows") > SPLIT).select(*keys, F.ceil(F.col("rows") / SPLIT).cast("int").alias("parts")))
-    n = F.coalesce("parts", F.lit(1))
-    dealt = left.join(parts, keys, "left").withColumn("part", F.pmod(F.xxhash64(*spread), n).cast("int")).drop("parts")
-    each = table.join(parts, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
-    return dealt.join(each, [*keys, "part"], "left").drop("part")
+            flat, document = cut(some.column("text"))
+            code = pc.dictionary_encode(flat)
+            if isinstance(code, pa.ChunkedArray):
+                code = code.combine_chunks()
+            places = code.indices.to_numpy().astype(np.int64)
+            words = code.dictionary.cast(pa.string())
+            columns = [
+                [some.column("doc_id").to_pylist()],
+                [np.bincount(document, minlength=len(some)).astype(np.int64)],
+                [len(places)],
+                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                [np.bincount(places, minlength=len(words)).astype(np.int64)],
+                [packed(places)],
+            ]
+            names = ["doc_id", "sizes", "n", "words", "counts", "places"]
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), None, pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) if k else c for c, k in zip(columns, kinds)], names)
+
+
+def _coded(cut_slice, found):
+    """Numbers of a slice's words and marks of its target documents, from what the joins found."""
+    out = []
+    place, number = (found.column(c).to_numpy() for c in ("place", "number"))
+    for row in cut_slice.to_pylist():
+        numbers, target = np.full(row["n_words"], UNKNOWN), np.zeros(len(row["doc_id"]), np.int64)
+        numbers[place[number >= FIRST]] = number[number >= FIRST]
+        target[place[number < FIRST]] = 1
+        del row["n_words"]
+        out.append(row | {"numbers": packed(numbers), "target": packed(target)})
+    return pa.Table.from_pylist(out, _schema(cut_slice, "numbers", "target"))
+
+
+def _schema(table, *more):
+    fields = [f for f in table.schema if f.name != "n_words"]
+    return pa.schema(fields + [pa.field(c, pa.binary()) for c in more])
+
+
+class Pairs:
+    """The distinct codes of a coded slice: pairs, words after any, contexts before any, all.
+
+    ``of`` is the pair at each place, ``document`` its document; ``a`` and ``b`` are places of the
+    two words of a pair in the counts of contexts and words; ``codes[order]`` go bucket by bucket,
+    sorted within, and ``edges`` are where a bucket begins."""
+
+    def __init__(self, row, buckets):
+        sizes = np.array(row["sizes"], np.int64)
+        self.document = np.repeat(np.arange(len(sizes)), sizes)
+        names, own = np.unique(unpacked(row["numbers"]), return_inverse=True)
+        self.n = len(names)
+        places = own[unpacked(row["places"])]
+        before = np.r_[self.n, places[:-1]][: len(places)]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = self.n
+        pairs, self.of = np.unique(before * (self.n + 1) + places, return_inverse=True)
+        self.a, self.b = np.divmod(pairs, self.n + 1)
+        self.places, self.before = places, before
+        heads = np.r_[names, BEGIN].astype(np.int64)
+        joint = [heads[self.a] << 32 | heads[self.b], ANY << 32 | heads[: self.n], heads << 32 | ANY, [ANY << 32 | ANY]]
+        self.codes = np.concatenate(joint).astype(np.int64)
+        order = np.argsort(self.codes)
+        bucket = (self.codes[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        bucket = (bucket % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+        dealt = np.argsort(bucket, kind="stable")
+        self.order = order[dealt]
+        self.edges = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
+
+    def counts(self, chosen):
+        """How often each code stands at the places that are chosen."""
+        of = [(self.of, len(self.a)), (self.places, self.n), (self.before, self.n + 1)]
+        return np.concatenate([np.bincount(x[chosen], minlength=k) for x, k in of] + [[chosen.sum()]])
+
+    def dealt(self, *columns):
+        """(bucket, sorted codes as bytes, the same part of each column as bytes)"""
+        codes, columns = self.codes[self.order], [c[self.order] for c in columns]
+        for k in np.flatnonzero(np.diff(self.edges)):
+            part = slice(self.edges[k], self.edges[k + 1])
+            yield int(k), sealed(codes[part]), *(packed(c[part]) for c in columns)
+
+
+def _counted(buckets):
+    """A slice's codes with their counts in all texts and in the target, one row a bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                (row,) = batch.slice(k, 1).to_pylist()
+                own = Pairs(row, buckets)
+                chosen = unpacked(row["target"]).astype(bool)[own.document]
+                made = zip(*own.dealt(own.counts(np.ones_like(chosen)), own.counts(chosen)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int32(), *[pa.binary()] * 3))], ["bucket", "codes", "p0", "p1"])
+
+    return run
+
+
+def _added(rows):
+    """The distinct codes of a bucket with the sums of their counts."""
+    column = lambda c, read: np.concatenate([read(x) for x in rows.column(c).to_pylist()])
+    codes, of = np.unique(column("codes", opened), return_inverse=True)
+    sums = [np.bincount(of, weights=column(c, unpacked)).astype(np.int64) for c in ("p0", "p1")]
+    made = [rows.column("bucket")[0].as_py(), sealed(codes), *map(packed, sums)]
+    return pa.table({c: pa.array([x], t) for c, x, t in zip(("bucket", "codes", "p0", "p1"), made, (pa.int32(), *[pa.binary()] * 3))})
+
+
+def _asked(buckets):
+    """A slice's codes, one row a bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                (row,) = batch.slice(k, 1).to_pylist()
+                bucket, codes = zip(*Pairs(row, buckets).dealt())
+                columns = [pa.array([row["slice"]] * len(bucket), pa.int64()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "bucket", "codes"])
+
+    return run
+
+
+def _answered(asked, held):
+    """Counts of the codes that slices ask a bucket for, in their order; 0 where it has none."""
+    read = (("codes", opened), ("p0", unpacked), ("p1", unpacked))
+    codes, *sums = (f(held.column(c)[0].as_py()) if len(held) else np.zeros(0, np.int64) for c, f in read)
+    codes = np.r_[codes, np.iinfo(np.int64).max]
+    out = []
+    for data in asked.column("codes"):
+        wanted = opened(data.as_py())
+        at = np.searchsorted(codes, wanted)
+        hit = codes[at] == wanted
+        out.append([packed(np.where(hit, np.r_[s, 0][at], 0)) for s in sums])
+    columns = [asked.column("slice"), asked.column("bucket"), *(pa.array([x[k] for x in out], pa.binary()) for k in (0, 1))]
+    return pa.Table.from_arrays(columns, ["slice", "bucket", "p0", "p1"])
+
+
+def _judged(buckets, words):
+    """Losses of the documents of a slice from the counts that it got back."""
+
+    def run(coded, answers):
+        made = {c: [] for c in ("doc_id", "n_words", "l0", "l1")}
+        answers = answers.sort_by("bucket")
+        for row in coded.to_pylist():
+            own = Pairs(row, buckets)
+            sizes = np.array(row["sizes"], np.int64)
+            made["doc_id"] += row["doc_id"]
+            made["n_words"] += row["sizes"]
+            for k in (0, 1):
+                counts = np.empty(len(own.codes))
+                counts[own.order] = np.concatenate([unpacked(x) for x in answers.column(f"p{k}").to_pylist()])
+                pair, word, context, total = np.split(counts, np.cumsum([len(own.a), own.n, own.n + 1]))
+                alone = ((word + ADDED) / (total + ADDED * (words + 1)))[own.b]
+                context = context[own.a]
+                both = MIXED * pair / np.maximum(context, 1) + (1 - MIXED) * alone
+                loss = -np.log(np.where(context > 0, both, alone))
+                sums = np.bincount(own.document, weights=loss[own.of], minlength=len(sizes))
+                made[f"l{k}"].extend(sums / np.maximum(sizes, 1))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table({c: pa.array(x, t) for (c, x), t in zip(made.items(), kinds)})
+
+    return run
 
 
 class Models:
-    """``terms``: word, its counts (c0 of all, c1 of the target) and those of its pairs as first
-    word (x0, x1); ``pairs``: a, b, p0, p1; ``sums``: the words' totals, their number and the
-    counts of the unknown word."""
-
-    def __init__(self, terms, pairs, sums):
-        self.terms, self.pairs, self.sums = terms, pairs, sums
+    """``terms``: word, number; ``pairs``: one row a bucket of codes with their counts in all texts
+    (p0) and in the target (p1); ``buckets`` and ``words``: how many there are; ``coded``: the
+    slices that the models were fitted on."""
 
-
-def _sums(rows, *keys):
-    return rows.groupBy(*keys).agg(F.sum("p0").alias("p0"), F.sum("p1").alias("p1"))
+    def __init__(self, terms, pairs, buckets, words, coded):
+        self.terms, self.pairs, self.buckets, self.words, self.coded = terms, pairs, buckets, words, coded
 
 
 def _level(n):
@@ -133,9 +260,9 @@ def _level(n):
     return F.when(n < 4096, n).otherwise(1024 + F.floor(F.log2(n.cast("double")) * 256)).cast("long")
 
 
-def _listed(spark, words, vocabulary):
+def _listed(words, vocabulary):
     """The words from some count on, ``vocabulary`` at most."""
-    leveled = words.withColumn("level", _level(F.col("c0")))
+    leveled = words.withColumn("level", _level(F.col("n")))
     levels = {r["level"]: r["words"] for r in leveled.groupBy("level").agg(F.count("*").alias("words")).collect()}  # some 20,000 at most
     least, total = max(levels, default=0) + 1, 0
     for level in sorted(levels, reverse=True):
@@ -146,65 +273,73 @@ def _listed(spark, words, vocabulary):
     return leveled.filter(F.col("level") >= least).drop("level")
 
 
+def _numbered(spark, words):
+    """word, number: from ``FIRST`` on, frequent words first as far as their part of the table goes,
+    so that most numbers are small; and how many words there are."""
+    ranked = words.sortWithinPartitions(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("place"))
+    placed = common.written(spark, ranked, "op3-terms")
+    part, rank = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    parts, ranks, total = placed.agg(F.max(part) + 1, F.max(rank) + 1, F.count("*")).first()
+    if (parts or 0) * (ranks or 0) >= (1 << 31) - FIRST:
+        raise ValueError(f"{total} different words do not fit 32 bits")
+    return placed.select("word", (rank * F.lit(parts or 1).cast("long") + part + FIRST).alias("number")), total
+
+
+def _slices(spark, docs):
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.mapInArrow(_sliced, "doc_id array<long>, sizes array<long>, n long, words array<string>, counts array<long>, places binary")
+    path = common.new_path(spark, "op3-slices")
+    return common.kept(spark, rows.withColumn("slice", F.monotonically_increasing_id()), path), path
+
+
+def _known(spark, slices, terms, chosen=None):
+    """The slices with the numbers of their words; documents of ``chosen`` are marked."""
+    found = slices.select("slice", F.posexplode("words").alias("place", "word")).join(terms, "word").select("slice", "place", "number")
+    if chosen is not None:
+        marks = slices.select("slice", F.posexplode("doc_id").alias("place", "doc_id")).join(chosen, "doc_id")
+        found = found.unionByName(marks.select("slice", "place", F.lit(0).cast("long").alias("number")))
+    plain = slices.select("slice", "doc_id", "sizes", "n", "places", F.size("words").alias("n_words"))
+    rows = plain.groupBy("slice").cogroup(found.withColumnRenamed("slice", "of").groupBy("of")).applyInArrow(_coded, f"{SLICE}, places binary, numbers binary, target binary")
+    return common.written(spark, rows, "op3-coded")
+
+
+def _size(slices):
+    return slices.agg(F.sum("n")).first()[0] or 0
+
+
 def fit(spark, docs, target_ids, vocabulary=None):
     """Count both models over the whole of ``docs`` (doc_id, text); ``target_ids`` has doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    marked = texts.join(chosen.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    pairs = common.written(spark, _sums(marked.mapInArrow(_counted, "a string, b string, p0 long, p1 long"), "a", "b"), "op3-pairs")
-    words = _sums(pairs, F.col("b").alias("word")).withColumnsRenamed({"p0": "c0", "p1": "c1"})
-    words = common.written(spark, words, "op3-words")
-    total = words.agg(F.sum("c0"), F.sum("c1")).first()
-    if vocabulary is not None:
-        words = common.written(spark, _listed(spark, words, vocabulary), "op3-listed")
-        for side in ("a", "b"):
-            hot = pairs.groupBy(side).agg(F.count("*").alias("rows"))
-            known = words.select(F.col("word").alias(side), F.lit(True).alias("known"))
-            other = "b" if side == "a" else "a"
-            named = F.when(F.col("known") | (F.col(side) == BEGIN), F.col(side)).otherwise(UNKNOWN)
-            pairs = _sums(matched(pairs, known, [side], hot, [other]).withColumn(side, named), "a", "b")
-            pairs = common.written(spark, pairs, "op3-pairs-listed")
-    held = words.agg(F.sum("c0"), F.sum("c1"), F.count("*")).first()
-    first = _sums(pairs, F.col("a").alias("word")).withColumnsRenamed({"p0": "x0", "p1": "x1"})
-    terms = words.join(first, "word", "full").na.fill(0)
-    terms = common.written(spark, terms, "op3-terms")
-    unknown = [(total[k] or 0) - (held[k] or 0) for k in (0, 1)]
-    return Models(terms, pairs, {"total": [total[k] or 0 for k in (0, 1)], "words": held[2], "unknown": unknown})
-
-
-def losses(spark, needed, models):
-    """a, b, l0, l1 (loss in the background, in the target) of the distinct pairs of ``needed``."""
-    first = models.terms.filter(F.col("word") == UNKNOWN).select("x0", "x1").first() or (0, 0)
-    named = needed.select("a", "b")
-    terms = models.terms.filter(F.col("word") != UNKNOWN)
-    for side, other, kind in (("b", "a", "c"), ("a", "b", "x")):
-        hot = needed.groupBy(side).agg(F.count("*").alias("rows"))
-        rest = models.sums["unknown"] if kind == "c" else first
-        entry = terms.select(F.col("word").alias(side), f"{kind}0", f"{kind}1", F.lit(True).alias(f"{side}_known"))
-        named = matched(named, entry, [side], hot, [other])
-        known = F.col(f"{side}_known").isNotNull()
-        begin = F.col(side) == BEGIN
-        counts = {f"{kind}{k}": F.when(known, F.col(f"{kind}{k}")).when(begin, F.lit(0)).otherwise(F.lit(rest[k])) for k in (0, 1)}
-        named = named.withColumns(counts).withColumn(f"{side}_in", F.when(known | begin, F.col(side)).otherwise(UNKNOWN))
-    counted = models.pairs.select(F.col("a").alias("a_in"), F.col("b").alias("b_in"), "p0", "p1")
-    named = named.join(counted, ["a_in", "b_in"], "left").na.fill(0, ["p0", "p1"])
-    out = []
-    for k in (0, 1):
-        own = (F.col(f"c{k}") + ADDED) / (models.sums["total"][k] + ADDED * (models.sums["words"] + 1))
-        both = MIXED * F.col(f"p{k}") / F.greatest(F.col(f"x{k}"), F.lit(1)) + (1 - MIXED) * own
-        out.append((-F.log(F.when(F.col(f"x{k}") > 0, both).otherwise(own))).alias(f"l{k}"))
-    return named.select("a", "b", *out)
+    slices, path = _slices(spark, docs)
+    words = slices.select(F.inline(F.arrays_zip("words", "counts"))).groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
+    terms, total = _numbered(spark, words if vocabulary is None else _listed(common.written(spark, words, "op3-words"), vocabulary))
+    coded = _known(spark, slices, terms, target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    common.dropped(spark, path)
+    buckets = max(1, -(-_size(coded) // SPLIT))
+    sent = coded.mapInArrow(_counted(buckets), "bucket int, codes binary, p0 binary, p1 binary")
+    pairs = sent.groupBy("bucket").applyInArrow(_added, "bucket int, codes binary, p0 binary, p1 binary")
+    return Models(terms, common.written(spark, pairs, "op3-pairs"), buckets, total, coded)
+
+
+def score_own(spark, models):
+    """doc_id, n_words, target_loss, background_loss, score of every document that the models were fitted on."""
+    return _scores(models.coded, models)
 
 
 def score(spark, docs, models):
-    """doc_id, n_words, target_loss, background_loss, score of every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    needed = texts.select("text").mapInArrow(_needed, "a string, b string, rows long").groupBy("a", "b").agg(F.sum("rows").alias("rows"))
-    needed = common.written(spark, needed, "op3-needed")
-    table = common.written(spark, losses(spark, needed, models), "op3-losses")
-    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    lost = matched(numbered.mapInArrow(_bags, "row long, doc_id long, a string, b string, n long"), table, ["a", "b"], needed, ["row"])
-    total = lambda k: F.sum(F.col("n") * F.coalesce(f"l{k}", F.lit(0.0))).alias(f"l{k}")
-    sums = lost.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), total(0), total(1))
-    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
-    return sums.select("doc_id", "n_words", mean("l1").alias("target_loss"), mean("l0").alias("background_loss"), F.coalesce(mean("l1") - mean("l0"), F.lit(0.0)).alias("score"))
+    """The same columns for every row of ``docs``."""
+    slices, path = _slices(spark, docs)
+    coded = _known(spark, slices, models.terms)
+    common.dropped(spark, path)
+    return _scores(coded, models)
+
+
+def _scores(coded, models):
+    parts = max(1, -(-_size(coded) // (SPLIT * models.buckets)))  # more texts than the models have: a bucket is met by parts of the slices
+    part = F.pmod(F.xxhash64("slice"), F.lit(parts)).cast("int")
+    asked = coded.mapInArrow(_asked(models.buckets), "slice long, bucket int, codes binary").withColumn("part", part)
+    held = models.pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    answers = asked.groupBy("bucket", "part").cogroup(held.groupBy("bucket", "part")).applyInArrow(_answered, "slice long, bucket int, p0 binary, p1 binary")
+    judged = _judged(models.buckets, models.words)
+    losses = coded.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(judged, "doc_id long, n_words long, l0 double, l1 double")
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c))
+    return losses.select("doc_id", "n_words", mean("l1").alias("target_loss"), mean("l0").alias("background_loss"), F.coalesce(mean("l1") - mean("l0"), F.lit(0.0)).alias("score"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,55 @@ def test_each_statistic_can_reject(spark):
     assert not any(made[k].base_failed for k in range(3000, 3004))
     assert [made[k].kept for k in (3000, 3001, 3002, 3003, 4000, 4001, 4002)] == [False] * 4 + [True] * 3
     assert sum(made[k].kept for k in range(2000)) >= 1990
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_lm_words_and_pairs_are_sent_as_numbers(spark):
+    """Distinct words once a slice, pairs as sorted codes: fit and score shuffle less than one and a half times the texts."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"word{j}ly" for j in rng.integers(0, 5000, 400))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = shuffled(spark)
+    models = lm_score.fit(spark, docs, spark.createDataFrame([(k,) for k in range(0, 400, 3)], "doc_id long"))
+    assert len(lm_score.score(spark, docs, models).collect()) == 400
+    sent, size = shuffled(spark) - before, sum(len(t) for _, t in rows)
+    assert 0 < sent < 1.5 * size, (sent, size)
+
+
+def test_lm_scores_of_own_and_of_other_documents(spark, monkeypatch):
+    """The documents of the fit score alike by either way; more documents than the models have, met in parts."""
+    words = [f"w{k * k % 37}" for k in range(2000)]
+    rows = [(k, " ".join(words[k * 7 : k * 7 + k % 40])) for k in range(200)] + [(None, "w1 new W4"), (3, "w1"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    target = spark.createDataFrame([(k,) for k in (3, 4, 50, 50)], "doc_id long")
+    ranked = lambda frame: sorted([(str(r.doc_id), r.n_words, *(None if x is None else round(x, 9) for x in r[2:])) for r in frame.collect()], key=str)
+    whole = lm_score.fit(spark, docs, target)
+    assert ranked(lm_score.score_own(spark, whole)) == ranked(lm_score.score(spark, docs, whole))
+    few = lm_score.fit(spark, docs.limit(20), target)
+    expected = ranked(lm_score.score(spark, docs, few))
+    monkeypatch.setattr(lm_score, "SPLIT", 200)
+    assert ranked(lm_score.score(spark, docs, few)) == expected
+
+
+def test_lm_cuts_a_slice_of_a_batch():
+    """All slices of a batch but the first begin within its bytes."""
+    texts = pa.array([f"Some WORDS Öl {k}\n" * (k % 3) for k in range(40)], pa.string())
+    for some in (pa.array(["A b", None]), texts, texts.slice(7), texts.slice(20, 9), texts.cast(pa.large_string()).slice(5)):
+        words, document = lm_score.cut(some)
+        plain = [re.sub("[A-Z]+", lambda m: m[0].lower(), t or "").split() for t in some.to_pylist()]
+        assert words.to_pylist() == [w for x in plain for w in x]
+        assert document.tolist() == [k for k, x in enumerate(plain) for _ in x]
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [1, 255, 256, 0], [2**62 + 5, 3]])
+def test_lm_numbers_packed_and_back(numbers):
+    numbers = np.array(numbers, np.int64)
+    assert (lm_score.unpacked(lm_score.packed(numbers)) == numbers).all()
+    assert (lm_score.opened(lm_score.sealed(np.sort(numbers))) == np.sort(numbers)).all()
