@@ -203,3 +203,28 @@ def test_boosting_splits_at_the_best_gain():
     assert gains[feature, cut] == max(gains.values())
     below = bins[feature] <= cut
     assert np.allclose([*left[0], *right[0]], [g[below].sum(), h[below].sum(), g[~below].sum(), h[~below].sum()])
+
+
+def test_boosting_sums_many_rows_by_two_columns_at_a_time(monkeypatch):
+    """Joint bins give the sums of single columns in half the passes, also in pieces and with a column left over."""
+    rng = np.random.default_rng(4)
+    bins, place = rng.integers(0, 4, (5, 3000)).astype(np.uint8), rng.integers(0, 3, 2000)
+    slopes = [np.rint(rng.normal(size=3000) * boosting.UNIT) for _ in range(2)]
+    rows, columns = np.sort(rng.choice(3000, 2000, replace=False)), np.array([0, 2, 4])
+    want = np.zeros((3, 3, 4, 2))
+    for r, node in zip(rows, place):
+        for k, j in enumerate(columns):
+            want[node, k, bins[j, r]] += [slopes[0][r], slopes[1][r]]
+    passes, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: passes.append(1) or count(*a))
+    assert (boosting._sums(bins, rows, place, slopes, columns, 3, 4) == want).all()
+    assert len(passes) == 4  # two for the pair and two for the last column
+    monkeypatch.setattr(boosting, "CHUNK", 300)
+    assert (boosting._sums(bins, rows, place, slopes, columns, 3, 4) == want).all()
+
+
+@pytest.mark.parametrize("chosen", [range(5), [0, 3]])
+def test_boosting_folds_do_not_share_a_task(spark, chosen):
+    blocks = spark.createDataFrame([(fold,) for fold in chosen for _ in range(3)], "fold int")
+    dealt = boosting._dealt(blocks, list(chosen)).select("fold", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(dealt) == len(chosen) == len({r.task for r in dealt})
