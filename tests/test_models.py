@@ -228,3 +228,27 @@ def test_boosting_folds_do_not_share_a_task(spark, chosen):
     blocks = spark.createDataFrame([(fold,) for fold in chosen for _ in range(3)], "fold int")
     dealt = boosting._dealt(blocks, list(chosen)).select("fold", F.spark_partition_id().alias("task")).distinct().collect()
     assert len(dealt) == len(chosen) == len({r.task for r in dealt})
+
+
+def test_forest_splits_of_few_and_of_many_rows_are_those_of_all_counts():
+    """Counts by bin, also in pieces of rows, and rows sorted by bin give the first best split of plain counts."""
+    rng = np.random.default_rng(6)
+    bins, label = rng.integers(0, 6, (900, 7)).astype(np.uint8), rng.integers(0, 2, 900)
+    place, weight = np.sort(rng.integers(0, 40, 900)), rng.integers(1, 17, 900)
+    features = np.sort(np.argsort(rng.random((40, 7)), axis=1)[:, :3], axis=1)
+    slot, cut = forest._best(forest._counts(bins, place, label, weight.astype(float), features, 6))
+    total, ones = np.bincount(place, weight, 40), np.bincount(place, weight * label, 40)
+    common = (features, total, ones, 6, 7)
+    packed = weight * (1.0 + label * forest._PACK)
+    for a, b in ((forest._best_by_bin, packed), (forest._best_by_row, weight * 2 + label)):
+        purity, got_slot, got_cut = a(bins.ravel(), np.arange(900), place, b, *common)
+        gains = purity / total - (ones**2 + (total - ones) ** 2) / total**2 > 1e-12
+        assert (np.where(gains, got_slot, -1) == slot).all() and (got_cut[gains] == cut[gains]).all()
+
+
+def test_forest_rows_are_copied_by_slots_not_by_trees():
+    """Five folds on twelve slots: seven copies for 200 trees, and a fold of a million rows needs no copy a tree."""
+    assert -(-200 // forest._chunk(200, 5, 12)) == 7
+    assert 5 * -(-2000 // forest._chunk(2000, 5, 12)) <= forest.COPIES * 12
+    assert forest._chunk(3, 5, 12) == 3
+    assert forest.NODE_ROWS > 1_050_000
