@@ -1,11 +1,20 @@
 """Readers with explicit schemas and the guards that belong to them."""
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionframe.constants import FOLD_COUNT, TEAM_FOLD
 from motionframe.sources import schemas
 
+#: Bytes of a file up to which it is hashed as one value; a larger one goes through its digest in blocks.
+WHOLE_BYTES = 128 << 20
+#: Bytes of such a block, if no line is longer.
+BLOCK_BYTES = 1 << 20
+
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
     """Participant split CSV; a malformed row fails the read."""
@@ -71,18 +80,82 @@ def invalid_policies(policies: DataFrame, reference: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str, name_filter: str = "*") -> DataFrame:
-    """Path, size and SHA-256 of every file; each file is hashed where it is read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_filter)
-        .load(path)
-    )
-    return files.select(
+    """Path, size and SHA-256 of every file; files of any size, none is held whole beyond ``WHOLE_BYTES``."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": name_filter}
+    files = spark.read.format("binaryFile").options(**options).load(path).filter(F.col("length") <= WHOLE_BYTES)
+    whole = files.select(
         F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"),
         F.col("length").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
+    return whole.unionByName(_large_files(spark, path, options))
+
+
+def _large_files(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """The same of larger files, which ``binaryFile`` holds whole, and none beyond 2 GB.
+
+    A file is read in splits as lines between line feeds, whatever its bytes mean; a digest is a chain, so
+    one task takes the blocks of a file in order. Line feeds are put back: between lines always, behind the last
+    where the file has a byte more (three more are a byte order mark, which the reader leaves out).
+    Names of compressed files (``.gz``) are an error, as the reader would open them."""
+    lines = spark.read.options(**options).option("lineSep", "\n").text(path).filter(F.col("_metadata.file_size") > WHOLE_BYTES)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("bytes"),
+    )
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, length, turn = None, [], 0, 0
+
+        def block():
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, turn, b"\n".join(held))))], schema)
+
+        schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("start", pa.int64()), ("turn", pa.int64()), ("bytes", pa.binary())])
+        for batch in batches:
+            for *own, line in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "size", "start", "bytes"))):
+                if held and (own != key or length >= BLOCK_BYTES):
+                    yield block()
+                    held, length, turn = [], 0, turn + 1
+                key, length = own, length + len(line) + 1
+                held.append(line)
+        if held:
+            yield block()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None  # path, name, size, digests without and with a byte order mark, bytes taken
+
+        def take(data, size):
+            for digest in state[3]:
+                digest.update(data)
+            state[4] += size
+
+        def ended():
+            path, name, size, (plain, marked), taken = state
+            more = size - taken
+            if more not in (0, 1, 3, 4):
+                raise ValueError(f"{path} has {size} bytes, {taken} were read")
+            digest = plain if more < 3 else marked
+            if more % 3 == 1:
+                digest.update(b"\n")
+            return pa.RecordBatch.from_pylist([{"file_name": name, "size_bytes": size, "sha256": digest.hexdigest()}])
+
+        for batch in batches:
+            for path, name, size, start, data in zip(*(batch.column(c) for c in ("path", "name", "size", "start", "bytes"))):
+                path, data = path.as_py(), data.as_buffer()
+                if state and path != state[0]:
+                    yield ended()
+                    state = None
+                if state:
+                    take(b"\n", 1)
+                else:
+                    state = [path, name.as_py(), size.as_py(), (hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")), 0]
+                take(data, data.size)
+        if state:
+            yield ended()
+
+    parts = lines.mapInArrow(blocks, "path string, name string, size long, start long, turn long, bytes binary")
+    ordered = parts.repartition("path").sortWithinPartitions("path", "start", "turn")
+    return ordered.mapInArrow(digests, "file_name string, size_bytes long, sha256 string")
 
 
 def collection_union(base: DataFrame, folds: DataFrame, team: DataFrame) -> DataFrame:

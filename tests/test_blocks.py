@@ -1,10 +1,13 @@
 """Work cut into blocks gives what the whole gives, and nothing large is broadcast or sorted for it."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from motionframe.operators import custom, features, statistics
+from motionframe.sources import readers
 
 
 def test_draws_are_not_broadcast(spark, monkeypatch):
@@ -59,3 +62,37 @@ def test_short_recordings_share_batches(spark):
         hits = np.cumsum(part["score"].to_numpy() >= 0.5) % 3 == 1
         want += [(str(None) if pd.isna(name) else name, int(d)) for d in part["end_sample"][hits] - 1]
     assert got == sorted(want)
+
+
+def test_digests_of_files_in_blocks_are_those_of_their_bytes(spark, tmp_path, monkeypatch):
+    """Files beyond the limit are read in splits and hashed in order, whatever bytes they hold and end with."""
+    noise = np.random.default_rng(8).integers(0, 256, 300_000).astype(np.uint8).tobytes()
+    held = {
+        "noise": noise, "ended": noise[:90_000] + b"\n", "feeds": b"\n" * 5_000, "zeros": bytes(40_000), "returns": b"a\r\nb\r" * 2_000,
+        "mark": b"\xef\xbb\xbf" + noise[:50_000], "marked": b"\xef\xbb\xbf\n" + noise[:50_000] + b"\n", "small": b"\nfew\n",
+    }
+    (tmp_path / "in").mkdir()
+    for name, data in held.items():
+        (tmp_path / ("in" if name == "ended" else ".") / f"{name}.parquet").write_bytes(data)
+    monkeypatch.setattr(readers, "WHOLE_BYTES", 1_000)
+    monkeypatch.setattr(readers, "BLOCK_BYTES", 7_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 10_000)
+    try:
+        rows = readers.file_inventory(spark, str(tmp_path), "*.parquet").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, rows)) == sorted((f"{n}.parquet", len(d), hashlib.sha256(d).hexdigest()) for n, d in held.items())
+
+
+def test_a_file_beyond_what_one_value_holds_has_a_digest(spark, tmp_path):
+    """``binaryFile`` takes none beyond its limit, which is lowered here."""
+    data = bytes(range(256)) * 4_000
+    (tmp_path / "large.parquet").write_bytes(data)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1_000)
+    held, readers.WHOLE_BYTES = getattr(readers, "WHOLE_BYTES", None), 1_000
+    try:
+        rows = readers.file_inventory(spark, str(tmp_path)).collect()
+    finally:
+        readers.WHOLE_BYTES = held
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert list(map(tuple, rows)) == [("large.parquet", len(data), hashlib.sha256(data).hexdigest())]
