@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motionframe.constants import CHANNELS, SEQ
 from motionframe.functions.exprs import count_if
-from motionframe.operators import boosting, forest, logistic
+from motionframe.operators import boosting, forest, logistic, naive_bayes
 from motionframe.operators.windows import complete_windows, window_samples
 
 MIN_SCALE = 1e-6
@@ -140,30 +140,11 @@ def boosting_scores(rows: DataFrame, train: Sequence[Column], asked: Sequence[Co
 
 
 def naive_bayes_scores(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """Gaussian naive Bayes: ``rows`` with ``score``.
+    """Gaussian naive Bayes: ``rows`` with ``score``."""
+    fitted = naive_bayes.fit(train, [F.lit(True)], F.col("weight"), NAIVE_BAYES_SMOOTHING)
+    return naive_bayes.scores(rows, fitted, [F.lit(True)], rows.columns).drop("fold")
 
-    Moments are one row per class with an array each, a fixed size, read as a scalar; rows are
-    scored where they are and never shuffled.
-    """
-    parts, mean, variance = _moments("features", F.col("weight"))
-    smoothing = train.agg(*parts).select((F.array_max(variance) * NAIVE_BAYES_SMOOTHING).alias("e")).scalar()
-    total = train.agg(F.sum("weight")).scalar()
-    fitted = train.groupBy("label").agg(*parts).withColumns({"_e": smoothing, "_n": total}).select(
-        "label", F.log(F.col("_w") / F.col("_n")).alias("prior"), mean, variance, "_e"
-    )
-    fitted = fitted.withColumn("var", F.transform("var", lambda v: v + F.col("_e")))
-    classes = F.sort_array(F.collect_list(F.struct("label", "prior", "mean", "var")))
-    both = F.when(F.count(F.lit(1)) == 2, classes).otherwise(F.raise_error(F.lit("naive Bayes needs both classes")))
-    held = rows.withColumn("_c", fitted.agg(both.alias("c")).scalar())
-
-    def likelihood(c):
-        own = F.col("_c")[c]
-
-        def term(x, j):
-            gap, var = x.cast("double") - own["mean"][j], own["var"][j]
-            return -0.5 * F.log(F.lit(6.283185307179586) * var) - gap * gap / (var * 2.0)
-
-        return own["prior"] + F.aggregate(F.transform("features", term), F.lit(0.0), lambda a, b: a + b)
 
-    scored = held.withColumn("_gap", likelihood(0) - likelihood(1))
-    return scored.withColumn("score", 1.0 / (1.0 + F.exp("_gap"))).drop("_c", "_gap")
+def naive_bayes_fold_scores(rows: DataFrame, train: Sequence[Column], asked: Sequence[Column], keys: Sequence[str]) -> DataFrame:
+    """Scores of a naive Bayes a fold; ``train`` and ``asked`` say which rows a fold learns from and scores."""
+    return naive_bayes.scores(rows, naive_bayes.fit(rows, train, F.lit(1.0), NAIVE_BAYES_SMOOTHING), asked, keys)

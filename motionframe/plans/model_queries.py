@@ -162,7 +162,10 @@ def ml_04(t):
     SELECT recording_id, win::BIGINT AS win, k AS fold, round(1.0::DOUBLE / (1.0::DOUBLE + exp(least(700, max(s) FILTER (c = 0) - max(s) FILTER (c = 1)))), 4) AS score FROM ll GROUP BY recording_id, win, k""",
 )
 def ml_05(t):
-    return every_fold(lambda k: models.naive_bayes_scores(*split(t, k)).select("recording_id", *longs("win"), F.round("score", 4).alias("score")))
+    """All folds in one pass for the moments and one for the scores."""
+    folds = range(FOLD_COUNT)
+    scored = models.naive_bayes_fold_scores(t.features, [in_training(k) for k in folds], [F.col("fold_id") == k for k in folds], WINDOW)
+    return scored.select("recording_id", *longs("win"), F.round("score", 4).alias("score"), *longs("fold"))
 
 
 @query("ml_07_batched_evaluation")

@@ -252,3 +252,19 @@ def test_forest_rows_are_copied_by_slots_not_by_trees():
     assert 5 * -(-2000 // forest._chunk(2000, 5, 12)) <= forest.COPIES * 12
     assert forest._chunk(3, 5, 12) == 3
     assert forest.NODE_ROWS > 1_050_000
+
+
+def test_naive_bayes_folds_share_their_passes(spark):
+    """Folds fitted together score as each fitted alone, in as many jobs as one fold needs."""
+    x, label, _ = made(200)
+    rows = frame(spark, x, label, np.ones(200)).repartition(3)
+    train, asked = [F.col("win") % 3 != k for k in range(3)], [F.col("win") % 3 == k for k in range(3)]
+    context, jobs = spark.sparkContext, []
+    for folds in (1, 3):
+        context.setJobGroup(f"bayes-{folds}", "folds")
+        got = models.naive_bayes_fold_scores(rows, train[:folds], asked[:folds], ["win"]).collect()
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"bayes-{folds}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+    alone = {(r.win, k): r.score for k in range(3) for r in models.naive_bayes_scores(rows.filter(train[k]), rows.filter(asked[k])).collect()}
+    assert {(r.win, r.fold): pytest.approx(r.score) for r in got} == alone and len(got) == 200
